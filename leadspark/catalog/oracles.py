@@ -267,6 +267,30 @@ HELPERS = {
  FROM (SELECT p.page_id, p.origin, p.path, r.kind, r.rule,
    regexp_matches(p.path, '^' || replace(regexp_escape(CASE WHEN r.rule LIKE '%$' THEN left(r.rule, length(r.rule) - 1) ELSE r.rule END), '\*', '.*') || CASE WHEN r.rule LIKE '%$' THEN '$' ELSE '' END) AS hit
   FROM paths p LEFT JOIN rules r USING (origin)) p GROUP BY ALL
+""",
+    "site_paths": "SELECT page_id, place_id, url, site_host, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, url LIKE 'http:%' AS on_http FROM site_pages",
+    "asks": """
+ SELECT place_id, 'here' AS q, origin, path FROM site_paths UNION ALL SELECT place_id, 'https', 'https://' || site_host, path FROM site_paths
+ UNION ALL SELECT place_id, 'link_here', origin, '/contact-us' FROM site_paths UNION ALL SELECT place_id, 'link_https', 'https://' || site_host, '/contact-us' FROM site_paths
+""",
+    "answers": r"""
+ SELECT place_id, bool_and(ok) FILTER (WHERE q = 'here') AS here, bool_and(ok) FILTER (WHERE q = 'https') AS secure, bool_and(ok) FILTER (WHERE q = 'link_here') AS link_here, bool_and(ok) FILTER (WHERE q = 'link_https') AS link_secure FROM (
+  SELECT place_id, q, coalesce(max(length(rule)) FILTER (WHERE kind = 'disallow' AND hit), -1) = -1 OR coalesce(max(length(rule)) FILTER (WHERE kind = 'allow' AND hit), -1) >= max(length(rule)) FILTER (WHERE kind = 'disallow' AND hit) AS ok
+  FROM (SELECT a.*, r.kind, r.rule, regexp_matches(a.path, '^' || replace(regexp_escape(CASE WHEN r.rule LIKE '%$' THEN left(r.rule, length(r.rule) - 1) ELSE r.rule END), '\*', '.*') || CASE WHEN r.rule LIKE '%$' THEN '$' ELSE '' END) AS hit FROM asks a LEFT JOIN rules r USING (origin)) GROUP BY 1, 2) GROUP BY 1
+""",
+    "visited": """
+ SELECT s.*, a.*, h.http_status IS NOT NULL AND here AS direct, here AND h.http_status IS NULL AND on_http AND secure AND r.http_status IS NOT NULL AS retried,
+  CASE WHEN here AND h.http_status IS NOT NULL THEN h.http_status WHEN here AND on_http AND secure THEN r.http_status END AS status,
+  CASE WHEN h.http_status IS NOT NULL THEN h.final_url ELSE r.final_url END AS landed, CASE WHEN h.http_status IS NOT NULL THEN h.ttfb_ms ELSE r.ttfb_ms END AS ms,
+  CASE WHEN h.http_status IS NOT NULL THEN CASE WHEN h.content_type = '' OR lower(h.content_type) LIKE '%html%' THEN h.html ELSE '' END ELSE r.html END AS body, h.error AS failure
+ FROM site_paths s JOIN answers a ON a.place_id = s.place_id JOIN page_captures h ON h.place_id = s.place_id AND h.role = 'home' LEFT JOIN page_captures r ON r.place_id = s.place_id AND r.role = 'home_https'
+""",
+    "judged": """
+ SELECT v.*, CASE WHEN NOT here THEN 'unknown' WHEN status IS NULL THEN 'no' WHEN status BETWEEN 200 AND 399 THEN 'yes' WHEN status >= 500 THEN 'no' ELSE 'unknown' END AS reach,
+  coalesce(status BETWEEN 200 AND 399 AND body <> '', false) AS loaded, coalesce(e.emails, '') AS home_emails,
+  coalesce(CASE WHEN retried OR NOT on_http THEN link_secure ELSE link_here END AND c.http_status IS NOT NULL AND regexp_extract(landed, '^(https?://[^/?#]+)', 1) || '/contact-us' = c.url, false) AND page_id % 6 < 4 AS read_contact,
+  CASE WHEN page_id % 3 = 0 AND site_host LIKE '%.example.net' THEN 'hello@' || site_host ELSE '' END AS contact_email
+ FROM visited v LEFT JOIN page_captures c ON c.place_id = v.place_id AND c.role = 'contact' LEFT JOIN (SELECT page_id AS pid, string_agg(email, ' ' ORDER BY pos) FILTER (WHERE pos < 3) AS emails FROM ranked GROUP BY 1) e ON e.pid = v.page_id
 """,
     "cells": f"""
  SELECT term, least(floor((lat - {ROOT['sw_lat']}) / ({ROOT['ne_lat']} - {ROOT['sw_lat']}) * 8), 7)::INT AS y, least(floor((lng - ({ROOT['sw_lng']})) / (({ROOT['ne_lng']}) - ({ROOT['sw_lng']})) * 8), 7)::INT AS x
@@ -284,7 +308,7 @@ HELPERS = {
  FROM tree
 """,
     "cache": """
- SELECT tile_key, CASE WHEN gy = 5 THEN 'not a date' ELSE '2026-07-' || lpad((gx + 24)::VARCHAR, 2, '0') || 'T06:00:00Z' END AS "at", gx <> 6 AS has_places
+ SELECT tile_key, CASE WHEN gy + gx = 2 THEN 'not a date' ELSE '2026-07-' || lpad((gx + 27)::VARCHAR, 2, '0') || 'T06:00:00Z' END AS "at", NOT (gx = 3 AND gy = 0) AS has_places
  FROM tile_keys WHERE (gy + gx + depth) % 3 <> 0
 """,
     "fresh_cache": f"""SELECT * FROM cache WHERE has_places AND try_strptime("at", '%Y-%m-%dT%H:%M:%SZ') > TIMESTAMP '{NOW}' - INTERVAL 7 DAYS""",
@@ -455,6 +479,11 @@ FROM (SELECT *, sum(granted) OVER (PARTITION BY account, month ORDER BY ts, even
  CASE WHEN reachable <> 'yes' OR body = '' THEN 'unknown' WHEN regexp_matches(body, '<meta[^>]+name\\s*=\\s*["'']viewport["''][^>]*>', 'i') THEN 'yes' ELSE 'no' END AS viewport,
  CASE WHEN reachable = 'yes' AND regexp_matches(body, '<form[\\s>]', 'i') AND regexp_matches(body, 'contact|enquir|inquir|message|get-in-touch|request', 'i') THEN 'yes' ELSE 'unknown' END AS contact_form
 FROM (SELECT *, CASE WHEN http_status BETWEEN 200 AND 399 THEN 'yes' WHEN http_status >= 500 THEN 'no' ELSE 'unknown' END AS reachable, CASE WHEN content_type = '' OR lower(content_type) LIKE '%html%' THEN html ELSE '' END AS body FROM page_captures WHERE role = 'home')""",
+    "audit_site": """SELECT place_id, url AS input_url, CASE WHEN status IS NOT NULL THEN landed END AS final_url, reach AS reachable, CASE WHEN status IS NULL THEN 'unknown' WHEN landed LIKE 'https:%' THEN 'yes' ELSE 'no' END AS https, CASE WHEN reach = 'yes' THEN ms END AS ttfb_ms,
+ CASE WHEN NOT loaded THEN 'unknown' WHEN page_id % 2 = 0 THEN 'yes' ELSE 'no' END AS viewport,
+ CASE WHEN loaded AND (page_id % 3 < 2 AND regexp_matches(body, 'contact|enquir|inquir|message|get-in-touch|request', 'i') OR home_emails = '' AND read_contact) THEN 'yes' WHEN loaded AND home_emails = '' AND page_id % 6 >= 4 THEN 'no' ELSE 'unknown' END AS contact_form,
+ CASE WHEN NOT loaded THEN '' WHEN home_emails <> '' THEN home_emails WHEN read_contact THEN contact_email ELSE '' END AS emails,
+ CASE WHEN status IS NULL THEN 0 WHEN loaded AND home_emails = '' AND read_contact THEN 2 ELSE 1 END::INT AS pages_fetched, status AS http_status, CASE WHEN NOT here THEN 'robots.txt disallows this path' WHEN status IS NULL THEN failure END AS error, NOT here AS robots_blocked FROM judged""",
     "parse_robots": "SELECT * FROM rules",
     "robots_allowed": "SELECT origin, count(*) FILTER (WHERE allowed) AS allowed, count(*) FILTER (WHERE NOT allowed) AS denied FROM verdicts GROUP BY 1",
     "phone_problem": f"SELECT ord, phone, {PHONE_PROBLEM} AS problem FROM leads",

@@ -131,11 +131,11 @@ class Tables:
     def tile_cache(self) -> DataFrame:
         """Cached answers for part of the planned tiles, fresh, old or broken."""
         keyed = tiles.with_corners(self.tiles, ROOT).filter("(gy + gx + depth) % 3 <> 0")
-        day = F.concat(F.lit("2026-07-"), F.lpad((F.col("gx") + 24).cast("string"), 2, "0"))
+        day = F.concat(F.lit("2026-07-"), F.lpad((F.col("gx") + 27).cast("string"), 2, "0"))
         return keyed.select(
             "tile_key",
-            F.when(F.col("gy") == 5, F.lit("not a date")).otherwise(F.concat(day, F.lit("T06:00:00Z"))).alias("at"),
-            F.when(F.col("gx") == 6, F.lit(None)).otherwise(F.array(F.lit("place"))).alias("places"),
+            F.when(F.col("gy") + F.col("gx") == 2, F.lit("not a date")).otherwise(F.concat(day, F.lit("T06:00:00Z"))).alias("at"),
+            F.when((F.col("gx") == 3) & (F.col("gy") == 0), F.lit(None)).otherwise(F.array(F.lit("place"))).alias("places"),
             "truncated",
         )
 

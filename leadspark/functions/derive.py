@@ -17,6 +17,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def finite(text: Column, kind: str) -> Column:
+    """Text as a number; NULL when it is blank, not a number or not finite."""
+
+    def kept(v):
+        return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v.cast(kind))
+
+    return let(F.trim(text).try_cast("double"), kept)
+
+
 def has_signal(name: str) -> Column:
     return F.array_contains("signals", F.lit(name))
 

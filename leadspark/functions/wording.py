@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import fixed as V
-from .derive import first_match
+from .derive import first_match, let
 
 
 def spaced(text: Column) -> Column:
@@ -84,17 +84,29 @@ def market_label(location: Column, fallback: str = "your market") -> Column:
     )
 
 
+def _plain(text: str) -> str:
+    """NFKD without combining marks U+0300..U+036F."""
+    marks = range(0x300, 0x370)
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if ord(c) not in marks)
+
+
+# Latin letters that lose an accent, as one-to-one replacements.
+_LATIN = [chr(n) for n in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
+_ACCENTED = {c: _plain(c) for c in _LATIN if len(_plain(c)) == 1 and _plain(c) != c}
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
 @F.pandas_udf(StringType())
-def strip_accents(text: pd.Series) -> pd.Series:
-    """NFKD without combining marks U+0300..U+036F; no built-in does this."""
+def _strip_rare(text: pd.Series) -> pd.Series:
+    return text.map(_plain, na_action="ignore")
 
-    def one(value):
-        if value is None or value.isascii():
-            return value
-        decomposed = unicodedata.normalize("NFKD", value)
-        return "".join(c for c in decomposed if not "̀" <= c <= "ͯ")
 
-    return text.map(one, na_action="ignore")
+def strip_accents(text: Column) -> Column:
+    """Accents off. Latin letters are replaced by built-in code; only what holds
+    any other non-ASCII character after that is sent to Python."""
+    plain = F.translate(text, "".join(_ACCENTED) + _MARKS, "".join(_ACCENTED.values()))
+    rest = let(plain, lambda p: F.when(p.rlike("[^\\x00-\\x7F]"), p))
+    return F.coalesce(_strip_rare(rest), plain)
 
 
 def slug(text: Column, max_length: int = 40) -> Column:

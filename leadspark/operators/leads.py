@@ -81,7 +81,7 @@ def summarise(leads: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(F.col("contact_form") == "yes").alias("contact_form"),
         F.count_if(~blank("phone")).alias("with_phone"),
         F.count_if(F.size("signals") == 0).alias("clean"),
-        F.coalesce(F.format_string("%.2f", F.round(avg, 2)), F.lit("—")).alias("avg_rating"),
+        F.when(avg.isNotNull(), F.format_string("%.2f", F.round(avg, 2))).otherwise("—").alias("avg_rating"),
     )
 
 

@@ -181,8 +181,13 @@ def budget_settle(
 
 
 def _by_day(events: DataFrame) -> DataFrame:
-    """Each account's day in one partition and in time order, read as a stream."""
-    return events.repartition(*SEGMENT).sortWithinPartitions(*SEGMENT, "ts", "event_id")
+    """Each account's day in one partition and in time order, read as a stream.
+
+    The partition number is given because the Python step behind it is heavy for
+    its bytes, and adaptive coalescing would pack it by bytes.
+    """
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.repartition(n, *SEGMENT).sortWithinPartitions(*SEGMENT, "ts", "event_id")
 
 
 def _segment(row) -> tuple:
@@ -208,8 +213,10 @@ def _day_maps(month_cap: int, day_cap: int):
                     if head is not None:
                         done.append(finish(head, reserves, on, off))
                     head, reserves = row, False
-                    # The month goes on from an earlier day / only the day goes on.
-                    counts, days = np.arange(month_cap + 1), np.arange(day_cap + 1)
+                    # The month goes on from an earlier day / only the day goes on,
+                    # which needs a day that began in the month before.
+                    counts = np.arange(month_cap + 1)
+                    days = np.arange(1 if row.day.startswith(row.month) else day_cap + 1)
                     on = Ledger(row.month, "", counts, counts * 0, month_cap, day_cap)
                     off = Ledger("", row.day, days * 0, days, month_cap, day_cap)
                 reserves = reserves or row.kind == "reserve"

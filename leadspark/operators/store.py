@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.clock import check_date
-from ..functions.derive import blank
+from ..functions.derive import blank, finite
 from ..functions.keys import lead_host
+from ..sources.stage import staged
 from .leads import with_score
 from .market import hook
 
@@ -55,7 +56,8 @@ def upsert_leads(stored: DataFrame, incoming: DataFrame, now: Column) -> DataFra
     new rows follow the existing ones in batch order.
     """
     last = Window.partitionBy("place_id").orderBy(F.desc("ord"))
-    batch = _keyed(incoming)
+    # Read twice below; deriving it once also keeps the plan short.
+    batch = staged(_keyed(incoming), "upsert-batch")
     newest = batch.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
     arrival = batch.groupBy("place_id").agg(F.min("ord").alias("arrival"))
     newest = newest.drop("ord").join(arrival, "place_id")
@@ -187,9 +189,7 @@ def scan_stored(rows: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in have else F.lit("")
 
     def number(name, kind="double"):
-        value = text(name).try_cast("double")
-        finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-        return F.when(finite, value.cast(kind)).alias(name)
+        return finite(text(name), kind).alias(name)
 
     def words(name):
         return F.filter(F.split(text(name), r"\s+"), lambda w: w != "")

@@ -66,8 +66,7 @@ def quadtree_tiles(
 
     Points are counted once, at the finest depth; coarser counts are sums of
     those, so the data is shuffled a single time and the rest works on counts. A
-    tile is visited when every tile above it was truncated, which is read off the
-    counts of its ancestors with one small join per level.
+    tile is visited when every tile above it was truncated.
     """
     keys = list(by)
     finest = (
@@ -100,29 +99,29 @@ def quadtree_tiles(
 
 
 def _visited(counts: DataFrame, keys: list[str], max_depth: int, ceiling: int) -> DataFrame:
-    """Split tiles send their four children down; empty children count as zero."""
-    level = counts.filter("depth = 0").select(*keys, "gy", "gx", "n")
-    out = level.select(*keys, F.lit(0).alias("depth"), "gy", "gx", "n")
-    for depth in range(1, max_depth + 1):
-        four = F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        (F.col("gy") * 2 + dy).cast("int").alias("gy"),
-                        (F.col("gx") * 2 + dx).cast("int").alias("gx"),
-                    )
-                    for dy in (0, 1)
-                    for dx in (0, 1)
-                ]
-            )
-        )
-        children = level.filter(F.col("n") >= ceiling).select(*keys, four)
-        here = counts.filter(F.col("depth") == depth).select(*keys, "gy", "gx", "n")
-        level = children.join(here, [*keys, "gy", "gx"], "left").select(
-            *keys, "gy", "gx", F.coalesce("n", F.lit(0)).cast("long").alias("n")
+    """The root and the four children of every split tile, empty ones included.
+
+    A tile above holds at least the points of a tile below it, so a truncated
+    parent means that every ancestor was truncated as well.
+    """
+    cell_of = [*keys, "depth", "gy", "gx"]
+    children = F.inline(
+        F.array(
+            *[
+                F.struct(
+                    (F.col("gy") * 2 + dy).alias("gy"), (F.col("gx") * 2 + dx).alias("gx")
+                )
+                for dy in (0, 1)
+                for dx in (0, 1)
+            ]
         )
-        out = out.unionByName(level.select(*keys, F.lit(depth).alias("depth"), "gy", "gx", "n"))
-    return out
+    )
+    split = counts.filter((F.col("n") >= ceiling) & (F.col("depth") < max_depth))
+    below = split.select(*keys, (F.col("depth") + 1).alias("depth"), children)
+    found = below.join(counts, cell_of, "left").select(
+        *cell_of, F.coalesce("n", F.lit(0)).alias("n")
+    )
+    return counts.filter("depth = 0").select(*cell_of, "n").unionByName(found)
 
 
 def with_corners(tiles: DataFrame, root: dict) -> DataFrame:

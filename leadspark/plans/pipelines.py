@@ -5,8 +5,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed as V
 from ..operators import contacts, dedupe, gates, ingest, leads as L, market, store
 from ..sources import files
+from ..sources.stage import staged
 
 
 def union_batches(batches: list[DataFrame]) -> DataFrame:
@@ -57,16 +59,21 @@ def push_saved_runs(
 ) -> tuple[DataFrame, DataFrame]:
     """Saved runs into the working table: (new snapshot, refused files).
 
-    Older runs come first in the batch, so an id seen by several runs ends with
-    the latest reading. Files whose name carries no date, place and niche are
+    Older runs come first in the batch, and rows of a file keep their order, so an
+    id seen by several runs ends with the latest reading. Files whose name carries no date, place and niche are
     refused as a whole.
     """
-    labelled = files.file_labels(files.scan_lead_csv(spark, path))
-    accepted = labelled.filter(~F.col("refused"))
+    text = files.file_labels(files.read_csv_text(spark, path, V.ENRICHED_COLUMNS)).withColumn(
+        "row_no", F.monotonically_increasing_id().bitwiseAND((1 << 31) - 1)
+    )
     refreshed = F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    rows = accepted.withColumn("ord", F.unix_micros("run_at") * 1024 + F.pmod(F.xxhash64("place_id"), F.lit(1024)))
-    outgoing = store.project_sheet(rows, F.col("run_niche"), F.col("run_location"), refreshed)
-    return store.upsert_leads(stored, outgoing, now), labelled.filter("refused").select("file").distinct()
+    accepted = staged(text.filter("NOT refused AND place_id <> ''"), "saved-runs")
+    leads = staged(files.leads_from_csv(accepted), "saved-leads").withColumn(
+        "ord", F.unix_seconds("run_at") * (1 << 31) + F.col("row_no")
+    )
+    outgoing = store.project_sheet(leads, F.col("run_niche"), F.col("run_location"), refreshed)
+    refused = text.filter("refused").select("file").distinct()
+    return store.upsert_leads(stored, outgoing, now), refused
 
 
 def letters(leads: DataFrame, slots: dict | None = None) -> DataFrame:

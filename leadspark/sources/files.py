@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions.derive import finite
 from ..functions.keys import lead_host
 from ..operators.leads import summarise, with_derived, with_score
 
@@ -83,11 +84,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All files under `path` as text columns with their run's file name.
+    """The files under `path`, which share one header, as text columns and `file`.
 
-    Quoted newlines are kept. Columns are bound by each file's own header: files
-    are first grouped by header, so older or wider ones still load; a file whose
-    header has no place_id gives no rows.
+    Quoted newlines are kept, and columns are bound by name: one the header lacks
+    reads as blank, one that is not asked for is ignored, and without a place_id
+    column there are no rows. Runs with different headers are read one call each
+    and put together with `unionByName`.
     """
     raw = spark.read.csv(
         path, header=True, multiLine=True, escape='"', quote='"', enforceSchema=False,
@@ -113,11 +115,6 @@ def run_file(path: Column) -> Column:
 def leads_from_csv(rows: DataFrame) -> DataFrame:
     """Text rows of an enriched file as leads, signals and score computed anew."""
 
-    def number(name, kind="double"):
-        value = F.trim(name).try_cast("double")
-        finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-        return F.when(finite, value.cast(kind))
-
     def or_else(name, default):
         return F.when(F.col(name) == "", F.lit(default)).otherwise(F.col(name))
 
@@ -130,14 +127,14 @@ def leads_from_csv(rows: DataFrame) -> DataFrame:
         lead_host(F.col("website")).alias("host"),
         "email",
         F.filter(F.split("email_alt", " "), lambda w: w != "").alias("email_alt"),
-        number("rating").alias("rating"),
-        number("review_count", "int").alias("reviews"),
+        finite(F.col("rating"), "double").alias("rating"),
+        finite(F.col("review_count"), "int").alias("reviews"),
         "business_status", "primary_type",
-        number("latitude").alias("lat"),
-        number("longitude").alias("lng"),
+        finite(F.col("latitude"), "double").alias("lat"),
+        finite(F.col("longitude"), "double").alias("lng"),
         or_else("reachable", "unknown").alias("reachable"),
         or_else("https", "unknown").alias("https"),
-        number("ttfb_ms", "int").alias("ttfb_ms"),
+        finite(F.col("ttfb_ms"), "int").alias("ttfb_ms"),
         or_else("mobile_viewport", "unknown").alias("viewport"),
         or_else("contact_form", "unknown").alias("contact_form"),
         "final_url", "audit_error",
@@ -180,7 +177,7 @@ def write_sidecar(runs: DataFrame, path: str) -> None:
 def join_sidecar(files: DataFrame, sidecars: DataFrame, newest: int = 40) -> DataFrame:
     """Saved files, newest first, with metadata where it exists and the labels in
     the name where it does not. The listing shows 40 files."""
-    labelled = file_labels(files).orderBy(F.desc("file")).limit(newest)
+    labelled = file_labels(files.orderBy(F.desc("file")).limit(newest))
     return labelled.join(sidecars, "file", "left").select(
         "file",
         F.coalesce("location", "run_location", "file").alias("location"),
