@@ -434,7 +434,7 @@ def reopen_run(t):
 
 
 def _planned(t):
-    return tiles.with_corners(t.tiles, ROOT).select("term", "depth", "gy", "gx", "tile_key")
+    return t.keyed_tiles.select("term", "depth", "gy", "gx", "tile_key")
 
 
 @query

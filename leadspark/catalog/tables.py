@@ -10,6 +10,7 @@ from ..functions import fixed as V
 from ..operators import audit, ledger, market, tiles
 from ..operators import leads as L
 from ..sources.driver_views import VIEWS
+from ..sources.stage import staged
 
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -127,10 +128,15 @@ class Tables:
         """Adaptive tiles of both search phrases, to depth 3."""
         return tiles.quadtree_tiles(self.view("tile_batches"), ROOT, 3)
 
+    @cached_property
+    def keyed_tiles(self) -> DataFrame:
+        """The same tiles with their corners, as the saved plan of a sweep."""
+        return staged(tiles.with_corners(self.tiles, ROOT), "tiles")
+
     @cached_property
     def tile_cache(self) -> DataFrame:
         """Cached answers for part of the planned tiles, fresh, old or broken."""
-        keyed = tiles.with_corners(self.tiles, ROOT).filter("(gy + gx + depth) % 3 <> 0")
+        keyed = self.keyed_tiles.filter("(gy + gx + depth) % 3 <> 0")
         day = F.concat(F.lit("2026-07-"), F.lpad((F.col("gx") + 27).cast("string"), 2, "0"))
         return keyed.select(
             "tile_key",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.clock import day_key, month_key, next_day_reset, next_month_reset
-from .skew import ROWS_PER_TASK, join_by_key
+from .skew import ROWS_PER_TASK, hot_keys, join_by_key
 
 SEGMENT = ["account", "month", "day"]
 
@@ -144,11 +144,12 @@ class Ledger:
 
 
 _MAP_SCHEMA = (
-    "account string, month string, day string, first_ts timestamp, reserves boolean, "
-    "by_used array<int>, by_used_day array<int>, by_day array<int>, by_day_day array<int>"
+    "account string, month string, day string, slot int, first_ts timestamp, reserves boolean, "
+    "by_used array<int>, by_used_day array<int>, by_day array<int>, by_day_day array<int>, "
+    "by_both array<int>, by_both_day array<int>"
 )
 _START_SCHEMA = (
-    "account string, month string, day string, s_month string, s_day string, "
+    "account string, month string, day string, slot int, s_month string, s_day string, "
     "s_used long, s_day_used long"
 )
 _STEP_SCHEMA = (
@@ -165,101 +166,141 @@ def budget_settle(
 ) -> DataFrame:
     """The ledger after every reserve and settle event, per account in time order.
 
-    An account's history is cut into its calendar days and the days are worked on
-    in parallel. The first pass runs each day for every count it could start from
-    (at most `month_cap` + 1 when the month goes on, `day_cap` + 1 when only the
-    day does), which turns a day into a small table. The tables of an account are
-    then chained in order, and the second pass runs each day once from its true
-    start. An account's task therefore handles days, not events, and a day is
-    streamed through its task in batches.
+    An account's history is cut into its calendar days, and a day too heavy for
+    one task into slots of equal length; the pieces are worked on in parallel. The
+    first pass runs each piece for every count it could start from, which turns it
+    into a small table. The tables of an account are then chained in order, and
+    the second pass runs each piece once from its true start. An account's task
+    therefore handles days and slots, not events, and a piece is streamed through
+    its task in batches.
     """
-    dated = with_calendar(events)
-    maps = _by_day(dated).mapInPandas(_day_maps(month_cap, day_cap), _MAP_SCHEMA)
-    starts = maps.groupBy("account").applyInPandas(_chain, _START_SCHEMA)
-    begun = join_by_key(dated, starts, SEGMENT, "event_id", rows_per_task=rows_per_task)
-    return _by_day(begun).mapInPandas(_replay(month_cap, day_cap), _STEP_SCHEMA)
+    dated = _slotted(with_calendar(events), rows_per_task)
+    maps = _in_order(dated).mapInPandas(_piece_maps(month_cap, day_cap), _MAP_SCHEMA)
+    starts = maps.groupBy("account").applyInPandas(_chain(day_cap), _START_SCHEMA)
+    begun = join_by_key(dated, starts, PIECE, "event_id", rows_per_task=rows_per_task)
+    return _in_order(begun).mapInPandas(_replay(month_cap, day_cap), _STEP_SCHEMA)
 
 
-def _by_day(events: DataFrame) -> DataFrame:
-    """Each account's day in one partition and in time order, read as a stream.
+PIECE = [*SEGMENT, "slot"]
+MAX_SLOTS = 96
+LONGEST_DAY_MIN = 25 * 60
+
+
+def _slotted(dated: DataFrame, rows_per_task: int) -> DataFrame:
+    """Adds `slot`, 0 on ordinary days, and `split`, whether the day has several.
+
+    Slots are measured from the instant the day began, so they stay in time order
+    when the clocks change.
+    """
+    counts = dated.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(hot_keys(counts, SEGMENT, rows_per_task=rows_per_task))
+    began = F.to_utc_timestamp(F.col("day").cast("timestamp"), V.QUOTA_ZONE)
+    minute = F.floor((F.unix_seconds("ts") - F.unix_seconds(began)) / 60)
+    slot = F.floor(minute * F.least("_salts", F.lit(MAX_SLOTS)) / LONGEST_DAY_MIN)
+    return dated.join(hot, SEGMENT, "left").select(
+        *dated.columns,
+        F.when(F.col("_salts").isNotNull(), slot).otherwise(0).cast("int").alias("slot"),
+        F.col("_salts").isNotNull().alias("split"),
+    )
+
+
+def _in_order(events: DataFrame) -> DataFrame:
+    """Each piece in one partition and in time order, read as a stream.
 
     The partition number is given because the Python step behind it is heavy for
     its bytes, and adaptive coalescing would pack it by bytes.
     """
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartition(n, *SEGMENT).sortWithinPartitions(*SEGMENT, "ts", "event_id")
+    return events.repartition(n, *PIECE).sortWithinPartitions(*PIECE, "ts", "event_id")
 
 
-def _segment(row) -> tuple:
-    return row.account, row.month, row.day
+def _piece(row) -> tuple:
+    return row.account, row.month, row.day, row.slot
 
 
-def _day_maps(month_cap: int, day_cap: int):
-    """Turns each ordered day into its table of end counts per start count."""
+def _piece_maps(month_cap: int, day_cap: int):
+    """Turns each ordered piece into its tables of end counts per start count."""
 
-    def finish(head, reserves, on, off):
+    def begin(row):
+        used, days = np.arange(month_cap + 1), np.arange(day_cap + 1)
+        both = [np.repeat(used, day_cap + 1), np.tile(days, month_cap + 1)] if row.split else [[], []]
+        # A day only goes on into a new month when it began in the month before.
+        carried = days[:1] if row.day.startswith(row.month) else days
+        return (
+            # The month goes on, but a new day begins.
+            Ledger(row.month, "", used, used * 0, month_cap, day_cap),
+            # The day goes on, but a new month begins.
+            Ledger("", row.day, carried * 0, carried, month_cap, day_cap),
+            # Both go on: a later slot of a split day.
+            Ledger(row.month, row.day, both[0], both[1], month_cap, day_cap),
+        )
+
+    def finish(head, reserves, ledgers):
+        on_month, on_day, on_both = ledgers
         return {
-            "account": head.account, "month": head.month, "day": head.day, "first_ts": head.ts,
-            "reserves": reserves, "by_used": on.used, "by_used_day": on.day_used,
-            "by_day": off.used, "by_day_day": off.day_used,
+            "account": head.account, "month": head.month, "day": head.day, "slot": head.slot,
+            "first_ts": head.ts, "reserves": reserves,
+            "by_used": on_month.used, "by_used_day": on_month.day_used,
+            "by_day": on_day.used, "by_day_day": on_day.day_used,
+            "by_both": on_both.used.astype(int), "by_both_day": on_both.day_used.astype(int),
         }
 
     def run(batches):
-        head, reserves, on, off = None, False, None, None
+        head, reserves, ledgers = None, False, ()
         for pdf in batches:
             done = []
             for row in pdf.itertuples(index=False):
-                if head is None or _segment(row) != _segment(head):
+                if head is None or _piece(row) != _piece(head):
                     if head is not None:
-                        done.append(finish(head, reserves, on, off))
-                    head, reserves = row, False
-                    # The month goes on from an earlier day / only the day goes on,
-                    # which needs a day that began in the month before.
-                    counts = np.arange(month_cap + 1)
-                    days = np.arange(1 if row.day.startswith(row.month) else day_cap + 1)
-                    on = Ledger(row.month, "", counts, counts * 0, month_cap, day_cap)
-                    off = Ledger("", row.day, days * 0, days, month_cap, day_cap)
+                        done.append(finish(head, reserves, ledgers))
+                    head, reserves, ledgers = row, False, begin(row)
                 reserves = reserves or row.kind == "reserve"
-                on.apply(row)
-                off.apply(row)
+                for ledger in ledgers:
+                    if ledger.used.size:
+                        ledger.apply(row)
             if done:
                 yield pd.DataFrame(done)
         if head is not None:
-            yield pd.DataFrame([finish(head, reserves, on, off)])
+            yield pd.DataFrame([finish(head, reserves, ledgers)])
 
     return run
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Start of every day of one account, from the tables of the days before."""
-    month = day = ""
-    used = day_used = 0
-    starts = []
-    for row in pdf.sort_values("first_ts").itertuples(index=False):
-        starts.append((row.account, row.month, row.day, month, day, used, day_used))
-        if row.month == month:
-            day_used = int(row.by_used_day[used]) if row.reserves else day_used
-            used = int(row.by_used[used])
-        elif row.reserves:
-            carried = day_used if row.day == day else 0
-            used, day_used = int(row.by_day[carried]), int(row.by_day_day[carried])
-        if row.reserves:
-            month, day = row.month, row.day
-    return pd.DataFrame(
-        starts, columns=["account", "month", "day", "s_month", "s_day", "s_used", "s_day_used"]
-    )
+def _chain(day_cap: int):
+    """Start of every piece of one account, from the tables of the pieces before."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        month = day = ""
+        used = day_used = 0
+        starts = []
+        for row in pdf.sort_values("first_ts").itertuples(index=False):
+            starts.append((*_piece(row), month, day, used, day_used))
+            if row.month == month and row.day == day:
+                at = used * (day_cap + 1) + day_used
+                used, day_used = int(row.by_both[at]), int(row.by_both_day[at])
+            elif row.month == month:
+                day_used = int(row.by_used_day[used]) if row.reserves else day_used
+                used = int(row.by_used[used])
+            elif row.reserves:
+                carried = day_used if row.day == day else 0
+                used, day_used = int(row.by_day[carried]), int(row.by_day_day[carried])
+            if row.reserves:
+                month, day = row.month, row.day
+        return pd.DataFrame(starts, columns=[*PIECE, "s_month", "s_day", "s_used", "s_day_used"])
+
+    return run
 
 
 def _replay(month_cap: int, day_cap: int):
-    """Plays each ordered day once from its true start."""
+    """Plays each ordered piece once from its true start."""
 
     def run(batches):
         current, ledger = None, None
         for pdf in batches:
             steps = []
             for row in pdf.itertuples(index=False):
-                if _segment(row) != current:
-                    current = _segment(row)
+                if _piece(row) != current:
+                    current = _piece(row)
                     ledger = Ledger(
                         row.s_month, row.s_day, [row.s_used], [row.s_day_used], month_cap, day_cap
                     )

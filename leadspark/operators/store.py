@@ -121,8 +121,11 @@ def patch_violations(stored: DataFrame, patches: DataFrame) -> DataFrame:
         .when(~F.coalesce(F.col("column").isin(V.PATCHABLE_COLUMNS), F.lit(False)), F.lit("column is not patchable"))
         .alias("error"),
     ).filter("error IS NOT NULL")
-    known = stored.select("place_id")
-    unknown = patches.filter(~blank("place_id")).join(known, "place_id", "left_anti").select(
+    # Small enough to look up: the ids of an oversized batch are not.
+    small = patches.filter(size.scalar() <= V.MAX_PATCHES).limit(V.MAX_PATCHES)
+    asked = F.broadcast(small.select("place_id").distinct())
+    known = F.broadcast(stored.select("place_id").join(asked, "place_id", "left_semi"))
+    unknown = small.filter(~blank("place_id")).join(known, "place_id", "left_anti").select(
         F.col("ord").cast("long").alias("ord"), F.lit("no lead with this place_id").alias("error")
     )
     return wrong_size.unionByName(bad_cell).unionByName(unknown)

@@ -63,11 +63,11 @@ def push_saved_runs(
     id seen by several runs ends with the latest reading. Files whose name carries no date, place and niche are
     refused as a whole.
     """
-    text = files.file_labels(files.read_csv_text(spark, path, V.ENRICHED_COLUMNS)).withColumn(
-        "row_no", F.monotonically_increasing_id().bitwiseAND((1 << 31) - 1)
-    )
+    text = files.file_labels(files.read_csv_text(spark, path, V.ENRICHED_COLUMNS))
     refreshed = F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    accepted = staged(text.filter("NOT refused AND place_id <> ''"), "saved-runs")
+    row_no = F.monotonically_increasing_id().bitwiseAND((1 << 31) - 1)
+    kept = text.filter("NOT refused AND place_id <> ''").withColumn("row_no", row_no)
+    accepted = staged(kept, "saved-runs")
     leads = staged(files.leads_from_csv(accepted), "saved-leads").withColumn(
         "ord", F.unix_seconds("run_at") * (1 << 31) + F.col("row_no")
     )

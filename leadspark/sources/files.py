@@ -192,13 +192,17 @@ def join_sidecar(files: DataFrame, sidecars: DataFrame, newest: int = 40) -> Dat
 def reopen_run(leads: DataFrame, file: str, sidecars: DataFrame) -> DataFrame:
     """One saved run's totals, recomputed, beside what was stored with it."""
     rows = leads.filter(F.col("file") == file)
-    totals = summarise(rows).withColumn("file", F.lit(file))
-    audited = rows.agg(F.coalesce(F.bool_or("audited"), F.lit(False)).alias("any_audited"))
-    stored = sidecars.filter(F.col("file") == file)
+    audited = rows.agg(F.coalesce(F.bool_or("audited"), F.lit(False)))
+    facts = [c for c in sidecars.columns if c != "file"]
+    stored = sidecars.filter(F.col("file") == file).agg(F.max(F.struct(*facts)))
     return (
-        file_labels(totals)
-        .join(stored.withColumn("_stored", F.lit(True)), "file", "left")
+        file_labels(summarise(rows).withColumn("file", F.lit(file)))
         .withColumn("any_audited", audited.scalar())
-        .withColumn("reopened_without_run", F.col("_stored").isNull())
+        .withColumn("_stored", stored.scalar())
+        .select(
+            "*",
+            *[F.col(f"_stored.{c}").alias(c) for c in facts],
+            F.col("_stored").isNull().alias("reopened_without_run"),
+        )
         .drop("_stored")
     )
