@@ -155,7 +155,7 @@ def dims_niches(t):
 
 @query
 def dims_markets(t):
-    """Curated markets and seed locations with the leads inside a market's box."""
+    """Curated markets with the leads of their niche inside their box."""
     dim = t.spark.createDataFrame(V.CURATED_MARKETS, "niche string, market string, label string, sw_lat double, sw_lng double, ne_lat double, ne_lng double")
     inside = F.col("lat").between(F.col("sw_lat"), F.col("ne_lat")) & F.col("lng").between(F.col("sw_lng"), F.col("ne_lng"))
     points = t.view("leads").select("lat", "lng", F.col("niche").alias("lead_niche"))
@@ -165,6 +165,19 @@ def dims_markets(t):
     )
 
 
+@query
+def dims_locations(t):
+    """Starting locations with the leads whose address names them."""
+    seeds = [(place, region) for region, places in V.LOCATION_SEEDS.items() for place in places]
+    dim = F.broadcast(t.spark.createDataFrame(seeds, "place string, region string"))
+    names = F.array(*[F.lit(place) for place, _ in seeds])
+    named = t.view("leads").select(
+        F.explode(F.filter(names, lambda place: F.contains(F.col("address"), place))).alias("place")
+    )
+    counts = named.groupBy("place").agg(F.count(F.lit(1)).alias("leads"))
+    return counts.join(dim, "place")
+
+
 # ---------------------------------------------------------------- sinks
 
 
