@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,16 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def portions(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about `size` bytes in a binary column each."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(lengths, dtype=np.int64) // size
+    edges = np.flatnonzero(np.diff(group)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 class Memo(dict):
     """A bounded cache of a pure function: emptied when full, so memory stays flat."""
 

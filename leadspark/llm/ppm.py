@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import Scratch, fold, raw
+from leadspark.llm.common import Scratch, fold, portions, raw
 
 END = 256
 SYMBOLS = 257
@@ -26,11 +26,11 @@ BITS = np.uint64(9)
 ORDER = 5
 #: Entries of the trie that is sent to the executors. While the corpus has more, entries
 #: below a count are left out, the same count at all orders.
-MAX_ENTRIES = 2_500_000
+MAX_ENTRIES = 2_000_000
 #: Words whose counts are sent to the executors; all others are joined by a shuffle.
-TOP_WORDS = 200_000
+TOP_WORDS = 150_000
 HELD_FOLDS, HELD = 7, 2
-FLUSH = 400_000
+FLUSH = 300_000
 LN10 = math.log(10)
 
 
@@ -82,11 +82,16 @@ class Table:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Position in the table's own order of each key, -1 where it is missing."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
         slot = self.slot(keys).astype(np.int64)
-        at, end = self.starts[slot], self.starts[slot + 1]
-        out = np.full(len(keys), -1, np.int32)
-        live = np.flatnonzero(at < end)
-        at, end = at[live], end[live]
+        at = self.starts[slot]
+        # the first key of a slot; a later slot's key, met where the slot is empty, is not equal
+        out = np.where(self.keys[np.minimum(at, len(self.keys) - 1)] == keys, at, np.int32(-1))
+        live = np.flatnonzero(out < 0)
+        at, end = at[live] + 1, self.starts[slot[live] + 1]
+        go = at < end
+        live, at, end = live[go], at[go], end[go]
         while len(live):
             hit = self.keys[at] == keys[live]
             out[live[hit]] = at[hit]
@@ -226,9 +231,8 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
     def run(batches):
         held: pd.Series | None = None
         for batch in batches:
-            texts = [lowered(t) for t in batch.column(0).to_pylist()]
-            for a, b in slices(texts, 2 << 20):
-                stream, at, _ = symbols(texts[a:b], order)
+            for part in portions(batch, 0):
+                stream, at, _ = symbols([lowered(t) for t in part.column(0).to_pylist()], order)
                 n = pd.Series(grams(stream, at, order).view(np.int64)).value_counts(sort=False)
                 held = n if held is None else held.add(n, fill_value=0)
                 if len(held) > FLUSH:
@@ -244,19 +248,6 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def slices(texts: list[bytes], size: int) -> list[tuple[int, int]]:
-    """Cut a list of texts into runs of about `size` bytes."""
-    out, start, held = [], 0, 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            out.append((start, k + 1))
-            start, held = k + 1, 0
-    if start < len(texts):
-        out.append((start, len(texts)))
-    return out
-
-
 def learn_trie(docs: DataFrame, scratch: Scratch, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Trie:
     """A trie over the column `text` (bytes) of all rows.
 
@@ -287,8 +278,9 @@ def count_words(docs: DataFrame) -> DataFrame:
     def run(batches):
         held: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(lowered(text).split())
+            for part in portions(batch, 0):
+                for text in part.column(0).to_pylist():
+                    held.update(lowered(text).split())
                 if len(held) > FLUSH:
                     yield counted(held)
                     held = Counter()
@@ -329,11 +321,10 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches):
         trie, gain = shared.value
         for batch in batches:
-            texts_ = [lowered(t) for t in batch.column(2).to_pylist()]
-            for a, b in slices(texts_, 1 << 20):
-                part = texts_[a:b]
+            for part in portions(batch, 2):
+                lines = [lowered(t) for t in part.column(2).to_pylist()]
                 total, known, base, rare = [], [], [], []
-                for text in part:
+                for text in lines:
                     found = text.split()
                     seen = [gain[w] for w in found if w in gain]
                     total.append(len(found) + 1)
@@ -342,8 +333,8 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     more = Counter([w for w in found if w not in gain]) if len(seen) < len(found) else {}
                     rare.append([{"word": w.decode(), "n": n} for w, n in more.items()])
                 cols = [
-                    batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(total, pa.int64()),
-                    pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(trie.scores(part)),
+                    part.column(0), part.column(1), pa.array(total, pa.int64()), pa.array(known, pa.int64()),
+                    pa.array(base, pa.float64()), pa.array(trie.scores(lines)),
                     pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
