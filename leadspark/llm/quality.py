@@ -136,8 +136,8 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     cuts = np.quantile(positive, np.linspace(0, 0.9, 91))
     sp = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
     su = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
-    error = 2 * (np.sqrt(1 / len(positive)) + np.sqrt(1 / len(unlabelled)))
-    best = int(np.argmin((su + error * np.sqrt(np.maximum(su, 1e-9))) / sp))
+    error = np.sqrt(1 / len(positive)) + np.sqrt(1 / len(unlabelled))
+    best = int(np.argmin((su + error) / sp))
     return float(np.clip(su[best] / sp[best], 0.02, 0.98))
 
 
