@@ -143,6 +143,8 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def pu_fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Net, float]:
     """Estimate the prior from held-back scores of a first net, then fit with it."""
+    rng = np.random.default_rng(11)
+    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)
     half_p, half_u = len(positive) // 2, len(unlabelled) // 2
     prior = 0.5
     for _ in range(2):
