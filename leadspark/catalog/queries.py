@@ -717,7 +717,7 @@ def phone_key(t):
 
 @query
 def host_key(t):
-    return t.view("pages").select("page_id", K.host_key(F.concat(F.upper(F.substring("url", 1, 12)), F.substring("url", 13, 1000))).alias("host_key"))
+    return t.view("pages").select("page_id", K.host_key(F.concat(F.upper(F.substring("url", 1, 12)), F.expr("substring(url, 13)"))).alias("host_key"))
 
 
 @query
@@ -753,7 +753,7 @@ def email_rank(t):
 
 @query
 def contact_links(t):
-    return audit.contact_links(t.view("site_pages"), 10).select("page_id", F.size("links").alias("found"), joined("links"))
+    return audit.contact_links(t.view("site_pages"), None).select("page_id", F.size("links").alias("found"), joined("links"))
 
 
 @query

@@ -23,7 +23,11 @@ def finite(text: Column, kind: str) -> Column:
     def kept(v):
         return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v.cast(kind))
 
-    return let(F.trim(text).try_cast("double"), kept)
+    def number(t):
+        # a trailing d or f, which a cast would take, is no part of a number
+        return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+
+    return let(let(F.trim(text), number), kept)
 
 
 def has_signal(name: str) -> Column:

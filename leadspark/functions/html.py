@@ -1,7 +1,8 @@
 """Facts read out of captured HTML: addresses, contact links, page checks.
 
-Everything is an in-row expression: no page ever leaves its row, so the cost is
-linear in the text and no shuffle is needed.
+Everything is an in-row expression of a cost linear in the text, hostile markup
+included. Callers take the facts of a capture before they group or join, so no page
+text reaches a shuffle.
 """
 
 import re
@@ -12,18 +13,68 @@ from pyspark.sql import functions as F
 from . import fixed as V
 from .derive import first_match, let
 
-# A match can only begin where an address run begins, so long runs of address
-# characters are read once instead of once per character.
-_EMAIL_AT_RUN_START = r"(?:\G|(?<![A-Za-z0-9._%+-]))(" + V.EMAIL_PATTERN + ")"
+# Marks a double dot in an address run, or an opening mark that nothing closes.
+_BREAK = "\u0001"
+# Stands where an element was taken out, and before one that stays.
+_CUT = "\u0002"
+# The fixed address pattern written without a repeated group, which would recurse once
+# per label: with double dots marked, a host is one flat run of label characters. A match
+# can only begin where an address run begins, so such a run is read once.
+_EMAIL_AT_RUN_START = (
+    rf"(?:\G|(?<![A-Za-z0-9._%+{_BREAK}-]))"
+    rf"([A-Za-z0-9._%+{_BREAK}-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{{2,}})"
+)
+
+
+def _before(text: Column, tail: Column) -> Column:
+    return F.left(text, F.length(text) - F.length(tail))
+
+
+def _without_comments(html: Column) -> Column:
+    """Only what stands before the last closing mark can be a comment."""
+
+    def cut(tail):
+        return F.concat(F.regexp_replace(_before(html, tail), r"<!--[\s\S]*?-->", " "), tail)
+
+    return F.when(F.contains(html, F.lit("-->")), let(F.substring_index(html, "-->", -1), cut)).otherwise(html)
+
+
+def _without_element(html: Column, name: str, kept: str | None = None) -> Column:
+    """Without the elements `name`; those whose opening tag holds `kept` stay.
+
+    An opening tag is looked for only where a `>` and a closing tag follow, so every
+    attempt succeeds and the text is read once. `kept` is matched first and skipped as
+    one piece.
+    """
+    closing = rf"(?is)^([\s\S]*)(</{name}>)([\s\S]*)$"
+    keep = rf"(<{name}\b[^>]*{kept})|" if kept else "()"
+
+    def cut(parts):
+        body = parts["body"]
+
+        def joined(loose):
+            marked = F.regexp_replace(loose, rf"(?i)<(?={name})", "<" + _BREAK)
+            pattern = rf"(?i){keep}<{name}\b[^>]*>[\s\S]*?</{name}>"
+            text = F.regexp_replace(F.concat(_before(body, loose), marked, parts["close"]), pattern, _CUT + "$1")
+            if kept:
+                text = F.regexp_replace(text, rf"(?i){_CUT}(?=<{name}\b)", "")
+            return F.concat(F.translate(text, _CUT + _BREAK, " "), parts["tail"])
+
+        return let(F.substring_index(body, ">", -1), joined)
+
+    def part(group):
+        return F.regexp_extract(html, closing, group)
+
+    parts = F.struct(part(1).alias("body"), part(2).alias("close"), part(3).alias("tail"))
+    return F.when(html.rlike(rf"(?i)</{name}>"), let(parts, cut)).otherwise(html)
 
 
 def visible_html(html: Column) -> Column:
     """Without comments, styles and scripts; ld+json scripts are kept."""
-    out = F.regexp_replace(html, r"<!--[\s\S]*?-->", " ")
-    out = F.regexp_replace(
-        out, r"(?i)<script\b(?![^>]*ld\+json)[^>]*>[\s\S]*?</script>", " "
-    )
-    return F.regexp_replace(out, r"(?i)<style\b[^>]*>[\s\S]*?</style>", " ")
+    plain = F.translate(html, _BREAK + _CUT, "  ")
+    out = let(plain, _without_comments)
+    out = let(out, lambda t: _without_element(t, "script", r"ld\+json"))
+    return let(out, lambda t: _without_element(t, "style"))
 
 
 def _decoded(raw: Column) -> Column:
@@ -43,8 +94,9 @@ def email_candidates(html: Column) -> Column:
 
     def found(text):
         mailto = F.regexp_extract_all(text, F.lit(V.MAILTO_PATTERN), F.lit(1))
-        bare = F.regexp_extract_all(text, F.lit(_EMAIL_AT_RUN_START), F.lit(1))
-        return F.concat(mailto, bare)
+        marked = F.regexp_replace(text, r"\.(?=\.)", "." + _BREAK)
+        bare = F.regexp_extract_all(marked, F.lit(_EMAIL_AT_RUN_START), F.lit(1))
+        return F.concat(mailto, F.transform(bare, lambda a: F.replace(a, F.lit(_BREAK), F.lit(""))))
 
     both = F.transform(let(visible_html(html), found), _normalised)
     return F.array_distinct(F.filter(both, lambda a: a != ""))
@@ -106,7 +158,11 @@ def email_score(address: Column, site_host: Column) -> Column:
 
 
 def rank_emails(candidates: Column, site_host: Column) -> Column:
-    """Plausible addresses of this site, best first, then alphabetical."""
+    """Plausible addresses of this site, best first, then alphabetical.
+
+    A blank host is an unknown one: every plausible address is kept.
+    """
+    site_host = F.nullif(site_host, F.lit(""))
     kept = F.filter(candidates, lambda a: email_plausible(a) & email_belongs(a, site_host))
     keyed = F.transform(
         kept, lambda a: F.struct((-email_score(a, site_host)).alias("k"), a.alias("a"))
@@ -235,8 +291,8 @@ def resolve_url(href: Column, base: Column) -> Column:
     return let(F.regexp_replace(_tidy(href), r"#[\s\S]*$", ""), absolute)
 
 
-def contact_links(html: Column, base: Column, limit: int = 2) -> Column:
-    """First distinct same-host links that hint at a contact page.
+def contact_links(html: Column, base: Column, limit: int | None = 2) -> Column:
+    """First distinct same-host links that hint at a contact page; all without a limit.
 
     `base` is the parsed URL of the page.
     """
@@ -256,7 +312,8 @@ def contact_links(html: Column, base: Column, limit: int = 2) -> Column:
             urls,
             lambda u: u["href"].isNotNull() & (bare_host(u["host"]) == site) & (u["href"] != page),
         )
-        return F.slice(F.array_distinct(F.transform(kept, lambda u: u["href"])), 1, limit)
+        links = F.array_distinct(F.transform(kept, lambda u: u["href"]))
+        return links if limit is None else F.slice(links, 1, limit)
 
     none = F.array().cast("array<string>")
     return F.when(base["href"].isNotNull(), let(base, found)).otherwise(none)
@@ -285,7 +342,22 @@ def yes_no(cond: Column) -> Column:
 
 
 def has_viewport(html: Column) -> Column:
-    return html.rlike(V.VIEWPORT_PATTERN)
+    """Whether some closed meta tag names the viewport.
+
+    The fixed pattern, VIEWPORT_PATTERN, read piece by piece between `>`: the first
+    `<meta` of a piece must stand before its last name, with a character between.
+    """
+    named = r"(?i)^([\s\S]*)name\s*=\s*[\"']viewport[\"']"
+
+    def inside(piece):
+        start = F.instr(F.lower(piece), "<meta")
+        before = F.length(F.regexp_extract(piece, named, 1))
+        return piece.rlike(named) & (start > 0) & (before >= start + 5)
+
+    def closed(pieces):
+        return F.exists(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), inside)
+
+    return F.when(html.rlike("(?i)viewport"), let(F.split(html, ">"), closed)).otherwise(html.isNull() & F.lit(None))
 
 
 def has_form(html: Column) -> Column:

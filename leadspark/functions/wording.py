@@ -60,13 +60,14 @@ def plural_niche(niche: Column, fallback: str = "businesses") -> Column:
 
 
 def capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))
 
 
 def title_case(text: Column) -> Column:
     """Dashes to spaces, every ASCII word start in upper case."""
-    words = F.split(F.regexp_replace(text, "-", " "), " ")
-    return F.array_join(F.transform(words, capital), " ")
+    pieces = F.split(F.regexp_replace(text, "-", " "), "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])")
+    started = F.transform(pieces, lambda w: F.when(w.rlike("^[a-z]"), capital(w)).otherwise(w))
+    return F.array_join(started, "")
 
 
 def market_label(location: Column, fallback: str = "your market") -> Column:
@@ -102,9 +103,10 @@ def _strip_rare(text: pd.Series) -> pd.Series:
 
 
 def strip_accents(text: Column) -> Column:
-    """Accents off. Latin letters are replaced by built-in code; only what holds
-    any other non-ASCII character after that is sent to Python."""
-    plain = F.translate(text, "".join(_ACCENTED) + _MARKS, "".join(_ACCENTED.values()))
+    """Accents off. ASCII text is left alone, Latin letters are replaced by built-in
+    code; only what holds any other non-ASCII character after that is sent to Python."""
+    latin = F.translate(text, "".join(_ACCENTED) + _MARKS, "".join(_ACCENTED.values()))
+    plain = F.when(text.rlike("[^\\x00-\\x7F]"), latin).otherwise(text)
     rest = let(plain, lambda p: F.when(p.rlike("[^\\x00-\\x7F]"), p))
     return F.coalesce(_strip_rare(rest), plain)
 

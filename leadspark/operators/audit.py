@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed as V
 from ..functions import html as H
 from ..functions.derive import blank, first_match
 from ..functions.robots import allowed, wildcard_rules
@@ -52,7 +53,7 @@ def extract_emails(pages: DataFrame) -> DataFrame:
     return pages.withColumn("emails", H.extract_emails(F.col("html"), F.col("site_host")))
 
 
-def contact_links(pages: DataFrame, limit: int = 2) -> DataFrame:
+def contact_links(pages: DataFrame, limit: int | None = 2) -> DataFrame:
     return pages.withColumn("links", H.contact_links(F.col("html"), H.parse_url(F.col("url")), limit))
 
 
@@ -82,20 +83,14 @@ def audit_site(sites: DataFrame, captures: DataFrame, robots: DataFrame) -> Data
 
     `sites` has one row per place (place_id, website). `captures` holds the pages
     by role: `home`, `home_https` (the retry) and `contact`. A capture without a
-    status is a failed connection.
+    status is a failed connection. The facts of a capture are read in its own row;
+    only they, never the page text, are grouped and joined.
     """
     start = _with_rules(
         sites.select("place_id", "website", H.parse_url(F.col("website")).alias("at")), robots
     )
-    page = F.struct(
-        "http_status",
-        F.coalesce("final_url", "url").alias("url"),
-        H.wanted_body(F.col("html"), F.col("content_type")).alias("html"),
-        "ttfb_ms",
-        "error",
-    )
-    homes = captures.filter(F.col("role").isin("home", "home_https")).groupBy("place_id").agg(
-        _any_of(page, "home").alias("home"), _any_of(page, "home_https").alias("home_https")
+    homes = _home_facts(captures).groupBy("place_id").agg(
+        _any_of(F.col("page"), "home").alias("home"), _any_of(F.col("page"), "home_https").alias("home_https")
     )
     seen = start.join(homes, "place_id", "left")
 
@@ -116,13 +111,11 @@ def audit_site(sites: DataFrame, captures: DataFrame, robots: DataFrame) -> Data
     fetched = seen.select(
         "place_id", "website", open_here.alias("open_here"), parseable.alias("parseable"),
         chosen.alias("page"), F.col("home.error").alias("failure"), rules.alias("rules"),
-        H.parse_url(chosen["url"]).alias("ended"),
     )
 
     status = F.col("page.http_status")
     up = H.reachable(status)
-    loaded = (up == "yes") & (F.col("page.html") != "")
-    site_host = H.bare_host(F.col("ended.host"))
+    loaded = (up == "yes") & F.col("page.has_body")
     judged = fetched.select(
         "place_id", "website", "open_here", "parseable", "rules", "failure",
         status.alias("http_status"),
@@ -130,16 +123,38 @@ def audit_site(sites: DataFrame, captures: DataFrame, robots: DataFrame) -> Data
         F.when(F.col("page").isNull(), F.lit("no")).otherwise(up).alias("up"),
         F.coalesce(loaded, F.lit(False)).alias("loaded"),
         F.when(up == "yes", F.col("page.ttfb_ms")).alias("ttfb_ms"),
-        site_host.alias("site_host"),
-        H.has_viewport(F.col("page.html")).alias("viewport"),
-        H.has_contact_form(F.col("page.html")).alias("form"),
-        F.when(loaded, H.rank_emails(H.email_candidates(F.col("page.html")), site_host)).alias("home_emails"),
-        F.when(loaded, H.contact_links(F.col("page.html"), F.col("ended"))).alias("links"),
+        F.col("page.site_host").alias("site_host"),
+        F.col("page.viewport").alias("viewport"),
+        F.col("page.form").alias("form"),
+        F.when(loaded, F.col("page.emails")).alias("home_emails"),
+        F.when(loaded, F.col("page.links")).alias("links"),
     )
-    # Read twice below, and no longer carries any page text.
+    # Read twice below.
     return _with_contact_pages(staged(judged, "site-audit"), captures)
 
 
+def _home_facts(captures: DataFrame) -> DataFrame:
+    """(place_id, role, link_no, page): what a home capture says, without its text."""
+    body = H.wanted_body(F.col("html"), F.col("content_type"))
+    read = captures.filter(F.col("role").isin("home", "home_https")).select(
+        "place_id", "role", "link_no", "http_status", "ttfb_ms", "error",
+        F.coalesce("final_url", "url").alias("url"),
+        body.alias("body"),
+        H.parse_url(F.coalesce("final_url", "url")).alias("ended"),
+    )
+    site_host = H.bare_host(F.col("ended.host"))
+    facts = F.struct(
+        "http_status", "url", "ttfb_ms", "error",
+        (F.col("body") != "").alias("has_body"),
+        site_host.alias("site_host"),
+        H.has_viewport(F.col("body")).alias("viewport"),
+        H.has_contact_form(F.col("body")).alias("form"),
+        H.rank_emails(H.email_candidates(F.col("body")), site_host).alias("emails"),
+        H.contact_links(F.col("body"), F.col("ended")).alias("links"),
+    )
+    return read.select("place_id", "role", "link_no", facts.alias("page"))
+
+
 def _any_of(page, role):
     """The capture of a role; the latest numbered one if there are several."""
     return F.max_by(F.when(F.col("role") == role, page), F.when(F.col("role") == role, F.coalesce("link_no", F.lit(0))))
@@ -182,17 +197,18 @@ def _with_contact_pages(judged: DataFrame, captures: DataFrame) -> DataFrame:
     body = H.wanted_body(F.col("html"), F.col("content_type"))
     pages = (
         captures.filter("role = 'contact'")
-        .withColumn("link", H.parse_url(F.col("url"))["href"])
-        .withColumn("_rank", F.row_number().over(latest))
-        .filter("_rank = 1")
         .select(
             "place_id",
-            "link",
+            H.parse_url(F.col("url"))["href"].alias("link"),
+            "link_no",
             F.col("http_status").isNotNull().alias("answered"),
             (body != "").alias("has_body"),
             H.has_form(body).alias("form"),
             H.email_candidates(body).alias("candidates"),
         )
+        .withColumn("_rank", F.row_number().over(latest))
+        .filter("_rank = 1")
+        .drop("_rank", "link_no")
     )
     open_link = allowed(F.col("rules.disallow"), F.col("rules.allow"), H.parse_url(F.col("link"))["path"])
     read = to_read.join(pages, ["place_id", "link"], "left").select(
@@ -264,6 +280,10 @@ def _with_contact_pages(judged: DataFrame, captures: DataFrame) -> DataFrame:
                 (~listed, F.lit("no website listed")),
                 (~F.col("parseable"), F.concat(F.lit("unparseable url: "), F.col("website"))),
                 (blocked, F.lit("robots.txt disallows this path")),
+                (
+                    ~answered & F.contains("failure", F.lit("abort")),
+                    F.lit(f"timeout after {V.AUDIT_TIMEOUT_MS}ms"),
+                ),
                 (~answered, F.substring("failure", 1, 160)),
             ],
             F.lit(None).cast("string"),

@@ -69,3 +69,26 @@ def test_robots_served_as_something_else_gives_no_rules(spark):
             ("c", 404, "text/plain", "User-agent: *\nDisallow: /"), ("d", 200, "", "User-agent: *\nDisallow: /")]
     rules = audit.robots_rules_long(spark.createDataFrame(rows, ROBOTS_CAPTURE_SCHEMA)).collect()
     assert sorted(r.origin for r in rules) == ["a", "d"]
+
+
+def test_no_page_text_is_shuffled(spark):
+    out = audit.audit_site(
+        spark.createDataFrame(SITES, "place_id string, website string"),
+        spark.createDataFrame(PAGES, PAGE_CAPTURE_SCHEMA),
+        spark.createDataFrame(ROBOTS, ROBOTS_CAPTURE_SCHEMA),
+    )
+    homes = audit._home_facts(spark.createDataFrame(PAGES, PAGE_CAPTURE_SCHEMA))
+    assert "html" not in homes.schema.simpleString() and "body" not in homes.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange")[1:]
+    assert all("html" not in part.splitlines()[0] for part in below)
+
+
+def test_an_aborted_fetch_reads_as_a_timeout(spark):
+    rows = [("home", 0, "https://z.com/", None, None, None, None, "The operation was aborted")]
+    out = audit.audit_site(
+        spark.createDataFrame([("z", "https://z.com/")], "place_id string, website string"),
+        spark.createDataFrame([("z", r[0], r[1], r[2], r[3], r[4], r[5], None, r[6], r[7]) for r in rows], PAGE_CAPTURE_SCHEMA),
+        spark.createDataFrame([], ROBOTS_CAPTURE_SCHEMA),
+    )
+    assert out.first().error == "timeout after 9000ms"
