@@ -352,10 +352,10 @@ CLEAN_LEADS = "place_id, name, address, phone, website, {host} AS host, email, C
 READ_BACK = score_columns("(" + signal_columns("(SELECT * REPLACE (reachable <> 'unknown' OR final_url <> '' OR email <> '' AS audited) FROM leads)") + ")")
 
 ORACLES = {
-    "ingest_places": f"SELECT 'term ' || ((ord // 60) % 4) AS term, 'tile-' || (ord // 60) AS tile_key, ((ord // 20) % 3 + 1)::INT AS page_no, place_id, name, address, phone, website, rating, reviews, business_status, primary_type, lat, lng FROM places WHERE {PAGED} AND {RECORD_FAULTS} = ''",
-    "ingest_rejected": f"SELECT {RECORD_FAULTS} AS error, count(*) AS records FROM places WHERE {PAGED} AND {RECORD_FAULTS} <> '' GROUP BY 1",
+    "ingest_places": f"SELECT 'term ' || ((ord // 60) % 4) AS term, 'tile-' || (ord // 60) AS tile_key, ((ord // 20) % 3 + 1)::INT AS page_no, place_id, name, address, phone, website, rating, reviews, business_status, primary_type, lat, lng FROM places WHERE {RECORD_FAULTS} = ''",
+    "ingest_rejected": f"SELECT 'term ' || ((ord // 60) % 4) AS term, 'tile-' || (ord // 60) AS tile_key, ((ord // 20) % 3 + 1)::INT AS page_no, pos::INT AS pos, {RECORD_FAULTS} AS error FROM (SELECT *, row_number() OVER (PARTITION BY ord // 20 ORDER BY ord) - 1 AS pos FROM places) WHERE {RECORD_FAULTS} <> ''",
     "tile_completeness": f"""
-SELECT term, tile_key, coalesce(sum(raw), 0)::BIGINT AS raw_returned, count(raw) AS pages_fetched, count(raw) = 0 OR coalesce(arg_max(token, page_no), false) OR coalesce(sum(raw), 0) >= 60 AS truncated
+SELECT term, tile_key, coalesce(sum(raw), 0)::BIGINT AS raw_returned, count(raw) AS pages_fetched, count(raw) = 0 OR coalesce(arg_max(token, page_no), false) OR coalesce(max(page_no) > count(DISTINCT page_no), false) OR coalesce(sum(raw), 0) >= 60 AS truncated
 FROM (SELECT DISTINCT 'term ' || ((ord // 60) % 4) AS term, 'tile-' || (ord // 60) AS tile_key, ord // 60 AS chain FROM places) t
 LEFT JOIN (SELECT ord // 60 AS chain, (ord // 20) % 3 + 1 AS page_no, count(*) AS raw, (ord // 20) % 3 + 1 < 3 OR (ord // 60) % 4 = 0 AS token FROM places WHERE {PAGED} GROUP BY ALL) p USING (chain) GROUP BY 1, 2""",
     "scan_lead_csv": f"SELECT {CLEAN_LEADS.format(host=lead_host('website'))}, audited, signals, total, '20260801-142726_town_dentist.csv' AS file FROM ({READ_BACK})",
@@ -404,7 +404,7 @@ FROM places p LEFT JOIN audits a ON p.place_id = a.place_id""",
     "filter_leads": "SELECT ord, place_id, email FROM leads WHERE email <> ''",
     "drop_report": f"""SELECT reason, count(*) AS count FROM (
  SELECT coalesce({DROP.format(p='p.')}, CASE WHEN coalesce(a.emails_text, '') = '' THEN 'no email found' ELSE '(kept)' END) AS reason FROM places p LEFT JOIN audits a ON p.place_id = a.place_id) GROUP BY 1""",
-    "require_email_rows": "SELECT count(*) FILTER (WHERE email <> '') AS written, count(*) FILTER (WHERE email = '') AS withheld FROM leads",
+    "require_email_rows": "SELECT ord, place_id, email, (SELECT count(*) FROM leads WHERE email = '') AS withheld FROM leads WHERE email <> ''",
     "sendable_segment": "SELECT ord, place_id, hook_basis, hook FROM hooked WHERE hook <> ''",
     "valid_boxes": "SELECT *, CASE WHEN floor((ne_lat - sw_lat) * 111 + 0.5) > 120 THEN floor((ne_lat - sw_lat) * 111 + 0.5)::INT END AS wide_km FROM boxes WHERE ne_lng IS NOT NULL AND ne_lat <= 90 AND sw_lat < ne_lat AND sw_lng < ne_lng AND NOT (ne_lat - sw_lat < 0.004 AND ne_lng - sw_lng < 0.004)",
     "box_checks": """SELECT valid, valid AND small AS too_small, count(*) AS boxes, count(*) FILTER (WHERE valid AND km > 120) AS wide, max(km) FILTER (WHERE valid AND km > 120)::INT AS widest_km FROM (
@@ -440,7 +440,7 @@ FROM (VALUES ('20260801-142726_town-0-pa_building.csv', 'town 0 pa', true), ('20
     "letter_coverage": "SELECT market, niche, count(*) AS prospects, count(*) FILTER (WHERE reachable IN ('yes', 'no')) AS audited, count(*) FILTER (WHERE hook <> '') AS with_gap, count(*) FILTER (WHERE hook <> '' AND email <> '') AS emailable, count(*) FILTER (WHERE hook <> '' AND phone <> '') AS phoneable, count(*) FILTER (WHERE hook = '') AS no_letter, "
     + ", ".join(f"count(*) FILTER (WHERE hook <> '' AND basis = '{b}') AS basis_{b.replace('-', '_')}" for b in V.HOOK_PRIORITY) + " FROM hooked GROUP BY 1, 2",
     "harvest_summary": f"""SELECT count(*) AS prospects, count(website) AS with_website, count(phone) AS with_phone, (SELECT count(DISTINCT place_id) FROM tile_batches) AS unique_found, (SELECT count(*) - count(DISTINCT place_id) FROM tile_batches) AS duplicates_dropped,
- (SELECT count(*) FROM places WHERE {PAGED} AND {RECORD_FAULTS} <> '') AS malformed_records, (SELECT count(DISTINCT place_id) >= 500 FROM tile_batches) AS partial
+ (SELECT count(*) FROM places WHERE {RECORD_FAULTS} <> '') AS malformed_records, (SELECT count(DISTINCT place_id) >= 500 FROM tile_batches) AS partial
 FROM (SELECT * FROM collected ORDER BY batch, pos LIMIT 500) WHERE ({DROP.format(p='')}) IS NULL""",
     "duplicate_savings": "SELECT count(*) AS groups, sum(size - 1)::BIGINT AS duplicate_sends FROM (SELECT DISTINCT shared_by, value, size FROM members)",
     "run_cost": "SELECT strftime(finished_at, '%Y-%m') AS month, sum(calls_used)::BIGINT AS calls_used, round((sum(calls_used) * 35 / 1000)::DOUBLE, 3) AS estimated_cost_usd FROM runs GROUP BY 1",
@@ -461,8 +461,8 @@ FROM (SELECT *, sum(granted) OVER (PARTITION BY account, month ORDER BY ts, even
     "rank_leads": "SELECT ord, place_id, name, total, band, reasons FROM scored ORDER BY total DESC, ord LIMIT 20",
     "page_newest": "SELECT place_id, generation, ord, name FROM upserted ORDER BY generation DESC, ord DESC LIMIT 200 OFFSET 40",
     "emails_top3": "SELECT page_id, pos::INT AS pos, email FROM ranked WHERE pos < 3",
-    "union_batches": "SELECT term, batch, count(*) AS listings FROM tile_batches GROUP BY 1, 2",
-    "union_findings": "SELECT channel, kind, count(*) AS checks, count(DISTINCT place_id) AS leads FROM lead_checks GROUP BY 1, 2",
+    "union_batches": "SELECT term, batch, pos, place_id FROM tile_batches",
+    "union_findings": "SELECT ord, place_id, channel, kind FROM lead_checks",
     "distinct_emails": "SELECT page_id, email FROM addresses",
     "signals": "SELECT ord, place_id, signals FROM sig",
     "score_opportunity": "SELECT ord, place_id, opportunity FROM scored",
@@ -478,17 +478,17 @@ FROM (SELECT *, sum(granted) OVER (PARTITION BY account, month ORDER BY ts, even
     "email_rank": f"SELECT page_id, email, {POINTS}::INT AS points FROM addresses",
     "links_top2": "SELECT page_id, pos, regexp_extract(url, '^(https?://[^/?#]+)', 1) || link AS link FROM (SELECT page_id, url, unnest(range(2))::INT AS pos, unnest(['/contact-us', regexp_extract(url, '^https?://[^/?#]+(/.*/|/)[^/?#]*([?#].*)?$', 1) || 'staff']) AS link FROM site_pages WHERE page_id % 6 < 4)",
     "contact_links": "SELECT page_id, CASE WHEN page_id % 6 < 4 THEN 3 ELSE 0 END AS found, CASE WHEN page_id % 6 < 4 THEN o || '/contact-us ' || o || regexp_extract(url, '^https?://[^/?#]+(/.*/|/)[^/?#]*([?#].*)?$', 1) || 'staff ' || o || '/Contact-us' ELSE '' END AS links FROM (SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o FROM site_pages)",
-    "audit_page": """SELECT place_id, http_status, reachable, CASE WHEN final_url LIKE 'https:%' THEN 'yes' ELSE 'no' END AS https, CASE WHEN reachable = 'yes' THEN ttfb_ms END AS ttfb_ms,
+    "audit_page": """SELECT place_id, role, url, http_status, reachable, CASE WHEN final_url LIKE 'https:%' THEN 'yes' ELSE 'no' END AS https, CASE WHEN reachable = 'yes' THEN ttfb_ms END AS ttfb_ms,
  CASE WHEN reachable <> 'yes' OR body = '' THEN 'unknown' WHEN regexp_matches(body, '<meta[^>]+name\\s*=\\s*["'']viewport["''][^>]*>', 'i') THEN 'yes' ELSE 'no' END AS viewport,
  CASE WHEN reachable = 'yes' AND regexp_matches(body, '<form[\\s>]', 'i') AND regexp_matches(body, 'contact|enquir|inquir|message|get-in-touch|request', 'i') THEN 'yes' ELSE 'unknown' END AS contact_form
-FROM (SELECT *, CASE WHEN http_status BETWEEN 200 AND 399 THEN 'yes' WHEN http_status >= 500 THEN 'no' ELSE 'unknown' END AS reachable, CASE WHEN content_type = '' OR lower(content_type) LIKE '%html%' THEN html ELSE '' END AS body FROM page_captures WHERE role = 'home')""",
+FROM (SELECT *, CASE WHEN http_status BETWEEN 200 AND 399 THEN 'yes' WHEN http_status >= 500 THEN 'no' ELSE 'unknown' END AS reachable, CASE WHEN content_type = '' OR lower(content_type) LIKE '%html%' THEN html ELSE '' END AS body FROM page_captures)""",
     "audit_site": """SELECT place_id, url AS input_url, CASE WHEN status IS NOT NULL THEN landed END AS final_url, reach AS reachable, CASE WHEN status IS NULL THEN 'unknown' WHEN landed LIKE 'https:%' THEN 'yes' ELSE 'no' END AS https, CASE WHEN reach = 'yes' THEN ms END AS ttfb_ms,
  CASE WHEN NOT loaded THEN 'unknown' WHEN page_id % 2 = 0 THEN 'yes' ELSE 'no' END AS viewport,
  CASE WHEN loaded AND (page_id % 3 < 2 AND regexp_matches(body, 'contact|enquir|inquir|message|get-in-touch|request', 'i') OR home_emails = '' AND read_contact) THEN 'yes' WHEN loaded AND home_emails = '' AND page_id % 6 >= 4 THEN 'no' ELSE 'unknown' END AS contact_form,
  CASE WHEN NOT loaded THEN '' WHEN home_emails <> '' THEN home_emails WHEN read_contact THEN contact_email ELSE '' END AS emails,
  CASE WHEN status IS NULL THEN 0 WHEN loaded AND home_emails = '' AND read_contact THEN 2 ELSE 1 END::INT AS pages_fetched, status AS http_status, CASE WHEN NOT here THEN 'robots.txt disallows this path' WHEN status IS NULL THEN failure END AS error, NOT here AS robots_blocked FROM judged""",
     "parse_robots": "SELECT * FROM rules",
-    "robots_allowed": "SELECT origin, count(*) FILTER (WHERE allowed) AS allowed, count(*) FILTER (WHERE NOT allowed) AS denied FROM verdicts GROUP BY 1",
+    "robots_allowed": "SELECT page_id, allowed FROM verdicts",
     "phone_problem": f"SELECT ord, phone, {PHONE_PROBLEM} AS problem FROM leads",
     "market_rule": f"SELECT ord, {IS_PH} AS is_ph FROM leads",
     "email_shape": f"SELECT ord, email, {PRESENT.format('email')} AS present, regexp_matches(email, '^[^\\s@]+@[^\\s@.]+(\\.[^\\s@.]+)+$') AS shaped FROM leads",

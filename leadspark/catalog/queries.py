@@ -45,12 +45,12 @@ def ingest_places(t):
 
 @query
 def ingest_rejected(t):
-    return ingest.rejected_places(t.api_pages).groupBy("error").agg(F.count(F.lit(1)).alias("records"))
+    return ingest.rejected_places(t.api_pages).select("term", "tile_key", "page_no", "pos", "error")
 
 
 @query
 def tile_completeness(t):
-    return ingest.tile_completeness(t.planned_tiles, t.api_pages)
+    return ingest.tile_completeness(t.planned_tiles, t.gapped_pages)
 
 
 @query
@@ -344,7 +344,9 @@ def drop_report(t):
 
 @query
 def require_email_rows(t):
-    return gates.require_email_rows(t.leads)
+    """The rows to write, each beside the number withheld."""
+    withheld = gates.require_email_rows(t.leads).select("withheld").scalar()
+    return gates.filter_leads(t.leads, True).select("ord", "place_id", "email", withheld.alias("withheld"))
 
 
 @query
@@ -665,13 +667,13 @@ def links_top2(t):
 def union_batches(t):
     b = t.view("tile_batches")
     first, second = b.filter("batch = 1"), b.filter("batch = 2")
-    return pipelines.union_batches([first, second]).groupBy("term", "batch").agg(F.count(F.lit(1)).alias("listings"))
+    return pipelines.union_batches([first, second]).select("term", "batch", "pos", "place_id")
 
 
 @query
 def union_findings(t):
     checks = contacts.contact_checks(t.leads, t.view("probes"), t.view("mx_results"))
-    return checks.groupBy("channel", "kind").agg(F.count(F.lit(1)).alias("checks"), F.count_distinct("place_id").alias("leads"))
+    return checks.select("ord", "place_id", "channel", "kind")
 
 
 @query
@@ -758,8 +760,8 @@ def contact_links(t):
 
 @query
 def audit_page(t):
-    return audit.audit_page(t.view("page_captures").filter("role = 'home'")).select(
-        "place_id", "http_status", "reachable", "https", "ttfb_ms", "viewport", "contact_form"
+    return audit.audit_page(t.view("page_captures")).select(
+        "place_id", "role", "url", "http_status", "reachable", "https", "ttfb_ms", "viewport", "contact_form"
     )
 
 
@@ -779,7 +781,7 @@ def parse_robots(t):
 @query
 def robots_allowed(t):
     checked = audit.robots_match(_paths(t), t.view("robots_captures"), "page_id")
-    return checked.groupBy("origin").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
+    return checked.select("page_id", "allowed")
 
 
 @query

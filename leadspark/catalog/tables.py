@@ -105,7 +105,6 @@ class Tables:
             p.select(sheet.alias("sheet"), chain.alias("chain"), page_no.alias("page_no"), "ord", record.alias("record"))
             .groupBy("sheet", "chain", "page_no")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "record"))), lambda r: r["record"]), ",").alias("records"))
-            .filter("sheet % 17 <> 16")
             .select(
                 F.format_string("term %s", F.col("chain") % 4).alias("term"),
                 F.format_string("tile-%s", F.col("chain")).alias("tile_key"),
@@ -115,6 +114,12 @@ class Tables:
             )
         )
 
+    @cached_property
+    def gapped_pages(self) -> DataFrame:
+        """The same pages with every seventeenth missing, as a broken sweep leaves them."""
+        sheet = F.substring_index("tile_key", "-", -1).cast("long") * 3 + F.col("page_no") - 1
+        return self.api_pages.filter(sheet % 17 != 16)
+
     @cached_property
     def planned_tiles(self) -> DataFrame:
         chain = F.floor(F.col("ord") / 60)

@@ -1,6 +1,6 @@
 """Listings out of captured search pages, with a quarantine for bad records."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
@@ -15,18 +15,35 @@ def _typed(path: str, kind: str):
     return raw.isNotNull() & ~F.schema_of_variant(raw).rlike(kind)
 
 
+def _records(body: Column) -> Column:
+    """The raw records of a page; NULL when its places are no array."""
+    listed = F.get_json_object(body, "$.places")
+    return F.when(F.startswith(F.ltrim(listed), F.lit("[")), F.from_json(listed, "array<string>"))
+
+
+def _unreadable(body: Column, records: Column) -> Column:
+    """Neither an object without places nor one with an array of them."""
+    page = F.try_parse_json(body)
+    no_places = F.coalesce(F.schema_of_variant(page).startswith("OBJECT"), F.lit(False)) & F.try_variant_get(
+        page, "$.places", "variant"
+    ).isNull()
+    return records.isNull() & ~no_places
+
+
 def parse_places(api_pages: DataFrame) -> DataFrame:
     """One row per raw record with the parsed `place` and `error` (NULL if valid).
 
     Records are split out as text first, so one malformed record never costs the
-    other records of its page.
+    other records of its page. A page that cannot be read is one row of its own, at
+    position -1 with its body as the raw text.
     """
+    kept = [c for c in api_pages.columns if c != "body"]
+    found = _records(F.col("body"))
+    whole = F.struct(F.lit(-1).alias("pos"), F.col("body").alias("raw"))
+    each = F.transform(found, lambda raw, pos: F.struct(pos.alias("pos"), raw.alias("raw")))
     records = api_pages.select(
-        *[c for c in api_pages.columns if c != "body"],
-        F.posexplode(
-            F.from_json(F.get_json_object("body", "$.places"), "array<string>")
-        ).alias("pos", "raw"),
-    )
+        *kept, F.explode(F.when(_unreadable(F.col("body"), found), F.array(whole)).otherwise(each)).alias("record")
+    ).select(*kept, "record.*")
     place = F.from_json("raw", PLACE_SCHEMA)
     number, text = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "^STRING"
     count = F.try_variant_get("v", "$.userRatingCount", "double")
@@ -55,12 +72,17 @@ def parse_places(api_pages: DataFrame) -> DataFrame:
     }
     bad = [F.when(cond, F.lit(name)) for name, cond in faults.items()]
     unreadable = F.col("v").isNull()
-    error = F.when(unreadable, F.lit("not an object")).when(
-        any_of(faults.values()), F.concat_ws("; ", *bad)
+    error = (
+        F.when(F.col("pos") < 0, F.lit("unreadable page"))
+        .when(unreadable, F.lit("not an object"))
+        .when(any_of(faults.values()), F.concat_ws("; ", *bad))
     )
+    judged = F.struct(place.alias("place"), error.alias("error"))
+    # The one-element array is a barrier: a filter on `error` is not pushed below it, where
+    # it would repeat the parsing for every field it looks at.
     return records.withColumn("v", F.try_parse_json("raw")).select(
-        *records.columns, place.alias("place"), error.alias("error")
-    )
+        *records.columns, F.explode(F.array(judged)).alias("judged")
+    ).select(*records.columns, "judged.*")
 
 
 def _located(field: str, number: str):
@@ -84,21 +106,31 @@ def tile_completeness(tiles: DataFrame, api_pages: DataFrame) -> DataFrame:
     """Whether each planned (term, tile) was answered in full.
 
     Truncated when the last page still offers a token, when no page came back at
-    all, or when the raw count, rejects included, reaches the ceiling.
+    all, when a page before the last one is missing or a page cannot be read, or when
+    the raw count, rejects included, reaches the ceiling. A page captured more than
+    once counts once, by its fullest capture.
     """
-    raw_count = F.coalesce(F.json_array_length(F.get_json_object("body", "$.places")), F.lit(0))
-    seen = (
-        api_pages.filter(F.col("page_no") <= V.MAX_PAGES)
-        .groupBy("term", "tile_key")
-        .agg(
-            F.sum(raw_count).alias("raw_returned"),
-            F.count(F.lit(1)).alias("pages_fetched"),
-            F.max_by(F.struct("next_token"), "page_no").alias("last"),
-        )
+    found = _records(F.col("body"))
+    captured = api_pages.filter(F.col("page_no") <= V.MAX_PAGES).select(
+        "term", "tile_key", "page_no", F.coalesce(F.col("next_token"), F.lit("")).alias("token"),
+        F.coalesce(F.size(found), F.lit(0)).alias("raw"),
+        (~_unreadable(F.col("body"), found)).alias("readable"),
+    )
+    each_page = captured.groupBy("term", "tile_key", "page_no").agg(
+        F.max("raw").alias("raw"), F.max("token").alias("token"), F.max("readable").alias("readable")
+    )
+    seen = each_page.groupBy("term", "tile_key").agg(
+        F.sum("raw").alias("raw_returned"),
+        F.count(F.lit(1)).alias("pages_fetched"),
+        F.max("page_no").alias("last_page"),
+        F.min("readable").alias("all_readable"),
+        F.max_by(F.struct(F.nullif("token", F.lit("")).alias("next_token")), "page_no").alias("last"),
     )
     pages = F.coalesce("pages_fetched", F.lit(0))
     truncated = (
         (pages == 0)
+        | F.coalesce(F.col("last_page") > pages, F.lit(False))
+        | F.coalesce(~F.col("all_readable"), F.lit(False))
         | F.coalesce(F.col("last.next_token") != "", F.lit(False))
         | F.coalesce(F.col("raw_returned") >= V.RESULT_CEILING, F.lit(False))
     )

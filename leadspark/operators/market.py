@@ -51,7 +51,7 @@ def join_corpus(
     stats = corpus(leads, by)
     packed = stats.select(*by, F.struct(*[c for c in stats.columns if c not in by]).alias("corpus"))
     counts = stats.select(*by, F.col("leads").alias("n"))
-    return join_by_key(leads, packed, by, "place_id", counts=counts, rows_per_task=rows_per_task)
+    return join_by_key(leads, packed, by, "place_id", counts=counts, rows_per_task=rows_per_task, null_safe=True)
 
 
 # ---------------------------------------------------------------- hook

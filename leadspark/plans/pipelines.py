@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
@@ -59,18 +59,24 @@ def push_saved_runs(
 ) -> tuple[DataFrame, DataFrame]:
     """Saved runs into the working table: (new snapshot, refused files).
 
-    Older runs come first in the batch, and rows of a file keep their order, so an
-    id seen by several runs ends with the latest reading. Files whose name carries no date, place and niche are
-    refused as a whole.
+    Older runs come first in the batch, then files by name, then part files, and rows of
+    a file keep their order, so an id seen by several runs ends with the latest reading.
+    Files whose name carries no date, place and niche are refused as a whole.
     """
-    text = files.file_labels(files.read_csv_text(spark, path, V.ENRICHED_COLUMNS))
+    text = files.file_labels(files.read_csv_text(spark, path, V.ENRICHED_COLUMNS, parts=True))
     refreshed = F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    row_no = F.monotonically_increasing_id().bitwiseAND((1 << 31) - 1)
-    kept = text.filter("NOT refused AND place_id <> ''").withColumn("row_no", row_no)
-    accepted = staged(kept, "saved-runs")
-    leads = staged(files.leads_from_csv(accepted), "saved-leads").withColumn(
-        "ord", F.unix_seconds("run_at") * (1 << 31) + F.col("row_no")
+    # A file is read by one task, in which the ids of its rows follow one another.
+    kept = staged(text.filter("NOT refused AND place_id <> ''").withColumn("row_id", F.monotonically_increasing_id()), "saved-runs")
+    spans = kept.groupBy("run_at", "file", "part").agg(F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+    before = Window.partitionBy("run_at").orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spans.select(
+        "part", "first_row", F.coalesce(F.sum(F.col("last_row") - F.col("first_row") + 1).over(before), F.lit(0)).alias("start")
     )
+    placed = kept.join(starts, "part").withColumn(
+        "ord", F.unix_seconds("run_at") * (1 << 31) + F.col("start") + F.col("row_id") - F.col("first_row")
+    )
+    accepted = staged(placed.drop("part", "row_id", "first_row", "start"), "saved-rows")
+    leads = staged(files.leads_from_csv(accepted), "saved-leads")
     outgoing = store.project_sheet(leads, F.col("run_niche"), F.col("run_location"), refreshed)
     refused = text.filter("refused").select("file").distinct()
     return store.upsert_leads(stored, outgoing, now), refused

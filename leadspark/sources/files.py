@@ -1,5 +1,9 @@
 """Lead files: CSV in and out, run names, run metadata."""
 
+from urllib.parse import unquote
+from uuid import uuid4
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,43 +72,80 @@ def write_enriched(leads: DataFrame, path: str, refreshed_at: Column) -> None:
 
 
 def write_unique(rows: DataFrame, folder: str, base: str) -> str:
-    """Write under the next free name, base, base-2, ... base-100; never overwrite."""
+    """Write under the next free name, base, base-2, ... base-100; never overwrite.
+
+    The rows are written under a hidden name first and then renamed, which fails where
+    the name is taken, so of two writers each gets a name of its own.
+    """
     spark = rows.sparkSession
+    draft = f"{folder}/.{base}-{uuid4().hex}"
+    write_csv(rows, draft)
     for n in range(1, 101):
         path = f"{folder}/{base}" + ("" if n == 1 else f"-{n}") + ".csv"
-        if not _exists(spark, path):
-            write_csv(rows, path)
+        if _renamed(spark, draft, path):
             return path
-    raise FileExistsError(f"no free name for {base} after 100 attempts")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def read_csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The files under `path`, which share one header, as text columns and `file`.
-
-    Quoted newlines are kept, and columns are bound by name: one the header lacks
-    reads as blank, one that is not asked for is ignored, and without a place_id
-    column there are no rows. Runs with different headers are read one call each
-    and put together with `unionByName`.
+    raise FileExistsError(f"no free name for {base} after 100 attempts; the rows are in {draft}")
+
+
+def _renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder unless the target exists."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    start, end = hadoop.Path(source), hadoop.Path(target)
+    system = end.getFileSystem(conf)
+    context = hadoop.FileContext.getFileContext(system.getUri(), conf)
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        context.rename(system.makeQualified(start), system.makeQualified(end), options)
+    except Py4JJavaError:
+        if system.exists(end):
+            return False
+        raise
+    return True
+
+
+def header_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> the files under `path` that begin with it.
+
+    Only the lines of a file's first block take part, and of those the first.
     """
-    raw = spark.read.csv(
-        path, header=True, multiLine=True, escape='"', quote='"', enforceSchema=False,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="\u0000",
-        emptyValue="", inferSchema=False,
-    )
-    have = {c.removeprefix(BOM): c for c in raw.columns}
-    if "place_id" not in have:
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*columns, "file"]))
-    picked = [
-        F.coalesce(F.col(f"`{have[c]}`"), F.lit("")).alias(c) if c in have else F.lit("").alias(c)
-        for c in columns
-    ]
-    any_cell = F.concat_ws("", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in raw.columns])
-    return raw.filter(any_cell != "").select(*picked, run_file(F.col("_metadata.file_path")).alias("file"))
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("part"), meta["file_block_start"].alias("at"))
+    first = lines.filter("at = 0").groupBy("part").agg(F.first("value").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in first.orderBy("part").collect():
+        found.setdefault(row["header"], []).append(unquote(row["part"]))
+    return found
+
+
+def read_csv_text(spark: SparkSession, path: str, columns: list[str], parts: bool = False) -> DataFrame:
+    """The files under `path` as text columns and `file`; with `parts` also the part file.
+
+    Files are bound by their own headers: each group of files with one header is read
+    once. Quoted newlines are kept; a column the header lacks reads as blank, one that is
+    not asked for is ignored, and a file without a place_id column has no rows. Such CSV
+    cannot be split, so a file is one task; large tables are better kept as Parquet.
+    """
+    names = [*columns, "file", "part"] if parts else [*columns, "file"]
+    out = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names))
+    for paths in header_lines(spark, path).values():
+        raw = spark.read.csv(
+            paths, header=True, multiLine=True, escape='"', quote='"', enforceSchema=False,
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="\u0000",
+            emptyValue="", inferSchema=False,
+        )
+        have = {c.removeprefix(BOM): c for c in raw.columns}
+        if "place_id" not in have:
+            continue
+        picked = [
+            F.coalesce(F.col(f"`{have[c]}`"), F.lit("")).alias(c) if c in have else F.lit("").alias(c)
+            for c in columns
+        ]
+        any_cell = F.concat_ws("", *[F.col(f"`{c}`") for c in raw.columns])
+        where = F.col("_metadata.file_path")
+        more = [run_file(where).alias("file"), where.alias("part")]
+        out = out.unionByName(raw.filter(any_cell != "").select(*picked, *more[: 1 + parts]))
+    return out
 
 
 def run_file(path: Column) -> Column:

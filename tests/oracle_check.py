@@ -57,7 +57,7 @@ def compare(spark, con, name, query, sql, folder):
     want = con.execute(sql).df() if sql else None
     types = type_gaps(df, con.execute(f"DESCRIBE {sql}").fetchall()) if sql else []
     if want is None:
-        return f"rows only: {len(got)}", took, True
+        return f"no twin: {len(got)} rows", took, False
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(set(got.columns) ^ set(want.columns))}", took, False
     a, b = norm(got), norm(want)
