@@ -73,9 +73,12 @@ def title_case(text: Column) -> Column:
 def market_label(location: Column, fallback: str = "your market") -> Column:
     """Location slug the way a person writes it, state codes in upper case."""
     clean = F.lower(F.trim(spaced(F.coalesce(location, F.lit("")))))
+    every = F.split(clean, r"\s+")
     # A trailing country is dropped only while another word remains.
-    clean = F.regexp_replace(clean, r"(?<=\S)(\s+(usa|us))+$", "")
-    words = F.split(clean, r"\s+")
+    named = F.transform(F.reverse(every), lambda w: ~w.isin("usa", "us"))
+    after = F.array_position(named, True) - 1
+    kept = F.when(after >= 0, F.size(every) - after.cast("int")).otherwise(1)
+    words = F.slice(every, 1, kept)
     last = F.element_at(words, -1)
     stated = (F.size(words) > 1) & last.isin(V.STATE_CODES)
     body = F.when(stated, F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1)))).otherwise(words)

@@ -167,7 +167,7 @@ def budget_settle(
     """The ledger after every reserve and settle event, per account in time order.
 
     An account's history is cut into its calendar days, and a day too heavy for
-    one task into slots of equal length; the pieces are worked on in parallel. The
+    one task into slots of about `rows_per_task` events; the pieces are worked on in parallel. The
     first pass runs each piece for every count it could start from, which turns it
     into a small table. The tables of an account are then chained in order, and
     the second pass runs each piece once from its true start. An account's task
@@ -182,25 +182,51 @@ def budget_settle(
 
 
 PIECE = [*SEGMENT, "slot"]
-MAX_SLOTS = 96
-LONGEST_DAY_MIN = 25 * 60
+
+
+def _cuts(dated: DataFrame, hot: DataFrame, rows_per_task: int) -> DataFrame:
+    """Instants that cut the heavy days: (SEGMENT, cuts: microseconds, ascending).
+
+    A new slot begins where the number of earlier events of the day passes a multiple of
+    `rows_per_task`. Events are counted per second, and per microsecond in a second that
+    is itself too heavy, so the running sums are over bounded tables whatever the clock
+    says. A slot holds at most `rows_per_task` events and those of one more second, or of
+    one more microsecond in a heavy second.
+    """
+    second, micro = F.unix_seconds("ts").alias("second"), F.unix_micros("ts").alias("micro")
+    rows = dated.join(F.broadcast(hot), SEGMENT).select(*SEGMENT, second, micro)
+    seconds = rows.groupBy(*SEGMENT, "second").agg(F.count(F.lit(1)).alias("n"))
+    day = Window.partitionBy(*SEGMENT).orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    seconds = seconds.withColumn("before", F.coalesce(F.sum("n").over(day), F.lit(0)))
+    heavy = seconds.filter(F.col("n") > rows_per_task).select(*SEGMENT, "second", "before")
+    inside = Window.partitionBy(*SEGMENT, "second").orderBy("micro").rowsBetween(Window.unboundedPreceding, -1)
+    fine = (
+        rows.join(heavy, [*SEGMENT, "second"])
+        .groupBy(*SEGMENT, "second", "micro")
+        .agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"))
+        .withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .select(*SEGMENT, "micro", "before")
+    )
+    coarse = seconds.filter(F.col("n") <= rows_per_task).select(*SEGMENT, (F.col("second") * 1_000_000).alias("micro"), "before")
+    slots = coarse.unionByName(fine).groupBy(*SEGMENT, F.floor(F.col("before") / rows_per_task).alias("slot"))
+    starts = slots.agg(F.min("micro").alias("micro"))
+    return starts.groupBy(*SEGMENT).agg(F.array_sort(F.collect_list("micro")).alias("cuts"))
 
 
 def _slotted(dated: DataFrame, rows_per_task: int) -> DataFrame:
     """Adds `slot`, 0 on ordinary days, and `split`, whether the day has several.
 
-    Slots are measured from the instant the day began, so they stay in time order
-    when the clocks change.
+    Heavy days, and the cuts of all of them together, number at most one per
+    `rows_per_task` events, so both lists are safe to broadcast.
     """
     counts = dated.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(hot_keys(counts, SEGMENT, rows_per_task=rows_per_task))
-    began = F.to_utc_timestamp(F.col("day").cast("timestamp"), V.QUOTA_ZONE)
-    minute = F.floor((F.unix_seconds("ts") - F.unix_seconds(began)) / 60)
-    slot = F.floor(minute * F.least("_salts", F.lit(MAX_SLOTS)) / LONGEST_DAY_MIN)
-    return dated.join(hot, SEGMENT, "left").select(
+    hot = hot_keys(counts, SEGMENT, rows_per_task=rows_per_task).drop("_salts")
+    cuts = F.broadcast(_cuts(dated, hot, rows_per_task))
+    reached = F.size(F.filter("cuts", lambda c: c <= F.unix_micros("ts"))) - 1
+    return dated.join(cuts, SEGMENT, "left").select(
         *dated.columns,
-        F.when(F.col("_salts").isNotNull(), slot).otherwise(0).cast("int").alias("slot"),
-        F.col("_salts").isNotNull().alias("split"),
+        F.when(F.col("cuts").isNotNull(), reached).otherwise(0).cast("int").alias("slot"),
+        F.col("cuts").isNotNull().alias("split"),
     )
 
 

@@ -12,10 +12,11 @@ from .skew import ROWS_PER_TASK, join_by_key
 MARKET = ["market", "niche"]
 
 
-def corpus(leads: DataFrame, by: list[str] = MARKET) -> DataFrame:
+def corpus(leads: DataFrame, by: list[str] = MARKET, *more: Column) -> DataFrame:
     """Counts over audited leads; viewport and https only where the site loaded.
 
-    `leads` is the size of the whole group, audited or not.
+    `leads` is the size of the whole group, audited or not; `more` are aggregates taken
+    in the same pass.
     """
     up, down = F.col("reachable") == "yes", F.col("reachable") == "no"
     return leads.groupBy(*by).agg(
@@ -29,6 +30,7 @@ def corpus(leads: DataFrame, by: list[str] = MARKET) -> DataFrame:
         F.count_if(up & (F.col("https") == "yes")).alias("https_ok"),
         F.count_if(up & (F.col("https") == "no")).alias("https_bad"),
         F.count(F.lit(1)).alias("leads"),
+        *more,
     )
 
 
@@ -344,9 +346,7 @@ def letter_coverage(hooked: DataFrame, by: list[str] = MARKET) -> DataFrame:
 
 def campaign_corpus(leads: DataFrame, by: list[str] = MARKET) -> DataFrame:
     """The corpus per market with the words and the date its letter needs."""
-    base = corpus(leads, by)
-    dates = leads.groupBy(*by).agg(F.max("checked_at").alias("checked_at"))
-    return base.join(dates, by, "left").select(
+    return corpus(leads, by, F.max("checked_at").alias("checked_at")).select(
         "*",
         W.market_label(F.col("market")).alias("market_label"),
         W.countable_niche(F.col("niche")).alias("niche_one"),

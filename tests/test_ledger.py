@@ -92,3 +92,20 @@ def test_stream_continues_from_its_state(spark):
         budget.run_to_end(steps, sink, progress)
     got = spark.read.schema(steps.schema).parquet(sink).collect()
     assert {r.event_id: (r.granted, r.limited_by, r.used, r.day_used) for r in got} == loop(data, 40, 9)
+
+
+@pytest.mark.parametrize("span_us", [40_000_000, 900_000, 60_000_000])
+def test_a_burst_is_cut_by_rows(spark, span_us):
+    rnd = random.Random(span_us)
+    begin = datetime(2026, 3, 3, 12, 0, 0)
+    data = []
+    for eid in range(4000):
+        ts = begin + timedelta(microseconds=rnd.randrange(span_us))
+        kind = "settle" if rnd.random() < 0.5 else "reserve"
+        data.append(("a", eid, ts, kind, rnd.randrange(0, 4), rnd.randrange(0, 4), rnd.randrange(-1, 4)))
+    df = spark.createDataFrame(data, LEDGER_EVENT_SCHEMA)
+    sizes = [r["count"] for r in ledger._slotted(ledger.with_calendar(df), 100).groupBy("slot").count().collect()]
+    per_second = max(r["count"] for r in df.groupBy(F.unix_seconds("ts")).count().collect())
+    assert sum(sizes) == 4000 and len(sizes) > 15 and max(sizes) <= 100 + min(per_second, 100)
+    steps = ledger.budget_settle(df, 40, 9, rows_per_task=100).collect()
+    assert {r.event_id: (r.granted, r.limited_by, r.used, r.day_used) for r in steps} == loop(data, 40, 9)
