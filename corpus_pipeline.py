@@ -19,7 +19,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id."""
+    """One document of each group of near copies stays: that of the smallest id.
+
+    Near copies have close prints of five-word shingles, or shingle sets of similarity 0.8.
+    """
     return simhash.keep_one(docs)
 
 

@@ -15,44 +15,81 @@ from leadspark.llm.components import components
 
 #: Bits of the six bands. Two prints with at most four differing bits agree on two bands.
 BANDS = (12, 12, 10, 10, 10, 10)
+#: Values of a signature; the first BANDED * ROWS of them make up the join keys.
+SIGNATURE, BANDED, ROWS = 512, 10, 4
+FACTORS = np.random.default_rng(17).integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: What an estimate may fall short of the similarity asked for: its sampling error.
+SLACK = 0.015
 #: The low bit of each two-bit segment.
 LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(data: bytes, size: int = 4) -> int:
-    """64-bit SimHash of the word shingles of a text, repeats included.
+def shingles(data: bytes, size: int = 4) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included.
 
     Words are runs of bytes other than space and 0x09-0x0D after lowering A-Z. A text
-    of fewer words than `size` is one shingle; one without words gives 0.
+    of fewer words than `size` is one shingle; one without words has none.
     """
     words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[min(size, len(words)) - 1 :].tolist()
     hash64 = xxhash.xxh64_intdigest
+    return np.array([hash64(joined[a:b], 42) for a, b in zip(starts[: len(last)].tolist(), last)], np.uint64)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """64-bit SimHash: a bit is set if it is in over half of the hashes; 0 without any."""
     total = np.zeros(64, np.int64)
-    for at in range(0, len(last), 65536):
-        part = [hash64(joined[a:b], 42) for a, b in zip(starts[at : at + 65536].tolist(), last[at : at + 65536])]
-        bits = np.unpackbits(np.array(part, ">u8").view(np.uint8).reshape(len(part), 8), axis=1)
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(last)).tobytes(), "big")
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536].astype(">u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big") if len(hashes) else 0
+
+
+def fingerprint(data: bytes, size: int = 4) -> int:
+    """64-bit SimHash of the word shingles of a text."""
+    return simhash(shingles(data, size))
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Smallest value of each of SIGNATURE mixing functions over a set of hashes."""
+    out = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 128):
+        mixed = hashes[at : at + 128, None] * FACTORS[None, :]
+        out = np.minimum(out, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    return out
 
 
-def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """(doc_id, print) of every row; a null text has no words."""
+def fingerprints(docs: DataFrame, size: int = 4, signed_too: bool = False) -> DataFrame:
+    """(doc_id, print) of every row; a null text has no words.
+
+    With `signed_too` also keys, the join keys of BANDED groups of signature values, and
+    signature, one byte of each value; a text without words has no keys.
+    """
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t, size) for t in batch.column(1).to_pylist()]
-            prints = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc_id", "print"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("text")).mapInArrow(
-        run, "doc_id long, print long"
-    )
+            prints, keys, signatures = [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingles(text, size)
+                prints.append(simhash(hashes))
+                if signed_too:
+                    least = signature(hashes)
+                    folded = (least[: BANDED * ROWS].reshape(BANDED, ROWS) * FACTORS[:ROWS]).sum(axis=1, dtype=np.uint64)
+                    keys.append((folded + FACTORS[:BANDED]).view(np.int64).tolist() if len(hashes) else [])
+                    signatures.append((least >> np.uint64(7)).astype(np.uint8).tobytes())
+            cols = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            if signed_too:
+                cols += [pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    kind = "doc_id long, print long" + (", keys array<long>, signature binary" if signed_too else "")
+    names = ["doc_id", "print", "keys", "signature"][: 2 + 2 * signed_too]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("text")).mapInArrow(run, kind)
 
 
 def grids() -> list[int]:
@@ -136,21 +173,14 @@ def link_sorted(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.n
     return np.concatenate(heads), np.concatenate(tails)
 
 
-def links(prints: DataFrame, scratch: Scratch, radius: int = 4, block: int = 50_000) -> DataFrame:
-    """(a, b): links that connect distinct prints as all pairs within `radius` bits do.
-
-    Cells of one print are dropped by a count. A cell of more than `block` prints is
-    cut into blocks and every pair of blocks becomes a cell of its own, so no task holds
-    more than two blocks of a cell and no pair is lost.
-    """
-    entries = scratch.write(cells(prints))
+def blocked(entries: DataFrame, block: int) -> DataFrame:
+    """(cell, print) without lone prints; a cell of more than `block` prints is cut into
+    blocks and every pair of blocks becomes a cell of its own."""
     sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
-    shared = (
+    return (
         entries.join(sizes, "cell")
-        .withColumn("parts", parts)
-        .withColumn("own", own)
+        .withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
             F.when(F.col("parts") == 1, F.col("cell"))
@@ -160,6 +190,16 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 4, block: int = 50_
         )
     )
 
+
+def links(prints: DataFrame, scratch: Scratch, radius: int = 4, block: int = 50_000) -> DataFrame:
+    """(a, b): links that connect distinct prints as all pairs within `radius` bits do.
+
+    Cells of one print are dropped by a count. A cell of more than `block` prints is
+    cut into blocks and every pair of blocks becomes a cell of its own, so no task holds
+    more than two blocks of a cell and no pair is lost.
+    """
+    shared = blocked(scratch.write(cells(prints)), block)
+
     def run(batches):
         keys, prints_ = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
@@ -181,12 +221,77 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 4, block: int = 50_
     return shared.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
+def link_similar(prints: np.ndarray, signatures: np.ndarray, least: float) -> tuple[list, list]:
+    """Links that connect the rows of one cell as all pairs of estimated similarity
+    `least` or more would; the same shrinking walk as `link_cell`."""
+    heads, tails = [], []
+    rest = np.arange(1, len(prints))
+    todo, root = [0], 0
+    while len(rest):
+        if not todo:
+            root, rest = int(rest[0]), rest[1:]
+            todo = [root]
+            continue
+        same = (signatures[rest] == signatures[todo.pop()]).mean(axis=1)
+        near = (same * 256 - 1) / 255 >= least
+        hit = rest[near]
+        heads += [prints[root]] * len(hit)
+        tails += prints[hit].tolist()
+        todo.extend(hit.tolist())
+        rest = rest[~near]
+    return heads, tails
+
+
+def similar_links(rows: DataFrame, scratch: Scratch, least: float, block: int = 20_000) -> DataFrame:
+    """(a, b): links between prints of texts whose shingle sets are similar.
+
+    Prints of texts at similarity 0.8 differ by some ten bits, too many for grids of bits,
+    so candidates are texts that share a key of ROWS least values (at 0.8, 99 in 100 pairs
+    share one of the BANDED keys) and are judged by their whole signatures.
+    """
+    entries = scratch.write(rows.select("print", F.explode("keys").alias("cell")).distinct())
+    shared = scratch.write(blocked(entries, block))
+    wanted = shared.select("print").distinct()
+    signatures = rows.join(wanted, "print").groupBy("print").agg(F.min("signature").alias("signature"))
+    joined = shared.join(signatures, "print").select("cell", "print", "signature")
+
+    def run(batches):
+        held: list = []
+
+        def out(keys, prints, signatures):
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            heads, tails = [], []
+            for a, b in zip(starts, np.append(starts[1:], len(keys))):
+                if b - a > 1:
+                    h, t = link_similar(prints[a:b], signatures[a:b], least - SLACK)
+                    heads += h
+                    tails += t
+            cols = [pa.array(np.array(c, np.int64)) for c in (heads, tails)]
+            return pa.RecordBatch.from_arrays(cols, ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat]
+            held = [np.concatenate(pair) for pair in zip(held, part)] if held else part
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield out(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+        if held:
+            yield out(*held)
+
+    return joined.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+
+
+def groups(docs: DataFrame, radius: int = 4, size: int = 4, similarity: float | None = None) -> DataFrame:
     """(doc_id, print, component_id) of every row.
 
     Prints are linked at `radius` or fewer differing bits; component_id is the smallest
     doc_id reachable, the row's own included. Copies share a print, so only distinct
-    prints are joined. Null and empty texts have print zero and are linked like any
+    prints are joined. With `similarity`, texts whose shingle sets have an estimated
+    Jaccard similarity of that or more are linked too (`similar_links`). Null and empty texts have print zero and are linked like any
     other. A row with a null doc_id is linked but never names a component; where no
     row of a component has an id, component_id is null. Repeated rows are returned
     as often as they come. Other columns of `docs` are not read.
@@ -194,9 +299,12 @@ def groups(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
     if radius != 4:
         raise ValueError("the band layout is made for a radius of 4 bits")
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.write(fingerprints(docs, size))
+    rows = scratch.write(fingerprints(docs, size, similarity is not None))
     distinct = scratch.write(rows.groupBy("print").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct.select("print"), scratch, radius), scratch)
+    found = links(distinct.select("print"), scratch, radius)
+    if similarity is not None:
+        found = found.unionByName(similar_links(rows, scratch, similarity))
+    roots = components(found, scratch)
     rooted = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn(
         "root", F.coalesce("root", "print")
     )
@@ -208,12 +316,12 @@ def groups(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
     return rows.join(named, "print").select("doc_id", "print", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
-    """`docs` with one row per component: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float | None = 0.8) -> DataFrame:
+    """`docs` with one row per component of `groups`: the one with the smallest doc_id.
 
     Rows that repeat a doc_id count as copies of one another, so one of them stays.
     Rows without a doc_id have no order to be chosen by and all stay.
     """
-    keep = groups(docs, radius, size).filter("doc_id = component_id").select("doc_id").distinct()
+    keep = groups(docs, radius, size, similarity).filter("doc_id = component_id").select("doc_id").distinct()
     known = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

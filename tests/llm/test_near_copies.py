@@ -169,3 +169,41 @@ def test_every_window_is_in_one_run():
     x = rng.integers(0, 50, 400).astype(np.uint64)
     _, _, lo, hi = rlz.runs(x, hasher)
     assert [k for a, b in zip(lo, hi) for k in range(a, b + 1)] == list(range(351))
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_similar_texts_are_grouped_and_others_left(spark):
+    rng = random.Random(9)
+    rows, family = [], {}
+    for base in range(40):
+        words = [f"t{rng.randrange(5000)}" for _ in range(200)]
+        for copy, edits in enumerate((0, 1, 3)):  # similarity 1, about 0.95 and 0.86 to the first
+            rows.append((base * 10 + copy, edited(rng, words, edits), "s"))
+            family[base * 10 + copy] = base * 10
+        rows.append((base * 10 + 5, " ".join(words[:100]) + " " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(100)), "s"))
+        family[base * 10 + 5] = base * 10 + 5
+    rows += [(900, "too short", "s"), (901, "too short", "s"), (902, "too long", "s"), (903, None, "s")]
+    family |= {900: 900, 901: 900, 902: 902, 903: 903}
+    df = docs_of(spark, [r[:2] for r in rows])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(df, size=5, similarity=0.8).collect()}
+    assert got == family
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(family.values())
+
+
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_similar_links_of_a_crowded_cell(spark, block):
+    rng = random.Random(3)
+    words = [f"t{k}" for k in range(300)]
+    df = docs_of(spark, [(k, edited(rng, words, k % 4)) for k in range(60)])
+    scratch = Scratch(spark, "t")
+    rows = scratch.write(simhash.fingerprints(df, 5, True))
+    prints = {r["print"] for r in rows.collect()}
+    found = simhash.similar_links(rows, scratch, 0.8, block).collect()
+    assert len(found) <= 10 * len(prints) * (1 if block > 60 else len(prints))
+    assert len(set(roots(prints, [(r["a"], r["b"]) for r in found]).values())) == 1

@@ -202,7 +202,7 @@ def test_pipeline_stage_by_stage(spark):
             labels = spark.read.parquet(f"{folder}/labels.parquet")
             assert set(after) == {r["doc_id"] for r in quality.scores(docs, labels).filter("predicted = 1").collect()}
         if n == 1:
-            groups = simhash.groups(seen).collect()
+            groups = simhash.groups(seen, size=5, similarity=0.8).collect()
             assert set(after) == {r["component_id"] for r in groups} and out.count() == len(after)
         if n == 2:
             assert set(after) == set(before)
