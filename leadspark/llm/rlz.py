@@ -16,6 +16,8 @@ from leadspark.llm.common import Memo, Scratch, free_name, raw
 WINDOW = 50
 #: Words of an anchor. Any window holds WINDOW - ANCHOR + 1 anchors and names the smallest.
 ANCHOR = 16
+#: Runs of a chunk on average: a chunk ends behind a run whose context hash it divides.
+CHUNK = 4
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STEP2 = np.uint64(0xD6E8FEB86659FD93)
 
@@ -98,23 +100,47 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def find_runs(docs: DataFrame) -> DataFrame:
+def chunks(anchors: np.ndarray, contexts: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, ...]:
+    """Neighbouring runs as chunks (key, check, first run, end): the content alone decides
+    where a chunk ends, so a passage that two texts share has the same chunks inside."""
+    ends = np.flatnonzero(contexts % np.uint64(CHUNK) == 0) + 1
+    if not len(ends) or ends[-1] < len(contexts):
+        ends = np.append(ends, len(contexts))
+    starts = np.concatenate(([0], ends[:-1]))
+    key = hasher.ranges(hasher.prefix(mixed(anchors), STEP), STEP, starts, ends)
+    check = hasher.ranges(hasher.prefix(mixed(contexts), STEP2), STEP2, starts, ends)
+    return key, check, starts, ends
+
+
+RUN = pa.struct([("anchor", pa.int64()), ("context", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def find_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, key, check, runs) of the chunks of each text of WINDOW words or more."""
+
     def run(batches):
         hasher = Hasher()
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = []
+            found, offsets, total = [], [np.zeros(1, np.int64)], 0
             for doc, mark, text in zip(ids, marks, batch.column(2).to_pylist()):
                 words = text.split()
                 if len(words) >= WINDOW:
                     a, c, lo, hi = runs(hasher.words(words), hasher)
-                    found.append((np.full(len(a), doc), np.full(len(a), mark, np.int32), a, c, lo, hi))
+                    key, check, _, ends = chunks(a, c, hasher)
+                    found.append((np.full(len(key), doc), np.full(len(key), mark, np.int32), key, check, a, c, lo, hi))
+                    offsets.append(ends + total)
+                    total += len(a)
             if found:
-                d, m, a, c, lo, hi = (np.concatenate(col) for col in zip(*found))
-                cols = [pa.array(d), pa.array(m), signed(a), signed(c), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "anchor", "context", "lo", "hi"])
+                d, m, k, h, a, c, lo, hi = (np.concatenate(col) for col in zip(*found))
+                cols = [signed(a), signed(c), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+                inner = pa.StructArray.from_arrays(cols, fields=list(RUN))
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), inner)
+                cols = [pa.array(d), pa.array(m), signed(k), signed(h), listed]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "key", "check", "runs"])
 
-    return docs.mapInArrow(run, "doc_id long, mark int, anchor long, context long, lo int, hi int")
+    kind = "doc_id long, mark int, key long, check long, runs array<struct<anchor: long, context: long, lo: int, hi: int>>"
+    return docs.mapInArrow(run, kind)
 
 
 def find_windows(docs: DataFrame) -> DataFrame:
@@ -150,30 +176,47 @@ def spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, mark, spans: array<struct<lo, hi>>): window starts, both ends included,
     whose word sequence also starts in a document with a smaller doc_id.
 
-    Relative Lempel-Ziv in three steps. (1) Index: each text is cut into runs, the
-    windows that name one anchor; the runs of all documents, dealt by (anchor, context),
-    are the reference blocks. (2) Factors: a run whose whole context stands in an earlier
-    document is copied from there; neighbouring copied runs make up one long factor.
-    (3) Factor boundaries: where a context is the first of its kind but the anchor stands
-    in an earlier document with other words around it, a copied passage ends inside the
-    run, so its windows are looked up one by one among the windows of the first
-    occurrences. Every window is decided in step 2 or 3, so the result is exact; keys are
-    pairs of 64-bit hashes.
+    Relative Lempel-Ziv in four steps. (1) Index: each text is cut into runs, the
+    windows that name one anchor, and neighbouring runs into chunks; those of all
+    documents, dealt by their hashes, are the reference blocks. (2) Long factors: a chunk
+    that stands whole in an earlier document is copied from there as one row. Only runs
+    of chunks not copied go on; the first document that holds a run is among them, since
+    it is the first that holds the chunk around it. (3) Factors: a run whose whole
+    context stands in an earlier document is copied from there. (4) Factor boundaries:
+    where a context is the first of its kind but the anchor stands in an earlier document
+    with other words around it, a copied passage ends inside the run, so its windows are
+    looked up one by one among the windows of the first occurrences. Every window is
+    decided in step 2, 3 or 4, so the result is exact; keys are pairs of 64-bit hashes.
     """
     texts = marked(docs)
-    rows = scratch.write(find_runs(texts))
+    whole = scratch.write(find_chunks(texts))
+    shared = whole.groupBy("key", "check").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
+    shared = shared.filter("earliest < latest").drop("latest")
+    new = F.coalesce(F.col("doc_id") <= F.col("earliest"), F.lit(True))
+    dealt = scratch.write(
+        whole.join(shared, ["key", "check"], "left").select(
+            "doc_id",
+            "mark",
+            F.when(~new, F.struct(F.col("runs")[0]["lo"].alias("lo"), F.element_at("runs", -1)["hi"].alias("hi"))).alias("copy"),
+            F.when(new, F.col("runs")).alias("runs"),
+        )
+    )
+    long = dealt.filter("copy is not null").select("doc_id", "mark", "copy.lo", "copy.hi")
+    rows = dealt.filter("copy is null").select("doc_id", "mark", F.inline("runs"))
     key = ["anchor", "context"]
     blocks = rows.groupBy(*key).agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
     anchors = (
         blocks.groupBy("anchor")
-        .agg(F.min("earliest").alias("anchor_first"), F.max("latest").alias("anchor_last"), F.count(F.lit(1)).alias("kinds"))
+        .agg(
+            F.min("earliest").alias("anchor_first"),
+            F.max("latest").alias("anchor_last"),
+            (F.min("earliest") < F.max("earliest")).alias("varied"),
+        )
         .filter("anchor_first < anchor_last")
-        .drop("anchor_last")
+        .drop("anchor_first", "anchor_last")
     )
     index = scratch.write(blocks.drop("latest").join(anchors, "anchor"))
-    met = scratch.write(
-        rows.join(index, key).filter("doc_id > earliest or kinds > 1").drop("context")
-    )
+    met = scratch.write(rows.join(index, key).filter("doc_id > earliest or varied").drop("context"))
     copied = met.filter("doc_id > earliest").select("doc_id", "mark", "lo", "hi")
     edges = met.filter("doc_id = earliest").groupBy("doc_id", "mark").agg(
         F.collect_list(F.struct("anchor", "lo", "hi")).alias("runs")
@@ -186,7 +229,7 @@ def spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .filter("doc_id > earliest")
         .select("doc_id", "mark", F.col("at").alias("lo"), F.col("at").alias("hi"))
     )
-    out = copied.unionByName(single).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    out = long.unionByName(copied).unionByName(single).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     out = scratch.write(out)
     scratch.drop(out)
     return out

@@ -154,6 +154,25 @@ def test_spans_are_exact(spark, seed):
     assert sorted((tuple(r) for r in got), key=str) == plain_spans(rows)
 
 
+def test_long_passages_are_copied_in_chunks(spark):
+    """Passages of many runs, whole, cut and edited, in many documents."""
+    rng = random.Random(8)
+    pool = [[f"w{rng.randrange(900)}" for _ in range(n)] for n in (400, 900, 1500)]
+    rows = [(0, " ".join(pool[1]))]
+    for i in range(1, 40):
+        part = list(rng.choice(pool))
+        if i % 3 == 0:
+            part[rng.randrange(len(part))] = "edit"
+        a = rng.randrange(len(part) // 2) if i % 2 else 0
+        own = [f"u{rng.randrange(10**6)}" for _ in range(rng.choice((0, 3, 80)))]
+        rows.append((i, " ".join(own + part[a:] + own[::-1])))
+    docs = docs_of(spark, rows)
+    keys = rlz.find_chunks(rlz.marked(docs)).groupBy("key", "check").agg(F.countDistinct("doc_id").alias("n"))
+    assert keys.filter("n > 1").count() > 20
+    got = rlz.digest(docs).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_spans(rows)
+
+
 def test_dedup_rewrites_only_what_it_cuts(spark):
     passage = " ".join(f"p{k}" for k in range(55))
     rows = [(1, f"start\n\n{passage}  end"), (2, f"other\t{passage} tail"), (3, "short  text"), (4, None), (2, f"other\t{passage} tail")]
