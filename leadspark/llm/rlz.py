@@ -191,7 +191,8 @@ def spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = marked(docs)
     whole = scratch.write(find_chunks(texts))
     shared = whole.groupBy("key", "check").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
-    shared = shared.filter("earliest < latest").drop("latest")
+    # written first, so that both sides of the join are shuffles and a frequent chunk can be split
+    shared = scratch.write(shared.filter("earliest < latest").drop("latest"))
     new = F.coalesce(F.col("doc_id") <= F.col("earliest"), F.lit(True))
     dealt = scratch.write(
         whole.join(shared, ["key", "check"], "left").select(
