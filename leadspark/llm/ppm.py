@@ -5,6 +5,10 @@ coded in the longest context known; one that never followed there costs an escap
 the next shorter context, in which the symbols of the longer one are excluded. Escapes
 weigh as many counts as the context has distinct symbols. Symbol END (256) ends a text
 and stands before its start.
+
+The counts stay in Spark, all of them. What a symbol costs depends on its longest gram
+alone, so each distinct gram is valued once by joins over the orders; texts add up the
+values of their grams, the frequent ones from a broadcast cache and the others by a join.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.llm.common import Scratch, fold, portions, raw
@@ -24,9 +28,11 @@ END = 256
 SYMBOLS = 257
 BITS = np.uint64(9)
 ORDER = 5
-#: Entries of the trie that is sent to the executors. While the corpus has more, entries
-#: below a count are left out, the same count at all orders.
+#: Grams whose values are sent to the executors, the most frequent ones; all others are
+#: joined by a shuffle.
 MAX_ENTRIES = 2_000_000
+#: Marks the grams of held-out texts while they are counted.
+UNLEARNED = 1 << 62
 #: Words whose counts are sent to the executors; all others are joined by a shuffle.
 TOP_WORDS = 150_000
 HELD_FOLDS, HELD = 7, 2
@@ -226,14 +232,20 @@ class Adaptive:
 
 
 def count_grams(docs: DataFrame, order: int) -> DataFrame:
-    """(gram, n) over the column `text` (bytes): partial counts per task, then a sum."""
+    """(gram, times, n) over the column `text` (bytes): partial counts per task, then a sum.
+
+    times counts all rows, n those that are learned from: the column `held_out`, where
+    there is one, is false in them.
+    """
+    held_out = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
 
     def run(batches):
         held: pd.Series | None = None
         for batch in batches:
             for part in portions(batch, 0):
-                stream, at, _ = symbols([lowered(t) for t in part.column(0).to_pylist()], order)
-                n = pd.Series(grams(stream, at, order).view(np.int64)).value_counts(sort=False)
+                stream, at, owner = symbols([lowered(t) for t in part.column(0).to_pylist()], order)
+                out = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64) * UNLEARNED
+                n = pd.Series(grams(stream, at, order).view(np.int64) | out[owner]).value_counts(sort=False)
                 held = n if held is None else held.add(n, fill_value=0)
                 if len(held) > FLUSH:
                     yield counted(held)
@@ -245,15 +257,110 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
         cols = [pa.array(held.index.to_numpy(np.int64)), pa.array(held.to_numpy().astype(np.int64))]
         return pa.RecordBatch.from_arrays(cols, ["gram", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = docs.select("text", held_out.alias("held_out")).mapInArrow(run, "gram long, n long")
+    learned = F.when(F.col("gram") < UNLEARNED, F.col("n")).otherwise(F.lit(0))
+    return found.groupBy(F.col("gram").bitwiseAND(F.lit(UNLEARNED - 1)).alias("gram")).agg(
+        F.sum("n").alias("times"), F.sum(learned).alias("n")
+    )
+
+
+def tail(gram: str, n: int) -> Column:
+    """The last n symbols of packed symbols."""
+    return F.col(gram).bitwiseAND(F.lit((1 << (9 * n)) - 1))
+
+
+def value_grams(longest: DataFrame, scratch: Scratch, order: int) -> DataFrame:
+    """(gram, times, value): log10 probability of the last symbol of each distinct gram.
+
+    `longest` is the written result of `count_grams`. From order 0 up, a gram learns from
+    its suffix one order below what its symbol costs there, at first hand and once this
+    order's symbols are excluded. A suffix or context has at most SYMBOLS grams, so no
+    key of a join or window is large, and no count is left out.
+    """
+    levels = [longest.select("gram", "n")]
+    for j in range(order - 1, -1, -1):
+        shorter = levels[0].groupBy(tail("gram", j + 1).alias("gram")).agg(F.sum("n").alias("n"))
+        levels.insert(0, scratch.write(shorter))
+    below = None
+    for j, level in enumerate(levels):
+        if j:
+            level = level.withColumn("suffix", tail("gram", j)).join(below, "suffix")
+        else:
+            level = level.select("*", *[F.lit(0).cast("long").alias(c) for c in ("n_below", "total_below", "kinds_below")])
+        context = Window.partitionBy(F.shiftright("gram", 9))
+        seen = F.col("n") > 0
+        level = level.withColumns({
+            "total": F.sum("n").over(context),
+            "kinds": F.sum(seen.cast("long")).over(context),
+            "excluded": F.sum(F.when(seen, F.col("n_below")).otherwise(F.lit(0))).over(context),
+        })
+        weight = F.col("total") + F.col("kinds")
+        own = F.log10(F.col("n") / weight)
+        if j:  # what is left in the suffix context once this context's symbols are excluded
+            fresh = F.col("kinds_below") - F.col("kinds")
+            left = F.col("total_below") - F.col("excluded") + fresh
+            after = F.when(left > 0, F.log10(left)).otherwise(F.lit(0.0))
+            escape = F.when(left > 0, F.log10(fresh / left)).otherwise(F.lit(0.0))
+            later = F.when(F.col("n_below") > 0, F.log10("n_below") - after).otherwise(escape + F.col("later_below"))
+            unknown = F.col("first_below")
+        else:
+            unknown = later = -F.log10(F.greatest(F.lit(SYMBOLS) - F.col("kinds"), F.lit(1)))
+        level = level.withColumn("later", later)
+        first = F.when(F.col("total") == 0, unknown).when(seen, own).otherwise(F.log10(F.col("kinds") / weight) + F.col("later"))
+        level = level.withColumn("first", first)
+        kept = ("n", "total", "kinds", "first", "later")
+        below = level.select(F.col("gram").alias("suffix"), *[F.col(c).alias(f"{c}_below") for c in kept])
+    return longest.select("gram", "times").join(level.select("gram", F.col("first").alias("value")), "gram")
+
+
+def within(counts: DataFrame, column: str, most: int) -> int:
+    """The smallest power of two that at most `most` rows reach in a column of counts."""
+    spread = counts.groupBy(F.floor(F.log2(F.col(column))).cast("int").alias("power")).count().collect()
+    sizes = {r["power"]: r["count"] for r in spread}
+    least = 0
+    while sum(c for p, c in sizes.items() if p >= least) > most:
+        least += 1
+    return 1 << least
+
+
+class Values:
+    """Values of the frequent grams; what texts need besides is returned as counts."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.table = Table(codes)
+        self.values = values[self.table.order]
+        del self.table.order
+
+    def scores(self, texts: list[bytes], order: int) -> tuple[np.ndarray, pa.Array]:
+        """(sum of the known values, distinct other grams with counts) of each text."""
+        stream, at, owner = symbols(texts, order)
+        code = grams(stream, at, order)
+        out, codes, owners = np.zeros(len(texts)), [], []
+        for a in range(0, len(code), 1 << 20):
+            here, whose = code[a : a + (1 << 20)], owner[a : a + (1 << 20)]
+            spot = self.table.find(here)
+            known = spot >= 0
+            out += np.bincount(whose[known], weights=self.values[spot[known]], minlength=len(texts))
+            codes.append(here[~known])
+            owners.append(whose[~known])
+        codes = np.concatenate([np.zeros(0, np.uint64), *codes])
+        owners = np.concatenate([np.zeros(0, np.int64), *owners])
+        sort = np.lexsort((codes, owners))
+        codes, owners = codes[sort], owners[sort]
+        first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (owners[1:] != owners[:-1]))[: len(codes)])
+        n = np.diff(np.append(first, len(codes)))
+        rare = pa.StructArray.from_arrays([pa.array(codes[first].view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+        starts = np.searchsorted(owners[first], np.arange(len(texts) + 1))
+        return out, pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), rare)
 
 
 def learn_trie(docs: DataFrame, scratch: Scratch, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Trie:
     """A trie over the column `text` (bytes) of all rows.
 
-    Every text is counted whole. Shorter contexts are sums over the longest ones. The
-    trie that leaves Spark has at most `max_entries` entries: the smallest power of two
-    that few enough counts reach is found from the counts' own distribution.
+    For corpora whose trie fits one process; `scores` does not use it. Every text is
+    counted whole. Shorter contexts are sums over the longest ones. The trie that leaves
+    Spark has at most `max_entries` entries: the smallest power of two that few enough
+    counts reach is found from the counts' own distribution.
     """
     longest = count_grams(docs, order)
     levels = F.array(
@@ -261,12 +368,7 @@ def learn_trie(docs: DataFrame, scratch: Scratch, order: int = ORDER, max_entrie
     )
     counts = longest.select(F.explode(levels).alias("e"), "n").groupBy("e.order", "e.gram").agg(F.sum("n").alias("n"))
     counts = scratch.write(counts)
-    spread = counts.groupBy(F.floor(F.log2(F.col("n"))).cast("int").alias("power")).count().collect()
-    sizes = {r["power"]: r["count"] for r in spread}
-    least = 0
-    while sum(c for p, c in sizes.items() if p >= least) > max_entries:
-        least += 1
-    rows = counts.filter(F.col("n") >= (1 << least)).toArrow()
+    rows = counts.filter(F.col("n") >= within(counts, "n", max_entries)).toArrow()
     level = rows.column("order").to_numpy()
     gram, n = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     return Trie([(gram[level == j], n[level == j]) for j in range(order + 1)])
@@ -298,7 +400,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     Both models learn from all rows whose crc32 of the id as text modulo 7 is not 2 (a
     null id is not held out); texts have A-Z lowered, null counts as empty. score is the
-    trie's log10 probability of the text's bytes and its end. base_score sums
+    model's log10 probability of the text's bytes and its end. base_score sums
     log10((c + 1) / (N + V + 1)) over words and one end token; n_known counts the tokens
     seen in training; train_tokens is N. Repeated rows are learned and scored each. With
     no row to learn from, every symbol is equally likely.
@@ -315,11 +417,15 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     top = words.orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()
     logs = np.log10(top.column(1).to_numpy() + 1.0).tolist()
     frequent = dict(zip(top.column(0).cast(pa.binary()).to_pylist(), logs))
-    shared = spark.sparkContext.broadcast((learn_trie(training, scratch, order), frequent))
+    valued = scratch.write(value_grams(scratch.write(count_grams(rows, order)), scratch, order))
+    least = within(valued, "times", MAX_ENTRIES)
+    often = valued.filter(F.col("times") >= least).select("gram", "value").toArrow()
+    cache = Values(often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy())
+    shared = spark.sparkContext.broadcast((cache, frequent))
     per_token = math.log10(n_all + n_kinds + 1)
 
     def run(batches):
-        trie, gain = shared.value
+        cache, gain = shared.value
         for batch in batches:
             for part in portions(batch, 2):
                 lines = [lowered(t) for t in part.column(2).to_pylist()]
@@ -332,25 +438,36 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     base.append(math.fsum(seen) + math.log10(texts + 1) - (len(found) + 1) * per_token)
                     more = Counter([w for w in found if w not in gain]) if len(seen) < len(found) else {}
                     rare.append([{"word": w.decode(), "n": n} for w, n in more.items()])
+                score, seldom = cache.scores(lines, order)
                 cols = [
                     part.column(0), part.column(1), pa.array(total, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(trie.scores(lines)),
-                    pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
+                    pa.array(base, pa.float64()), pa.array(score),
+                    pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))), seldom,
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "seldom"])
 
-    kind = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: string, n: long>>"
+    kind = (
+        "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
+        "rare array<struct<word: string, n: long>>, seldom array<struct<gram: long, n: long>>"
+    )
     found = rows.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id())
     found = scratch.write(found)
     rare = (
         found.select("row", F.explode("rare").alias("r"))
         .select("row", "r.word", F.col("r.n").alias("times"))
         .join(words, "word")
-        .groupBy("row")
-        .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"))
+        .select("row", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("n") + 1)).alias("gain"), F.lit(0.0).alias("value"))
+    )
+    seldom = (
+        found.select("row", F.explode("seldom").alias("g"))
+        .select("row", "g.gram", "g.n")
+        .join(valued.filter(F.col("times") < least).select("gram", "value"), "gram")
+        .select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("gain"), (F.col("n") * F.col("value")).alias("value"))
     )
-    out = found.drop("rare").join(rare, "row", "left")
+    more = rare.unionByName(seldom).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "gain", "value")])
+    out = found.drop("rare", "seldom").join(more, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("value", F.lit(0.0))).alias("score"),
     )

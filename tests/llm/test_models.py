@@ -93,6 +93,18 @@ def test_pruned_trie_still_sums_to_one(spark):
         assert (10 ** trie.logs(head | np.arange(257, dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("cached", [0, 40])
+def test_grams_beyond_the_cache_count_in_full(spark, monkeypatch, cached):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("abcd xyz", k=rng.randint(0, 60)))) for i in range(60)] + [(61, None), (62, "QQ\u00e9")]
+    monkeypatch.setattr(ppm, "MAX_ENTRIES", cached)
+    monkeypatch.setattr(ppm.learn_trie, "__defaults__", (ppm.ORDER, cached))
+    got = {r["doc_id"]: r["score"] for r in ppm.scores(docs_of(spark, rows)).collect()}
+    texts = {i: (t or "").encode().lower() for i, t in rows}
+    model = taught([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2], ppm.ORDER)
+    assert got == {i: pytest.approx(model.score(t, False), abs=1e-6) for i, t in texts.items()}
+
+
 def test_scores_of_empty_tables(spark):
     assert ppm.scores(docs_of(spark, [])).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
