@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.llm.common import Scratch, raw
@@ -16,10 +16,11 @@ from leadspark.llm.components import components
 #: Bits of the six bands. Two prints with at most four differing bits agree on two bands.
 BANDS = (12, 12, 10, 10, 10, 10)
 #: Values of a signature; the first BANDED * ROWS of them make up the join keys.
-SIGNATURE, BANDED, ROWS = 512, 10, 4
+SIGNATURE, BANDED, ROWS = 512, 20, 4
 FACTORS = np.random.default_rng(17).integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: What an estimate may fall short of the similarity asked for: its sampling error.
-SLACK = 0.015
+#: What the estimate of a candidate may fall short of the similarity asked for: over four
+#: standard errors at 0.8. Candidates are then judged by their shingle sets.
+SLACK = 0.08
 #: The low bit of each two-bit segment.
 LOW_BITS = 0x5555555555555555
 
@@ -67,8 +68,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, size: int = 4, signed_too: bool = False) -> DataFrame:
     """(doc_id, print) of every row; a null text has no words.
 
-    With `signed_too` also keys, the join keys of BANDED groups of signature values, and
-    signature, one byte of each value; a text without words has no keys.
+    With `signed_too` also keys, the join keys of BANDED groups of signature values,
+    signature, one byte of each value, and digest, which names the text; a text without
+    words has no keys.
     """
 
     def run(batches):
@@ -84,12 +86,18 @@ def fingerprints(docs: DataFrame, size: int = 4, signed_too: bool = False) -> Da
                     signatures.append((least >> np.uint64(7)).astype(np.uint8).tobytes())
             cols = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))]
             if signed_too:
-                cols += [pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+                cols += [pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary()), batch.column(2)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    kind = "doc_id long, print long" + (", keys array<long>, signature binary" if signed_too else "")
-    names = ["doc_id", "print", "keys", "signature"][: 2 + 2 * signed_too]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("text")).mapInArrow(run, kind)
+    kind = "doc_id long, print long" + (", keys array<long>, signature binary, digest binary" if signed_too else "")
+    names = ["doc_id", "print", "keys", "signature", "digest"][: 2 + 3 * signed_too]
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), raw().alias("text"), digest()][: 2 + signed_too]
+    return docs.select(*columns).mapInArrow(run, kind)
+
+
+def digest() -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(raw())).alias("digest")
 
 
 def grids() -> list[int]:
@@ -243,11 +251,12 @@ def link_similar(prints: np.ndarray, signatures: np.ndarray, least: float) -> tu
 
 
 def similar_links(rows: DataFrame, scratch: Scratch, least: float, block: int = 20_000) -> DataFrame:
-    """(a, b): links between prints of texts whose shingle sets are similar.
+    """(a, b): links that connect texts whose shingle sets may have a similarity of `least`.
 
-    Prints of texts at similarity 0.8 differ by some ten bits, too many for grids of bits,
-    so candidates are texts that share a key of ROWS least values (at 0.8, 99 in 100 pairs
-    share one of the BANDED keys) and are judged by their whole signatures.
+    `rows` names each text by the column `print`. Prints of texts at similarity 0.8 differ
+    by some ten bits, too many for grids of bits, so candidates are texts that share a key
+    of ROWS least values (at 0.8, all but 3 in 100,000 pairs share one of the BANDED keys)
+    and whose whole signatures agree but for SLACK.
     """
     entries = scratch.write(rows.select("print", F.explode("keys").alias("cell")).distinct())
     shared = scratch.write(blocked(entries, block))
@@ -282,7 +291,114 @@ def similar_links(rows: DataFrame, scratch: Scratch, least: float, block: int =
         if held:
             yield out(*held)
 
-    return joined.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+    return joined.repartition("cell").sortWithinPartitions("cell", "print").mapInArrow(run, "a long, b long").distinct()
+
+
+def link_exact(ids: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list, list]:
+    """Links that connect sets as all pairs of Jaccard similarity `least` or more would;
+    the same shrinking walk as `link_cell`. Two empty sets are equal."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(sizes)
+    values = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(values) + 1, bool)
+    heads, tails = [], []
+    rest = np.arange(1, len(sets))
+    todo, root = [0], 0
+    base = rest[:0]
+    while len(rest):
+        if not todo:
+            root, rest = int(rest[0]), rest[1:]
+            todo = [root]
+            continue
+        if 2 * len(rest) <= len(base) or not len(base):  # lay out the values of what is left
+            base = rest
+            flat = np.concatenate([values[ends[i] - sizes[i] : ends[i]] for i in base])
+            upto = np.append(0, np.cumsum(sizes[base]))
+        y = todo.pop()
+        own = values[ends[y] - sizes[y] : ends[y]]
+        mark[own] = True
+        sums = np.append(0, np.cumsum(mark[flat]))[upto]
+        mark[own] = False
+        both = np.diff(sums)[np.searchsorted(base, rest)]
+        union = sizes[y] + sizes[rest] - both
+        near = (both / np.maximum(union, 1) >= least) | (union == 0)
+        hit = rest[near]
+        heads += [ids[root]] * len(hit)
+        tails += ids[hit].tolist()
+        todo.extend(hit.tolist())
+        rest = rest[~near]
+    return heads, tails
+
+
+def exact_links(docs: DataFrame, candidates: DataFrame, scratch: Scratch, least: float, size: int, block: int = 4_000) -> DataFrame:
+    """(a, b): links between texts whose shingle sets have a similarity of `least` or more.
+
+    `candidates` is (id, digest, cell); texts of one cell are compared by their sets, which
+    travel once per text. A cell of more than `block` texts is cut as in `blocked`.
+    """
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingles(t, size)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    def run(batches):
+        held: list = []
+
+        def out(cells, ids, found):
+            starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            heads, tails = [], []
+            for a, b in zip(starts, np.append(starts[1:], len(cells))):
+                if b - a > 1:
+                    h, t = link_exact(ids[a:b], [np.frombuffer(x, np.uint64) for x in found[a:b]], least)
+                    heads += h
+                    tails += t
+            return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in (heads, tails)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()]
+            held = [np.concatenate((held[0], part[0])), np.concatenate((held[1], part[1])), held[2] + part[2]] if held else part
+            cut = int(np.searchsorted(held[0], held[0][-1], "left"))
+            if cut:
+                yield out(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+        if held:
+            yield out(*held)
+
+    shared = scratch.write(blocked(candidates.select("cell", F.col("id").alias("print")), block))
+    wanted = candidates.select("id", "digest").join(shared.select(F.col("print").alias("id")).distinct(), "id")
+    texts = docs.select(digest(), raw().alias("text")).join(wanted, "digest").dropDuplicates(["id"]).select("id", "text")
+    found = scratch.write(texts.mapInArrow(sets, "id long, shingles binary"))
+    joined = shared.select("cell", F.col("print").alias("id")).join(found, "id").select("cell", "id", "shingles")
+    return joined.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, scratch: Scratch, radius: int, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of `fingerprints`, and (digest, component_id) of each distinct text.
+
+    Candidates are texts of close prints or signatures; those connected by candidate links
+    are compared by their shingle sets, and only what that confirms is a link.
+    """
+    rows = scratch.write(fingerprints(docs, size, True))
+    texts = rows.groupBy("digest").agg(
+        F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("print", "keys", "signature")]
+    )
+    texts = scratch.write(texts.withColumn("id", F.monotonically_increasing_id()))
+    named = scratch.write(texts.groupBy("print").agg(F.min("id").alias("name")))
+    a, b = (named.select(F.col("print").alias(c), F.col("name").alias(f"name_{c}")) for c in "ab")
+    close = links(named.select("print"), scratch, radius).join(a, "a").join(b, "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+    same = texts.select("id", "print").join(named, "print").filter("id <> name").select(F.col("name").alias("a"), F.col("id").alias("b"))
+    signed_texts = texts.select(F.col("id").alias("print"), "keys", "signature")
+    maybe = components(close.unionByName(same).unionByName(similar_links(signed_texts, scratch, similarity)), scratch)
+    candidates = texts.select("id", "digest").join(maybe.select(F.col("node").alias("id"), F.col("root").alias("cell")), "id")
+    roots = components(exact_links(docs, scratch.write(candidates), scratch, similarity, size), scratch)
+    rooted = texts.select("id", "digest", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "root", F.coalesce("root", "id")
+    )
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows, scratch.write(rooted.join(least, "root").select("digest", "component_id"))
 
 
 def groups(docs: DataFrame, radius: int = 4, size: int = 4, similarity: float | None = None) -> DataFrame:
@@ -290,20 +406,23 @@ def groups(docs: DataFrame, radius: int = 4, size: int = 4, similarity: float |
 
     Prints are linked at `radius` or fewer differing bits; component_id is the smallest
     doc_id reachable, the row's own included. Copies share a print, so only distinct
-    prints are joined. With `similarity`, texts whose shingle sets have an estimated
-    Jaccard similarity of that or more are linked too (`similar_links`). Null and empty texts have print zero and are linked like any
-    other. A row with a null doc_id is linked but never names a component; where no
+    prints are joined. With `similarity`, texts are linked instead if their shingle sets
+    have a Jaccard similarity of that or more, which is computed exactly for candidates by
+    close prints or signatures (`similar_groups`). Null and empty texts have print zero
+    and are linked like any other. A row with a null doc_id is linked but never names a component; where no
     row of a component has an id, component_id is null. Repeated rows are returned
     as often as they come. Other columns of `docs` are not read.
     """
     if radius != 4:
         raise ValueError("the band layout is made for a radius of 4 bits")
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.write(fingerprints(docs, size, similarity is not None))
+    if similarity is not None:
+        rows, named = similar_groups(docs, scratch, radius, size, similarity)
+        scratch.drop(rows, named)
+        return rows.join(named, "digest").select("doc_id", "print", "component_id")
+    rows = scratch.write(fingerprints(docs, size))
     distinct = scratch.write(rows.groupBy("print").agg(F.min("doc_id").alias("first")))
     found = links(distinct.select("print"), scratch, radius)
-    if similarity is not None:
-        found = found.unionByName(similar_links(rows, scratch, similarity))
     roots = components(found, scratch)
     rooted = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn(
         "root", F.coalesce("root", "print")

@@ -215,6 +215,30 @@ def test_similar_texts_are_grouped_and_others_left(spark):
     assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(family.values())
 
 
+def test_similarity_is_exact_at_the_threshold(spark):
+    rng, rows, want = random.Random(12), [], {}
+    for base in range(0, 1200, 10):  # of 100 shingles each, 89 or 88 are shared: 0.802 and 0.786
+        words, changed = [f"t{rng.randrange(10**6)}" for _ in range(104)], 11 + base // 10 % 2
+        other = words[:-changed] + [f"n{rng.randrange(10**6)}" for _ in range(changed)]
+        rows += [(base, " ".join(words)), (base + 1, " ".join(other))]
+        want |= {base: base, base + 1: base + (changed == 12)}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(docs_of(spark, rows), size=5, similarity=0.8).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [4_000, 7])
+def test_exact_links_connect_as_all_pairs_do(spark, block):
+    rng, words = random.Random(6), [f"t{k}" for k in range(150)]
+    texts = [edited(rng, words, k % 8) for k in range(60)] + ["", " ", "alone"]
+    docs = docs_of(spark, list(enumerate(texts)))
+    candidates = docs.select(F.col("doc_id").alias("id"), simhash.digest(), F.lit(5).cast("long").alias("cell"))
+    found = simhash.exact_links(docs, candidates, Scratch(spark, "t"), 0.8, 5, block).collect()
+    sets = [set(simhash.shingles(t.encode(), 5).tolist()) for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    pairs = [(i, j) for i in range(63) for j in range(i) if near(sets[i], sets[j])]
+    assert roots(range(63), [(r["a"], r["b"]) for r in found]) == roots(range(63), pairs)
+
+
 @pytest.mark.parametrize("block", [20_000, 7])
 def test_similar_links_of_a_crowded_cell(spark, block):
     rng = random.Random(3)
