@@ -22,6 +22,8 @@ FOLDS = 5
 #: Labelled documents of either label that the network is fitted on.
 MAX_PER_LABEL = 3_000
 WINDOW, STRIDE = 48, 36
+#: Characters of the longest word; a longer one is cut into pieces that start STEP apart.
+LONGEST, STEP = 64, 48
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 17
 EMBED, HIDDEN, ATTEND = 6, 8, 8
 INPUTS = 2 * EMBED + 3
@@ -36,13 +38,28 @@ def normal(word: bytes) -> str:
     return text.strip(MARKS) or text
 
 
+def tokens(text: bytes) -> list[bytes]:
+    """The words of a text; overlapping pieces stand for a word of over LONGEST characters."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for word in words:
+        whole = normal(word) if len(word) > LONGEST else ""
+        if len(whole) <= LONGEST:
+            out.append(word)
+        else:
+            out += [whole[a : a + LONGEST].encode() for a in range(0, len(whole) - LONGEST + STEP, STEP)]
+    return out
+
+
 def parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets, the buckets of all character 3- to 5-grams word by word, and their numbers.
 
-    The ends of a word are marked, and at most its first 64 characters have grams.
+    The ends of a word are marked. Words come from `tokens`, so none is over LONGEST.
     """
     buckets = np.fromiter((zlib.crc32(w.encode()) % WORD_BUCKETS for w in words), np.int64, len(words))
-    marked = [f"<{w[:64] or ' '}>" for w in words]
+    marked = [f"<{w or ' '}>" for w in words]
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     points = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(marked)), lengths)
@@ -252,7 +269,7 @@ class Scorer:
         best = np.full(len(texts), -np.inf)
         ids, owner = [], []
         for k, text in enumerate(texts):
-            words = text.split()
+            words = tokens(text)
             for part in range(0, max(1, len(words)), 1000 * STRIDE):
                 rows = self.rows(words[part : part + 1000 * STRIDE + WINDOW])
                 for a, b in windows(len(rows)):
@@ -300,7 +317,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
         found = np.zeros((2, WORD_BUCKETS + GRAM_BUCKETS), np.int64)
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = list({normal(w) for w in text.split()})
+                words = list({normal(w) for w in tokens(text)})
                 if words:
                     buckets, flat, _ = parts(words)
                     found[toxic, np.unique(np.concatenate((buckets, flat + WORD_BUCKETS)))] += 1
@@ -346,7 +363,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
 
         out = []
         for t, k, d in zip(text, toxic, doc_id):
-            words = [normal(w) for w in t.split()]
+            words = [normal(w) for w in tokens(t)]
             spans = windows(len(words))
             sums = np.zeros(len(words) + 1)
             if words:

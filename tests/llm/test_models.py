@@ -196,6 +196,20 @@ def test_windows_cover_every_word():
         assert all(b - a <= toxicity.WINDOW for a, b in spans)
 
 
+def test_every_character_of_a_long_token_is_scored():
+    rng = np.random.default_rng(2)
+    net = toxicity.Network(np.zeros(toxicity.WORD_BUCKETS), rng.normal(size=toxicity.GRAM_BUCKETS))
+    net.w["word"][:] = 0
+    for head in ("x." * 50, "x\u00a0y" * 40, "\u8a9e" * 70, "ab" * 1000):
+        plain, marked = toxicity.Scorer(net).scores([(head + end + head).encode() for end in ("fine", "idiot")])
+        assert abs(plain - marked) > 1e-6
+    for n in (65, 112, 113, 300):
+        word = "".join(rng.choice(list("abcdef"), n))
+        pieces = [p.decode() for p in toxicity.tokens(f"to {word} be".encode())][1:-1]
+        assert all(len(p) <= 64 for p in pieces) and all(any(word[i : i + 5] in p for p in pieces) for i in range(n - 4))
+    assert toxicity.tokens(b"a " + b"z" * 64 + b" " + b"-" * 80 + b"q") == [b"a", b"z" * 64, b"-" * 80 + b"q"]
+
+
 def area(labels, scores):
     order = np.argsort(np.argsort(scores, kind="stable"), kind="stable") + 1
     n = int(labels.sum())
