@@ -125,7 +125,8 @@ def stacked(column) -> np.ndarray:
 def search_block(coder: Coder, radius: int, ids: np.ndarray, rows: np.ndarray, queries: tuple, k: int):
     """The k nearest of a block of rows for each query: (query_id, vec_id, score) arrays.
 
-    The radius grows until k rows other than the query's own are found or all were seen.
+    Rows of one vec_id count once, by the nearest. The radius grows until k vec_ids other
+    than the query's own are found or all rows were seen.
     """
     index = Index(coder.codes(rows))
     out = []
@@ -134,11 +135,12 @@ def search_block(coder: Coder, radius: int, ids: np.ndarray, rows: np.ndarray, q
         while True:
             found = index.within(code, reach)
             found = found[ids[found] != query_id]
-            if len(found) >= k or reach >= coder.bits:
+            if len(found) >= k and len(np.unique(ids[found])) >= k or reach >= coder.bits:
                 break
             reach = min(coder.bits, reach + max(8, coder.bits // 16))
         score = cosines(query, rows[found])
-        top = np.lexsort((ids[found], -score))[:k]
+        top = np.lexsort((ids[found], -score))
+        top = top[np.sort(np.unique(ids[found][top], return_index=True)[1])[:k]]
         out.append((np.full(len(top), query_id), ids[found][top], score[top]))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 

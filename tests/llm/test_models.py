@@ -164,6 +164,28 @@ def test_nearest_with_ties_copies_and_bad_vectors(spark):
     assert mih.nearest(few.limit(0)).count() == 0
 
 
+def test_copies_of_a_near_vector_take_one_place(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 8))
+    base[7] = base[0] + 0.01
+    rows = [(i, v) for i, v in enumerate(base.tolist())] + [(7, (base[0] + 0.02 + 0.001 * c).tolist()) for c in range(40)]
+    got = {}
+    for r in mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (0, 50):
+        score = {}
+        for (i, _), c in zip(rows, mih.cosines(base[q], np.array([v for _, v in rows]))):
+            score[i] = max(c, score.get(i, -2))
+        want = sorted((i for i in score if i != q), key=lambda i: (-score[i], i))[:5]
+        assert [i for i, _ in got[q]][:1] == want[:1] and len({i for i, _ in got[q]}) == 5
+        assert all(s == pytest.approx(score[i]) for i, s in got[q])
+    coder = mih.Coder(base)
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    found = mih.search_block(coder, coder.bits, ids, x, ([0], x[:1], coder.codes(x[:1])), 5)
+    order = [i for i in ids[np.argsort(-mih.cosines(x[0], x), kind="stable")] if i]
+    assert found[1].tolist() == list(dict.fromkeys(order))[:5]
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(rng.normal(size=toxicity.WORD_BUCKETS), rng.normal(size=toxicity.GRAM_BUCKETS))
