@@ -29,6 +29,11 @@ def raw(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, text): of the rows that agree in `keys`, the text of the smallest hash."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that `df` does not use yet."""
     taken = {c.lower() for c in df.columns}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import fold
+from leadspark.llm.common import fold, one_text
 
 #: Rows of trusted positives and of unlabelled text that the classifier is fitted on.
 MAX_POSITIVES = 15_000
@@ -156,7 +156,7 @@ def pu_fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Net, float]:
 def sample(docs: DataFrame, ids: DataFrame | None, limit: int, seed: str) -> np.ndarray:
     """Feature rows of at most `limit` documents, those of the smallest hashes of the id.
 
-    With `ids`, only documents among them. The bound is on the sample a classifier is
+    With `ids`, only documents among them. An id that repeats counts with one text. The bound is on the sample a classifier is
     fitted on; scoring reads every row.
     """
 
@@ -169,7 +169,7 @@ def sample(docs: DataFrame, ids: DataFrame | None, limit: int, seed: str) -> np.
     chosen = pool.select("doc_id").distinct().orderBy(order, "doc_id").limit(limit)
     text = F.col("text").cast("string").cast("binary")
     rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("doc_id", described("text").alias("f")).toPandas().sort_values("doc_id", kind="stable")
+    rows = one_text(rows, "doc_id").select("doc_id", described("text").alias("f")).toPandas().sort_values("doc_id", kind="stable")
     return np.stack(rows["f"]).astype(np.float64) if len(rows) else np.zeros((0, len(FEATURES)))
 
 

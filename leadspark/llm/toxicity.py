@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import fold, raw
+from leadspark.llm.common import fold, one_text, raw
 
 FOLDS = 5
 #: Labelled documents of either label that the network is fitted on.
@@ -344,7 +344,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
 
     The odds of words and n-grams come from one half of the sample, the windows from the
     other: of each text the window whose words are the most suspicious, and of clean
-    texts a random one too, so every whole text is looked at. None without both labels.
+    texts a random one too, so every whole text is looked at. An id that repeats counts
+    with one text. None without both labels.
     """
     ids = chosen(labels).cache()
     n = {(r["toxic"], r["part"]): r["count"] for r in ids.groupBy("toxic", "part").count().collect()}
@@ -352,6 +353,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
         ids.unpersist()
         return None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = one_text(texts, "doc_id", "toxic", "part")
     counts = bucket_counts(texts.filter("part = 0"))
     odds = log_odds(counts, n[0, 0], n[1, 0])
     network = Network(odds[:WORD_BUCKETS], odds[WORD_BUCKETS:])

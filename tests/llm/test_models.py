@@ -262,6 +262,17 @@ def test_held_out_labels_are_not_read(spark):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(one.doc_id[one.predicted == 1])
 
 
+def test_a_repeated_id_enters_the_samples_once(spark, monkeypatch):
+    docs = docs_of(spark, [(i, f"some words of {i}") for i in range(40)] + [(i, f"row {k} of {i}") for i in (3, 8) for k in range(50)])
+    assert len(quality.sample(docs, None, 60, "s")) == 40
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity.Network, "fit", lambda self, words, marks: fitted.append(len(words)))
+    toxicity.train(docs, labels)
+    part = toxicity.chosen(labels).filter("part = 1").collect()
+    assert fitted == [sum(2 - r["toxic"] for r in part)]
+
+
 def test_non_negative_risk_recovers_the_prior():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(2, 1, (4000, 4)), rng.normal(-2, 1, (4000, 4))
