@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import mih, mixing, ppm, quality, rlz, simhash, tiling, token_counts, toxicity, warc
+from leadspark.llm import mih, mixing, ppm, quality, repair, rlz, simhash, tiling, token_counts, toxicity, warc
 from leadspark.llm.common import table
 
 #: Vocabulary file of the token counts, by name in the public tokenizers package.
@@ -58,11 +58,15 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repaired(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ppm, op2_multi_index, op3_warc, op4_mixing, op5_simhash, op6_toxicity, op7_token_counts, op8_relative_lz,
-        op9_string_tiling, op10_quality,
+        op9_string_tiling, op10_quality, op13_repair,
     )
 }
 
@@ -106,4 +110,57 @@ ORACLES: dict[str, str] = {
             FROM w LEFT JOIN gl USING (doc_id))
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
             sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    "op13_repair": r"""
+        WITH RECURSIVE k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+        c AS (
+            SELECT k.*, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT))),
+                lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(0, 8)), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS fault FROM k),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM c WHERE fault <> 0),
+        n AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || ':' || text)) AS i,
+                regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS trimmed FROM d),
+        m AS (
+            SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS flaw,
+                left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+        facts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (flaw = 'blank') AS blank,
+                count(*) FILTER (flaw = 'duplicate') AS duplicate, count(*) FILTER (flaw = 'truncated') AS truncated,
+                count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM m GROUP BY conv_id),
+        step(state, op, cost, written, after) AS (VALUES
+            ('0', 's', 0, '', 's'), ('0', 'u', 0, '', 'u'), ('s', 'u', 0, '', 'u'), ('a', 'u', 0, '', 'u'), ('u', 'a', 0, '', 'a'),
+            ('0', 'a', 2, 'user:', 'a'), ('s', 'a', 2, 'user:', 'a'), ('a', 'a', 2, 'user:', 'a'), ('u', 'u', 2, 'assistant:', 'u')),
+        best AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, '0' AS state, {'cost': 0, 'audit': '', 'out': CAST([] AS VARCHAR[])} AS way FROM facts
+            UNION ALL
+            SELECT conv_id, i, state, min(way) FROM (
+                SELECT b.conv_id, m.i, b.state, {'cost': (b.way).cost + 3, 'audit': (b.way).audit || 'D', 'out': (b.way).out} AS way
+                FROM best b JOIN m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i + 1
+                UNION ALL
+                SELECT b.conv_id, m.i, s.after, {
+                    'cost': (b.way).cost + s.cost + CASE WHEN m.initial = s.op THEN 0 ELSE 2 END + CASE WHEN m.flaw = 'truncated' THEN 1 ELSE 0 END,
+                    'audit': (b.way).audit || CASE WHEN s.cost > 0 THEN 'I' ELSE '' END || CASE WHEN m.initial = s.op THEN 'K' ELSE 'R' END,
+                    'out': list_concat((b.way).out, CASE WHEN s.cost > 0 THEN [s.written] ELSE [] END,
+                        [CASE WHEN m.initial = s.op THEN m.role WHEN s.op = 'u' THEN 'user' ELSE 'assistant' END || ':' || m.text])} AS way
+                FROM best b JOIN m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i + 1 JOIN step s ON s.state = b.state
+                WHERE m.flaw NOT IN ('blank', 'duplicate') AND (s.op <> 's' OR m.initial = 's'))
+            GROUP BY ALL),
+        final AS (
+            SELECT f.conv_id, min(CASE b.state
+                WHEN 's' THEN {'cost': (way).cost + 4, 'audit': (way).audit || 'II', 'out': list_concat((way).out, ['user:', 'assistant:'])}
+                WHEN 'u' THEN {'cost': (way).cost + 2, 'audit': (way).audit || 'I', 'out': list_concat((way).out, ['assistant:'])}
+                ELSE way END) AS way
+            FROM facts f JOIN best b ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.i = f.n GROUP BY f.conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, CAST(coalesce((way).cost, 0) AS BIGINT) AS cost, coalesce((way).audit, '') AS audit,
+            sha256(coalesce(array_to_string((way).out, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN final w ON w.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
