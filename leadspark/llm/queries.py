@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import mih, mixing, ppm, quality, repair, rlz, simhash, tiling, token_counts, toxicity, warc
+from leadspark.llm import mih, mixing, negatives, ppm, quality, repair, rlz, simhash, tiling, token_counts, toxicity, warc
 from leadspark.llm.common import table
 
 #: Vocabulary file of the token counts, by name in the public tokenizers package.
@@ -58,6 +58,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
 def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repaired(table(spark, folder, "conversations"))
 
@@ -66,7 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ppm, op2_multi_index, op3_warc, op4_mixing, op5_simhash, op6_toxicity, op7_token_counts, op8_relative_lz,
-        op9_string_tiling, op10_quality, op13_repair,
+        op9_string_tiling, op10_quality, op12_negatives, op13_repair,
     )
 }
 
@@ -110,6 +114,23 @@ ORACLES: dict[str, str] = {
             FROM w LEFT JOIN gl USING (doc_id))
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
             sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    "op12_negatives": """
+        WITH u AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: isfinite(x))) = len(embedding)),
+        s AS (
+            SELECT a.vec_id AS anchor_id, u.vec_id, u.label = a.label AS alike, CAST(list_dot_product(a.v, u.v) AS BIGINT) AS score
+            FROM u JOIN u a ON a.vec_id % 50 = 0 AND a.vec_id <> u.vec_id),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER pair AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        WINDOW pair AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER pair <= 3""",
     "op13_repair": r"""
         WITH RECURSIVE k AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
