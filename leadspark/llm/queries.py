@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import mih, mixing, negatives, ppm, quality, repair, rlz, simhash, tiling, token_counts, toxicity, warc
+from leadspark.llm import mih, mixing, negatives, ngram, ppm, quality, repair, rlz, simhash, tiling, token_counts, toxicity, warc
 from leadspark.llm.common import table
 
 #: Vocabulary file of the token counts, by name in the public tokenizers package.
@@ -58,6 +58,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_ngram_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram.rules(table(spark, folder, "documents"))
+
+
 def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, folder, "embeddings"))
 
@@ -70,7 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ppm, op2_multi_index, op3_warc, op4_mixing, op5_simhash, op6_toxicity, op7_token_counts, op8_relative_lz,
-        op9_string_tiling, op10_quality, op12_negatives, op13_repair,
+        op9_string_tiling, op10_quality, op11_ngram_rules, op12_negatives, op13_repair,
     )
 }
 

@@ -17,13 +17,16 @@ COLUMNS = {
     "op7_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
     "op8_relative_lz": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op10_quality": {"doc_id", "held_out", "score", "predicted"},
+    "op11_ngram_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    "op12_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
+    "op13_repair": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
 }
-ROWS = {"op3_warc": "pages", "op2_multi_index": None, "op4_mixing": None}
+ROWS = {"op3_warc": "pages", "op2_multi_index": None, "op4_mixing": None, "op12_negatives": None, "op13_repair": None}
 
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
