@@ -17,7 +17,7 @@ from leadspark.llm.common import Scratch, portions, raw
 ORDER = 5
 #: Markers of a word's ends: white space, which no word holds.
 BEGIN, END = b" ", b"\n"
-SYMBOLS = b"#*$%&|<>"
+SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 #: Entries of the model that every worker holds (16 bytes each); others are met by a join.
 MAX_ENTRIES = 4_000_000
 #: Words a worker remembers, in counting and in scoring.
@@ -152,10 +152,13 @@ def kneser_ney(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> DataF
         discounts = grams.groupBy("lang").agg(*seen).select("lang", *(F.when(fine, c).otherwise((j + 1) / 2).alias(f"d{j + 1}") for j, c in enumerate(cut)))
         ctx = Window.partitionBy("lang", "ctx")
         kinds = [F.sum((F.least("n", F.lit(3)) == j).cast("int")).over(ctx) for j in (1, 2, 3)]
-        grams = grams.withColumn("ctx", context("gram", k)).join(discounts, "lang")
-        left = sum((kinds[j] * F.col(f"d{j + 1}") for j in range(3)), F.lit(0.0))
+        # by context first: what is dealt out by language alone stays with few tasks
+        grams = grams.withColumn("ctx", context("gram", k))
+        grams = grams.select("*", F.sum("n").over(ctx).alias("all"), *(c.alias(f"c{j + 1}") for j, c in enumerate(kinds)))
+        grams = grams.join(discounts, "lang")
+        left = sum((F.col(f"c{j}") * F.col(f"d{j}") for j in (1, 2, 3)), F.lit(0.0))
         cost = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        grams = grams.withColumn("all", F.sum("n").over(ctx)).withColumn("left", left / F.col("all"))
+        grams = grams.withColumn("left", left / F.col("all"))
         grams = grams.select("lang", "gram", "n", "ctx", "all", "left", ((F.col("n") - cost) / F.col("all")).alias("own"))
         if lower is None:
             grams = grams.withColumn("p", F.col("own") + F.col("left") / 256)
@@ -211,14 +214,16 @@ class Arrays:
             out[open_[known]] = p[known] + weight[known]
             if not self.whole:
                 break
+            open_, weight, size, code = open_[~known], weight[~known], size[~known], code[~known]
+            if not len(open_):
+                break
             before = self.find(name, key(code >> 8, size - 1) * (size > 1))
             b = np.where(before >= 0, self.b[before], 0)
-            b = np.where(np.isnan(b), 0, b)
-            last = ~known & (size == 1)
-            out[open_[last]] = (weight + b - np.log10(256))[last]
-            on = ~known & (size > 1)
-            open_, weight, size = open_[on], (weight + b)[on], size[on] - 1
-            code = code[on] & ((np.int64(1) << (8 * size)) - 1)
+            weight = weight + np.where(np.isnan(b), 0, b)
+            last = size == 1
+            out[open_[last]] = weight[last] - np.log10(256)
+            open_, weight, size = open_[~last], weight[~last], size[~last] - 1
+            code = code[~last] & ((np.int64(1) << (8 * size)) - 1)
         return out
 
 
@@ -231,71 +236,130 @@ def loaded(model: DataFrame, limit: int) -> Arrays:
     return Arrays(table.column("lang").to_pylist(), table.column("gram").to_numpy(), p, b, n <= limit)
 
 
-def repeated_windows(ids: np.ndarray) -> int:
-    """Words in three-word windows that stand at least twice."""
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of the rows of some columns."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def repeated_windows(ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Per owner its words in three-word windows that stand at least twice with it.
+
+    `ids` are word numbers in order, `owner` numbers 0 to n - 1 in rising order. Windows
+    meet by a hash, and are compared where hashes are equal.
+    """
     if len(ids) < 3:
-        return 0
-    top = int(ids.max()) + 1
-    if top < 1 << 21:
-        windows = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
-    else:
-        pairs = np.unique(ids[:-1] * top + ids[1:], return_inverse=True)[1]
-        windows = pairs[:-1] * top + ids[2:]
-    _, where, n = np.unique(windows, return_inverse=True, return_counts=True)
-    twice, marked = n[where] > 1, np.zeros(len(ids), bool)
+        return np.zeros(n, np.int64)
+    at = np.flatnonzero(owner[2:] == owner[:-2])
+    columns = [owner[at], ids[at], ids[at + 1], ids[at + 2]]
+    h = mixed(columns)
+    order = np.argsort(h, kind="stable")
+    equal = h[order[1:]] == h[order[:-1]]
+    alike = np.all([c[order[1:]] == c[order[:-1]] for c in columns], axis=0)
+    if (equal & ~alike).any():  # two windows of one hash: put equal ones side by side
+        order = np.lexsort(columns)
+        alike = np.all([c[order[1:]] == c[order[:-1]] for c in columns], axis=0)
+    twice = np.zeros(len(at), bool)
+    twice[order[1:]] |= alike
+    twice[order[:-1]] |= alike
+    marked = np.zeros(len(ids), bool)
     for k in range(3):
-        marked[k : k + len(twice)] |= twice
-    return int(marked.sum())
+        marked[at[twice] + k] = True
+    return np.bincount(owner[marked], minlength=n)
 
 
-class Reader:
-    """Counts and the model's log10 probability of texts, word by word from a bounded book."""
+class Book:
+    """Words of one language with the model's log10 probability of each, numbered as they come."""
 
-    def __init__(self, arrays: Arrays, order: int):
-        self.arrays, self.order, self.books = arrays, order, {}
+    def __init__(self, arrays: Arrays, lang: str, order: int):
+        self.arrays, self.lang, self.order = arrays, lang, order
+        self.ids: dict[bytes, int] = {}
+        self.scores = np.zeros(1024)
+        #: Grams of a word that the arrays cannot tell.
+        self.missing: dict[int, np.ndarray] = {}
 
-    def learn(self, lang: str, words: set[bytes]) -> None:
-        ids, scores, missing = self.books[lang]
-        fresh = [w for w in words if w not in ids]
+    def learn(self, words: set[bytes]) -> None:
+        fresh = [w for w in words if w not in self.ids]
         for k in range(0, len(fresh), 20_000):
-            some = fresh[k : k + 20_000]
+            some, n = fresh[k : k + 20_000], len(self.ids)
             grams, starts = top_grams(some, self.order)
-            found = self.arrays.log10(lang, grams)
+            found = self.arrays.log10(self.lang, grams)
             unknown = np.isnan(found)
             if unknown.any():
                 for w in np.unique(np.searchsorted(starts, np.flatnonzero(unknown), "right") - 1):
                     part = slice(starts[w], starts[w + 1])
-                    missing[len(ids) + int(w)] = grams[part][unknown[part]]
-            scores.append(np.add.reduceat(np.where(unknown, 0, found), starts[:-1]))
-            ids.update(zip(some, range(len(ids), len(ids) + len(some))))
+                    self.missing[n + int(w)] = grams[part][unknown[part]]
+            while n + len(some) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros(len(self.scores))])
+            self.scores[n : n + len(some)] = np.add.reduceat(np.where(unknown, 0, found), starts[:-1])
+            self.ids.update(zip(some, range(n, n + len(some))))
 
-    def read(self, lang: str, text: bytes) -> tuple:
-        """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, open grams)."""
-        if sum(len(b[0]) for b in self.books.values()) > BOOK:
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+
+
+class Reader:
+    """Counts and the model's log10 probability of texts, from bounded books of words."""
+
+    def __init__(self, arrays: Arrays, order: int):
+        self.arrays, self.order, self.books = arrays, order, {}
+
+    def read(self, lang: str, texts: list[bytes]) -> list[tuple]:
+        """Per text n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, open grams."""
+        if sum(len(b.ids) for b in self.books.values()) > BOOK:
             self.books.clear()
-        ids, scores, missing = self.books.setdefault(lang, ({}, [], {}))
-        parts, size = [], 0
-        for words in words_of(text):
-            self.learn(lang, set(words))
-            parts.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
-            size += sum(map(len, words))
-        found = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        if len(scores) > 1:
-            scores[:] = [np.concatenate(scores)]
-        score = float(np.sort(scores[0][found]).sum()) if len(found) else 0.0
-        unknown: Counter = Counter()
-        if missing:
-            for w, n in zip(*np.unique(found, return_counts=True)):
-                for gram in missing.get(int(w), ()):
-                    unknown[int(gram)] += int(n)
-        later = int(np.count_nonzero((np.frombuffer(text, np.uint8) & 0xC0) == 0x80))
-        seen, twice = set(), 0
-        for line in text.split(b"\n"):
-            if line.strip():
-                twice += line in seen
-                seen.add(line)
-        marks = sum(text.count(bytes([c])) for c in SYMBOLS)
-        return len(found), size - later, marks, twice, repeated_windows(found), score, list(unknown.items())
+        if lang not in self.books:
+            self.books[lang] = Book(self.arrays, lang, self.order)
+        book, n = self.books[lang], len(texts)
+        if sum(map(len, texts)) <= PIECE:
+            split = [text.split() for text in texts]
+            book.learn(set().union(*split))
+            ids = [book.numbers(words) for words in split]
+            sizes = [sum(map(len, words)) for words in split]
+        else:
+            ids, sizes = [], []
+            for text in texts:
+                parts, size = [np.zeros(0, np.int64)], 0
+                for words in words_of(text):
+                    book.learn(set(words))
+                    parts.append(book.numbers(words))
+                    size += sum(map(len, words))
+                ids.append(np.concatenate(parts))
+                sizes.append(size)
+        counts = np.array([len(i) for i in ids], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *ids])
+        owner = np.repeat(np.arange(n), counts)
+        repeats = repeated_windows(flat, owner, n)
+        scores, some = np.zeros(n), np.flatnonzero(counts)
+        if len(some):
+            scores[some] = np.add.reduceat(book.scores[flat], (np.cumsum(counts) - counts)[some])
+        return [
+            (int(counts[k]), sizes[k] - later(text), sum(map(text.count, SYMBOLS)), repeated_lines(text), int(repeats[k]), float(scores[k]), unknown(book, ids[k]))
+            for k, text in enumerate(texts)
+        ]
+
+
+def later(text: bytes) -> int:
+    """Bytes that continue a character."""
+    return 0 if text.isascii() else int(np.count_nonzero((np.frombuffer(text, np.uint8) & 0xC0) == 0x80))
+
+
+def repeated_lines(text: bytes) -> int:
+    lines = [line for line in text.split(b"\n") if line.strip()]
+    return len(lines) - len(set(lines))
+
+
+def unknown(book: Book, ids: np.ndarray) -> list[tuple[int, int]]:
+    """(gram, n) of the grams in a text that only the whole model can tell."""
+    found: Counter = Counter()
+    if book.missing:
+        for w, n in zip(*np.unique(ids, return_counts=True)):
+            for gram in book.missing.get(int(w), ()):
+                found[int(gram)] += int(n)
+    return list(found.items())
 
 
 FACTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
@@ -314,7 +378,11 @@ def read_all(docs: DataFrame, model: DataFrame, scratch: Scratch, order: int, li
         reader = Reader(shared.value, order)
         for batch in batches:
             for part in portions(batch, 2):
-                rows = [reader.read(name, body.as_py()) for name, body in zip(part.column(1).to_pylist(), part.column(2))]
+                langs, bodies, rows = part.column(1).to_pylist(), part.column(2).to_pylist(), [()] * part.num_rows
+                for name in dict.fromkeys(langs):
+                    mine = [k for k, other in enumerate(langs) if other == name]
+                    for k, row in zip(mine, reader.read(name, [bodies[k] for k in mine])):
+                        rows[k] = row
                 columns = list(zip(*rows))
                 facts = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.float64())]
                 lists = pa.array([[{"gram": g, "n": n} for g, n in c] for c in columns[6]], pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())])))

@@ -121,8 +121,19 @@ def test_counts_equal_a_plain_loop(spark, monkeypatch):
     monkeypatch.setattr(ngram, "PIECE", 64)
     for text in (t or "" for t in texts[:20]):
         assert [w for words in ngram.words_of(text.encode()) for w in words] == text.encode().split()
-    big = rng.choices(range(1 << 40, (1 << 40) + 3), k=50)
-    assert ngram.repeated_windows(np.unique(big, return_inverse=True)[1]) == ngram.repeated_windows(np.array(big) - (1 << 40) + (1 << 22))
+
+
+def test_repeated_windows_when_hashes_meet(monkeypatch):
+    rng = random.Random(4)
+    ids, owner = np.array(rng.choices(range(3), k=400)), np.sort(np.array(rng.choices(range(9), k=400)))
+    want = []
+    for k in range(9):
+        mine = ids[owner == k].tolist()
+        windows = Counter(zip(mine, mine[1:], mine[2:]))
+        want.append(len({j for i in range(len(mine) - 2) if windows[tuple(mine[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}))
+    assert ngram.repeated_windows(ids, owner, 9).tolist() == want
+    monkeypatch.setattr(ngram, "mixed", lambda columns: np.arange(len(columns[0])).astype(np.uint64) % 5)
+    assert ngram.repeated_windows(ids, owner, 9).tolist() == want
 
 
 def test_empty_table(spark):
