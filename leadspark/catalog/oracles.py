@@ -293,7 +293,7 @@ HELPERS = {
  FROM visited v LEFT JOIN page_captures c ON c.place_id = v.place_id AND c.role = 'contact' LEFT JOIN (SELECT page_id AS pid, string_agg(email, ' ' ORDER BY pos) FILTER (WHERE pos < 3) AS emails FROM ranked GROUP BY 1) e ON e.pid = v.page_id
 """,
     "cells": f"""
- SELECT term, least(floor((lat - {ROOT['sw_lat']}) / ({ROOT['ne_lat']} - {ROOT['sw_lat']}) * 8), 7)::INT AS y, least(floor((lng - ({ROOT['sw_lng']})) / (({ROOT['ne_lng']}) - ({ROOT['sw_lng']})) * 8), 7)::INT AS x
+ SELECT term, place_id, pos, least(floor((lat - {ROOT['sw_lat']}) / ({ROOT['ne_lat']} - {ROOT['sw_lat']}) * 8), 7)::INT AS y, least(floor((lng - ({ROOT['sw_lng']})) / (({ROOT['ne_lng']}) - ({ROOT['sw_lng']})) * 8), 7)::INT AS x
  FROM tile_batches WHERE lat BETWEEN {ROOT['sw_lat']} AND {ROOT['ne_lat']} AND lng BETWEEN {ROOT['sw_lng']} AND {ROOT['ne_lng']}
 """,
     "grid": "SELECT t.term, d.depth::INT AS depth, gy::INT AS gy, gx::INT AS gx FROM (SELECT DISTINCT term FROM cells) t, (SELECT unnest(range(4)) AS depth) d, (SELECT unnest(range(8)) AS gy) a, (SELECT unnest(range(8)) AS gx) b WHERE gy < 2 ** depth AND gx < 2 ** depth",
@@ -301,6 +301,21 @@ HELPERS = {
     "tree": """
  SELECT t.term, t.depth, t.gy, t.gx, t.n AS item_count, t.n >= 60 AS truncated, t.n >= 60 AND t.depth < 3 AS split, CASE WHEN t.n >= 60 AND t.depth >= 3 THEN 'maxDepth' END AS split_blocked_by
  FROM tallies t WHERE NOT EXISTS (SELECT 1 FROM tallies a WHERE a.term = t.term AND a.depth < t.depth AND a.gy = t.gy >> (t.depth - a.depth) AND a.gx = t.gx >> (t.depth - a.depth) AND a.n < 60)
+""",
+    "costed": """
+ SELECT *, coalesce(sum(cost) OVER (ORDER BY term, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS calls_before
+ FROM (SELECT *, greatest(ceil(least(item_count, 60) / 20), 1)::BIGINT AS cost,
+  array_to_string(list_transform(range(1, depth + 1), lambda k: ((gy >> (depth - k)::INT) & 1) * 2 + ((gx >> (depth - k)::INT) & 1)), '') AS path FROM tree)
+""",
+    "swept": """
+ SELECT term, depth, gy, gx, path, CASE WHEN calls < cost THEN calls * 20 ELSE item_count END AS item_count, cut AS truncated, cut AND why IS NULL AS split, why AS split_blocked_by, calls, calls_before
+ FROM (SELECT *, CASE WHEN cut THEN CASE WHEN depth >= 3 THEN 'maxDepth' WHEN calls_before + calls >= 100 THEN 'halted' END END AS why
+  FROM (SELECT *, least(cost, 100 - calls_before) AS calls, truncated OR cost > 100 - calls_before AS cut FROM costed WHERE calls_before < 100))
+""",
+    "answers": """
+ SELECT k.tile_key, c.place_id, row_number() OVER (PARTITION BY k.tile_key ORDER BY c.pos) - 1 AS pos
+ FROM tile_keys k JOIN cells c ON c.term = k.term AND c.y >> (3 - k.depth) = k.gy AND c.x >> (3 - k.depth) = k.gx
+ QUALIFY row_number() OVER (PARTITION BY k.tile_key ORDER BY c.pos) <= 60
 """,
     "tile_keys": f"""
  SELECT *, lower(trim(term)) || '|' || printf('%.6f', {ROOT['sw_lat']} + gy * ({ROOT['ne_lat']}::DOUBLE - {ROOT['sw_lat']}::DOUBLE) / 2 ** depth) || ',' || printf('%.6f', ({ROOT['sw_lng']}) + gx * ({ROOT['ne_lng']}::DOUBLE - ({ROOT['sw_lng']})::DOUBLE) / 2 ** depth)
@@ -429,7 +444,20 @@ FROM (VALUES ('20260801-142726_town-0-pa_building.csv', 'town 0 pa', true), ('20
     "corpus": "SELECT * FROM corpora",
     "ttfb_median": "SELECT market, niche, median_ttfb_ms FROM corpora WHERE median_ttfb_ms IS NOT NULL",
     "slowest": "SELECT market, niche, slowest_ms FROM corpora WHERE slowest_ms IS NOT NULL",
-    "sweep_summary": "SELECT term, count(*) AS tiles_searched, count(*) FILTER (WHERE split) AS tiles_split, max(depth) AS deepest, count(*) FILTER (WHERE truncated AND NOT split) AS truncated_leaves, false AS halted FROM tree GROUP BY term",
+    "sweep_summary": """
+ SELECT t.term, coalesce(n, 0) AS tiles_searched, coalesce(s, 0) AS tiles_split, coalesce(deepest, 0) AS deepest, coalesce(leaves, 0) AS truncated_leaves, coalesce(w, 0) > 0 AS halted
+ FROM (SELECT DISTINCT term FROM tree) t
+ LEFT JOIN (SELECT term, count(*) AS n, count(*) FILTER (WHERE split) AS s, max(depth) AS deepest, count(*) FILTER (WHERE truncated AND NOT split) AS leaves FROM swept GROUP BY term) a ON a.term = t.term
+ LEFT JOIN (SELECT d.term, count(*) AS w FROM costed d LEFT JOIN swept p ON p.term = d.term AND p.path = left(d.path, d.depth - 1)
+  WHERE d.calls_before >= 100 AND (d.depth = 0 OR p.split) GROUP BY d.term) b ON b.term = t.term""",
+    "sweep_halted": "SELECT term, depth, gy, gx, item_count, truncated, split, split_blocked_by, calls, calls_before FROM swept",
+    "cache_replay": """SELECT k.term, k.depth, k.gy, k.gx, CASE WHEN f.tile_key IS NULL THEN 'paid' ELSE 'cached' END AS source, a.pos::INT AS pos, a.place_id
+ FROM tile_keys k LEFT JOIN fresh_cache f ON f.tile_key = k.tile_key JOIN answers a ON a.tile_key = k.tile_key WHERE f.tile_key IS NOT NULL OR k.depth < 3""",
+    "cache_use": """SELECT k.term, count(f.tile_key) AS hits, count(*) FILTER (WHERE f.tile_key IS NULL AND k.depth < 3) AS misses, count(*) FILTER (WHERE f.tile_key IS NULL AND k.depth = 3) AS not_reached
+ FROM tile_keys k LEFT JOIN fresh_cache f ON f.tile_key = k.tile_key GROUP BY k.term""",
+    "cache_next": f"""SELECT k.tile_key, coalesce(f."at", '{NOW.replace(' ', 'T')}.000Z') AS "at", k.truncated, least(k.item_count, 60)::INT AS places
+ FROM tile_keys k LEFT JOIN fresh_cache f ON f.tile_key = k.tile_key WHERE f.tile_key IS NOT NULL OR k.depth < 3""",
+    "sweep_summary_complete": "SELECT term, count(*) AS tiles_searched, count(*) FILTER (WHERE split) AS tiles_split, max(depth) AS deepest, count(*) FILTER (WHERE truncated AND NOT split) AS truncated_leaves, false AS halted FROM tree GROUP BY term",
     "hook_coverage": "SELECT CASE WHEN hook <> '' THEN basis ELSE 'no hook' END AS basis, count(*) AS leads FROM hooked GROUP BY 1",
     "band_counts": "SELECT band, count(*) AS leads, count(*) FILTER (WHERE email <> '') AS emailable FROM scored GROUP BY 1",
     "audit_summary": """SELECT count(*) AS sites, count(*) FILTER (WHERE emails_text <> '') AS with_email, round(count(*) FILTER (WHERE emails_text <> '') * 100 / count(*), 0)::INT AS with_email_pct, count(*) FILTER (WHERE reachable = 'yes') AS reachable, count(*) FILTER (WHERE reachable = 'no') AS unreachable,
@@ -552,7 +580,7 @@ _NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY account ORDE
 STEPS = "SELECT account, event_id, kind, month, day, granted, limited_by, used, day_used FROM fold WHERE rn > 0"
 RECURSIVE = {
     "budget_settle": STEPS,
-    "budget_stream": STEPS,
+    "budget_stream": STEPS.replace(" FROM fold", ", false AS late FROM fold"),
     "budget_peek": """SELECT account, u AS used, 500 - u AS remaining, d AS day_used, 30 - d AS day_remaining, '2024-02-01 00:00:00' AS resets_at, '2024-01-31 08:00:00' AS day_resets_at, u < 500 AND d < 30 AS can_search
 FROM (SELECT account, CASE WHEN month_l = '2024-01' THEN used ELSE 0 END AS u, CASE WHEN day_l = '2024-01-30' THEN day_used ELSE 0 END AS d FROM fold QUALIFY row_number() OVER (PARTITION BY account ORDER BY rn DESC) = 1)""",
 }

@@ -7,6 +7,7 @@ from ..operators import audit, contacts, dedupe, gates, ingest, ledger, market,
 from ..operators import leads as L
 from ..plans import pipelines
 from ..sources import files
+from ..sources.snapshots import Snapshot
 from ..sources.stage import fresh_path
 from ..streaming.budget import budget_stream as stream_budget
 from .tables import NOW, ROOT, Tables
@@ -462,6 +463,32 @@ def cache_hits(t):
     return tiles.cache_hits(_planned(t), t.tile_cache, t.now)
 
 
+def _fetched(t):
+    """Answers of the tiles above the finest level: the budget ends before the others."""
+    return tiles.tiles_to_pay(t.tile_answers, t.tile_cache, t.now).filter("depth < 3").select("tile_key", "places", "truncated")
+
+
+@query
+def cache_replay(t):
+    replayed = tiles.cache_replay(_planned(t), t.filled_cache, _fetched(t), t.now)
+    return tiles.replayed_batches(replayed).select("term", "depth", "gy", "gx", "source", "pos", F.col("place.id").alias("place_id"))
+
+
+@query
+def cache_use(t):
+    return tiles.cache_use(tiles.cache_replay(_planned(t), t.filled_cache, _fetched(t), t.now))
+
+
+@query
+def cache_next(t):
+    """The cache as kept in buckets, after a run has written its answers into it."""
+    folder = fresh_path(t.spark, "tile-cache")
+    Snapshot(t.spark, folder, "tile_key", tiles.CACHE_BUCKETS).commit(t.filled_cache, None, "before")
+    return tiles.flush_cache(t.spark, folder, _fetched(t), t.now, "run").select(
+        "tile_key", "at", "truncated", F.size("places").alias("places")
+    )
+
+
 def _paths(t):
     url = H.parse_url(F.col("url"))
     return t.view("pages").select("page_id", "url", url.alias("u")).select(
@@ -515,6 +542,12 @@ def slowest(t):
 
 @query
 def sweep_summary(t):
+    return tiles.sweep_summary(t.halted_sweep, ("term",))
+
+
+@query
+def sweep_summary_complete(t):
+    """The same without a limit on calls."""
     return tiles.sweep_summary(t.tiles, ("term",))
 
 
@@ -612,7 +645,7 @@ def budget_peek(t):
 
 @query
 def budget_stream(t):
-    return stream_budget(t.view("ledger_events"), month_cap=500, day_cap=30).drop("ts")
+    return stream_budget(t.view("ledger_events"), month_cap=500, day_cap=30).drop("ts", "want")
 
 
 @query
@@ -935,6 +968,11 @@ def tile_plan(t):
     return tiles.tile_plan(t.tiles)
 
 
+@query
+def sweep_halted(t):
+    return t.halted_sweep.filter("searched").drop("searched", "path")
+
+
 # ---------------------------------------------------------------- whole jobs
 
 

@@ -3,7 +3,7 @@
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
@@ -19,6 +19,8 @@ BASE = [
 # The curated core market: the root box of every sweep here.
 ROOT = dict(zip(("sw_lat", "sw_lng", "ne_lat", "ne_lng"), V.CURATED_MARKETS[0][3:]))
 NOW = "2026-08-04 00:00:00"
+# Calls that a halted sweep may spend.
+MAX_CALLS = 100
 
 
 class Tables:
@@ -150,6 +152,36 @@ class Tables:
             "truncated",
         )
 
+    @cached_property
+    def halted_sweep(self) -> DataFrame:
+        """The same sweep with MAX_CALLS calls to spend."""
+        return tiles.budgeted_sweep(self.tiles, MAX_CALLS, ROOT, 3)
+
+    @cached_property
+    def tile_answers(self) -> DataFrame:
+        """What a search of each planned tile returns: its first 60 places."""
+        tile = ["term", "depth", "gy", "gx"]
+        at = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("depth")
+        points = tiles.point_in_tile(self.view("tile_batches"), ROOT, 3).select("term", "place_id", "pos", "gy", "gx", at)
+        shifted = {c: F.expr(f"shiftright({c}, 3 - depth)") for c in ("gy", "gx")}
+        first = points.withColumns(shifted).withColumn("_r", F.row_number().over(Window.partitionBy(*tile).orderBy("pos")))
+        lists = first.filter(F.col("_r") <= V.RESULT_CEILING).groupBy(*tile).agg(
+            F.array_sort(F.collect_list(F.struct("pos", "place_id"))).alias("found")
+        )
+        places = F.transform("found", lambda p: F.struct(p["place_id"].alias("id")))
+        none = F.array().cast("array<struct<id: string>>")
+        return self.keyed_tiles.join(lists, tile, "left").select(
+            *tile, "tile_key", F.coalesce(places, none).alias("places"), "truncated"
+        )
+
+    @cached_property
+    def filled_cache(self) -> DataFrame:
+        """The cache of answered tiles with the places they returned."""
+        held = self.tile_cache.withColumn("broken", F.col("places").isNull()).drop("places", "truncated")
+        return held.join(self.tile_answers, "tile_key").select(
+            "tile_key", "at", F.when(~F.col("broken"), F.col("places")).alias("places"), "truncated"
+        )
+
     @cached_property
     def site_audits(self) -> DataFrame:
         sites = self.view("site_pages").select("place_id", F.col("url").alias("website"))

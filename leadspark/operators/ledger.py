@@ -4,16 +4,18 @@ Reserve events ask for calls, settle events hand back what was not spent. The
 month is a UTC month, the day is the calendar day where the quota resets.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.clock import day_key, month_key, next_day_reset, next_month_reset
-from .skew import ROWS_PER_TASK, hot_keys, join_by_key
-
-SEGMENT = ["account", "month", "day"]
+from ..sources.stage import staged
+from .skew import ROWS_PER_TASK
 
 
 def with_calendar(events: DataFrame) -> DataFrame:
@@ -22,142 +24,29 @@ def with_calendar(events: DataFrame) -> DataFrame:
     )
 
 
-def _limit(granted, want, day_left, month_left):
-    if granted >= want:
-        return None
-    return "day" if day_left <= month_left else "month"
-
-
 def budget_grant(
     requests: DataFrame,
     month_cap: int = V.MONTH_CAP,
     day_cap: int = V.DAY_CAP,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """What each request is granted when requests are admitted in time order.
-
-    A positive grant takes at least one call from its day, so only the first
-    `day_cap` requests of an account's day can be granted anything. Those are
-    picked with a rank limit that also runs before the shuffle, and only they are
-    folded in order: `day_cap` rows per account and day, however many requests
-    there are. Every later request meets the state its day ended in.
-    """
-    asked = with_calendar(requests)
-    order = Window.partitionBy(*SEGMENT).orderBy("ts", "event_id")
-    first = (
-        asked.filter("want > 0")
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= day_cap)
-        .select("account", "event_id", "ts", "want", "month", "day")
+    """What each request is granted when requests are admitted in time order."""
+    none = F.lit(0).cast("long")
+    asked = requests.select(
+        "account", "event_id", "ts", F.lit("reserve").alias("kind"), "want", none.alias("reserved"), none.alias("actual")
     )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        month = day = None
-        used = day_used = 0
-        out = []
-        for row in pdf.itertuples(index=False):
-            used = used if row.month == month else 0
-            day_used = day_used if row.day == day else 0
-            month, day = row.month, row.day
-            month_left, day_left = max(0, month_cap - used), max(0, day_cap - day_used)
-            granted = min(row.want, month_left, day_left)
-            used, day_used = used + granted, day_used + granted
-            limit = _limit(granted, row.want, day_left, month_left)
-            out.append((granted, limit, used, day_used))
-        return pdf.assign(
-            granted=[o[0] for o in out],
-            limited_by=[o[1] for o in out],
-            used=[o[2] for o in out],
-            day_used=[o[3] for o in out],
-        )[["account", "event_id", "ts", "month", "day", "granted", "limited_by", "used", "day_used"]]
-
-    folded = first.groupBy("account").applyInPandas(
-        fold,
-        "account string, event_id long, ts timestamp, month string, day string, "
-        "granted long, limited_by string, used long, day_used long",
-    )
-    ends = folded.groupBy(*SEGMENT).agg(
-        F.max_by(F.struct("used", "day_used"), F.struct("ts", "event_id")).alias("end")
-    )
-    answers = folded.select("event_id", "granted", "limited_by", "used", "day_used")
-    joined = join_by_key(asked, ends, SEGMENT, "event_id", rows_per_task=rows_per_task).join(
-        answers, "event_id", "left"
-    )
-    day_left = F.lit(day_cap) - F.col("end.day_used")
-    month_left = F.lit(month_cap) - F.col("end.used")
-    late = F.when(F.col("want") > 0, F.when(day_left <= month_left, F.lit("day")).otherwise(F.lit("month")))
-    was_folded = F.col("granted").isNotNull()
-    used = F.when(F.col("want") > 0, F.coalesce("used", "end.used"))
-    day_used = F.when(F.col("want") > 0, F.coalesce("day_used", "end.day_used"))
-    return joined.select(
-        "account", "event_id", "ts", "want", "month", "day",
-        F.coalesce("granted", F.lit(0)).alias("granted"),
-        F.when(was_folded, F.col("limited_by")).otherwise(late).alias("limited_by"),
-        used.alias("used"),
-        F.greatest(F.lit(month_cap) - used, F.lit(0)).alias("remaining"),
-        day_used.alias("day_used"),
-        F.greatest(F.lit(day_cap) - day_used, F.lit(0)).alias("day_remaining"),
+    steps = _steps(asked, month_cap, day_cap, rows_per_task)
+    return steps.select(
+        "account", "event_id", "ts", F.col("want").cast(requests.schema["want"].dataType).alias("want"), "month", "day",
+        "granted", "limited_by", "used",
+        F.greatest(F.lit(month_cap) - F.col("used"), F.lit(0)).alias("remaining"),
+        "day_used",
+        F.greatest(F.lit(day_cap) - F.col("day_used"), F.lit(0)).alias("day_remaining"),
         next_month_reset(F.col("ts")).alias("resets_at"),
         next_day_reset(F.col("ts")).alias("day_resets_at"),
     )
 
 
-# ---------------------------------------------------------------- settlement
-
-
-class Ledger:
-    """The ledger after some events, for one or for many starting counts at once.
-
-    `used` and `day_used` are arrays: one entry per starting point that is being
-    followed. The calendar labels move the same way for all of them.
-    """
-
-    def __init__(self, month, day, used, day_used, month_cap, day_cap):
-        self.month, self.day = month, day
-        self.used, self.day_used = np.array(used), np.array(day_used)
-        self.month_cap, self.day_cap = month_cap, day_cap
-
-    def reserve(self, month, day, want):
-        used = self.used if self.month == month else np.zeros_like(self.used)
-        day_used = self.day_used if self.day == day else np.zeros_like(self.day_used)
-        left = np.maximum(np.minimum(self.month_cap - used, self.day_cap - day_used), 0)
-        granted = np.minimum(max(want, 0), left)
-        limits = np.maximum(self.day_cap - day_used, 0), np.maximum(self.month_cap - used, 0)
-        self.month, self.day = month, day
-        self.used, self.day_used = used + granted, day_used + granted
-        return granted, limits
-
-    def settle(self, month, day, reserved, actual):
-        if self.month != month:
-            return
-        unused = max(0, reserved - max(0, actual))
-        self.used = np.maximum(self.used - unused, 0)
-        if self.day == day:
-            self.day_used = np.maximum(self.day_used - unused, 0)
-
-    def apply(self, row):
-        if row.kind == "reserve":
-            return self.reserve(row.month, row.day, int(row.want))
-        self.settle(row.month, row.day, int(row.reserved), int(row.actual))
-        return None
-
-
-_MAP_SCHEMA = (
-    "account string, month string, day string, slot int, first_ts timestamp, reserves boolean, "
-    "by_used array<int>, by_used_day array<int>, by_day array<int>, by_day_day array<int>, "
-    "by_both array<int>, by_both_day array<int>"
-)
-_START_SCHEMA = (
-    "account string, month string, day string, slot int, s_month string, s_day string, "
-    "s_used long, s_day_used long"
-)
-_STEP_SCHEMA = (
-    "account string, event_id long, ts timestamp, kind string, month string, day string, "
-    "granted long, limited_by string, used long, day_used long"
-)
-
-
 def budget_settle(
     events: DataFrame,
     month_cap: int = V.MONTH_CAP,
@@ -166,196 +55,382 @@ def budget_settle(
 ) -> DataFrame:
     """The ledger after every reserve and settle event, per account in time order.
 
-    An account's history is cut into its calendar days, and a day too heavy for
-    one task into slots of about `rows_per_task` events; the pieces are worked on in parallel. The
-    first pass runs each piece for every count it could start from, which turns it
-    into a small table. The tables of an account are then chained in order, and
-    the second pass runs each piece once from its true start. An account's task
-    therefore handles days and slots, not events, and a piece is streamed through
-    its task in batches.
+    Events are put in order of account and time and cut into ranges of about
+    `rows_per_task` rows. Accounts that lie inside a range are finished there. The first
+    and the last account of a range may go on next door: each of their parts is reduced
+    to the functions it applies to whatever ledger it starts from (`Pieces`), the
+    functions of an account are put one after the other, at most a few per range and
+    month, and then every part is worked out from its true start.
     """
-    dated = _slotted(with_calendar(events), rows_per_task)
-    maps = _in_order(dated).mapInPandas(_piece_maps(month_cap, day_cap), _MAP_SCHEMA)
-    starts = maps.groupBy("account").applyInPandas(_chain(day_cap), _START_SCHEMA)
-    begun = join_by_key(dated, starts, PIECE, "event_id", rows_per_task=rows_per_task)
-    return _in_order(begun).mapInPandas(_replay(month_cap, day_cap), _STEP_SCHEMA)
+    return _steps(events, month_cap, day_cap, rows_per_task).drop("want")
+
+
+# ---------------------------------------------------------------- one account as functions
+#
+# Inside a month, and from the first reserve of a day to its last event, the ledger is
+# moved by shifts and clamps only. Let u be the calls used in the month, d those of the
+# day, and e = u - d what was used before the day. A reserve of w calls and a settlement of
+# c calls do
+#
+#     reserve  u' = min(u + w, e + day_cap, month_cap)   e' = e
+#     settle   u' = max(0, u - c)                        e' = max(0, min(e, u - c))
+#
+# and a new day sets e = u. Without the 0 both are least values of (u, e, 1) plus numbers,
+# and such maps stay of that kind when one follows the other. The 0 adds one pair of
+# numbers: the ledger is never below the one that started empty, equals it from the first
+# time it reaches 0, and equals the map without 0 until then. So any run of events is
+#
+#     u' = max(L1, min(u + p1, e + q1, r1))     e' = max(L2, min(u + p2, e + q2, r2))
+#
+# for eight numbers, whatever the caps are. A day that goes on into a new month starts
+# with u = 0 below d; there u and d, and the two caps, change places.
+
+NUMBERS = ["p1", "q1", "r1", "p2", "q2", "r2", "l1", "l2"]
+#: How a piece starts: as the ledger was left; empty; with the day going on into a new
+#: month; or with that day over.
+GOES_ON, EMPTY, NEW_MONTH, DAY_OVER = range(4)
+
+
+def after(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The functions that apply f and then g; columns are NUMBERS."""
+    p1, q1, r1, p2, q2, r2, l1, l2 = f
+    out = np.empty_like(f)
+    for row, (p, q, r, low, floor) in enumerate(((g[0], g[1], g[2], 6, g[6]), (g[3], g[4], g[5], 7, g[7]))):
+        at = 3 * row
+        out[at] = np.minimum(p + p1, q + p2)
+        out[at + 1] = np.minimum(p + q1, q + q2)
+        out[at + 2] = np.minimum(np.minimum(p + r1, q + r2), r)
+        out[low] = np.maximum(floor, np.minimum(np.minimum(p + l1, q + l2), r))
+    return out
+
+
+def value(f: np.ndarray, x1, x2) -> tuple[np.ndarray, np.ndarray]:
+    p1, q1, r1, p2, q2, r2, l1, l2 = f
+    return (
+        np.maximum(l1, np.minimum(np.minimum(x1 + p1, x2 + q1), r1)),
+        np.maximum(l2, np.minimum(np.minimum(x1 + p2, x2 + q2), r2)),
+    )
 
 
-PIECE = [*SEGMENT, "slot"]
+@dataclass
+class Carry:
+    """How an account was left: labels of its last reserve, counts, and whether that day began in the month before."""
 
+    month: str | None = None
+    day: str | None = None
+    over: bool = False
+    used: int = 0
+    day_used: int = 0
 
-def _cuts(dated: DataFrame, hot: DataFrame, rows_per_task: int) -> DataFrame:
-    """Instants that cut the heavy days: (SEGMENT, cuts: microseconds, ascending).
 
-    A new slot begins where the number of earlier events of the day passes a multiple of
-    `rows_per_task`. Events are counted per second, and per microsecond in a second that
-    is itself too heavy, so the running sums are over bounded tables whatever the clock
-    says. A slot holds at most `rows_per_task` events and those of one more second, or of
-    one more microsecond in a heavy second.
+class Pieces:
+    """Ordered events of accounts, cut into pieces that are one function each.
+
+    `events` has account, kind, want, reserved, actual, month and day, sorted by account
+    and time. `carry` says how the first account was left; its counts are not needed until
+    `steps`. All work is on whole arrays: functions of all beginnings of all pieces are
+    made by doubling.
     """
-    second, micro = F.unix_seconds("ts").alias("second"), F.unix_micros("ts").alias("micro")
-    rows = dated.join(F.broadcast(hot), SEGMENT).select(*SEGMENT, second, micro)
-    seconds = rows.groupBy(*SEGMENT, "second").agg(F.count(F.lit(1)).alias("n"))
-    day = Window.partitionBy(*SEGMENT).orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
-    seconds = seconds.withColumn("before", F.coalesce(F.sum("n").over(day), F.lit(0)))
-    heavy = seconds.filter(F.col("n") > rows_per_task).select(*SEGMENT, "second", "before")
-    inside = Window.partitionBy(*SEGMENT, "second").orderBy("micro").rowsBetween(Window.unboundedPreceding, -1)
-    fine = (
-        rows.join(heavy, [*SEGMENT, "second"])
-        .groupBy(*SEGMENT, "second", "micro")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"))
-        .withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .select(*SEGMENT, "micro", "before")
-    )
-    coarse = seconds.filter(F.col("n") <= rows_per_task).select(*SEGMENT, (F.col("second") * 1_000_000).alias("micro"), "before")
-    slots = coarse.unionByName(fine).groupBy(*SEGMENT, F.floor(F.col("before") / rows_per_task).alias("slot"))
-    starts = slots.agg(F.min("micro").alias("micro"))
-    return starts.groupBy(*SEGMENT).agg(F.array_sort(F.collect_list("micro")).alias("cuts"))
 
+    def __init__(self, events: pd.DataFrame, month_cap: int, day_cap: int, carry: Carry | None = None):
+        self.month_cap, self.day_cap, self.carry = month_cap, day_cap, carry or Carry()
+        n = len(events)
+        at = np.arange(n)
+        account = pd.factorize(events["account"], use_na_sentinel=False)[0]
+        month, day = (
+            pd.factorize(np.append(events[c].to_numpy(object), [getattr(self.carry, c) or ""]), use_na_sentinel=False)[0] for c in ("month", "day")
+        )
+        (month, month0), (day, day0) = (month[:-1], month[-1]), (day[:-1], day[-1])
+        self.reserve = events["kind"].to_numpy(object) == "reserve"
+        self.want = np.maximum(events["want"].fillna(0).to_numpy(np.float64), 0)
+        actual = np.maximum(events["actual"].fillna(0).to_numpy(np.float64), 0)
+        credit = np.maximum(events["reserved"].fillna(0).to_numpy(np.float64) - actual, 0)
+
+        first = np.append(True, account[1:] != account[:-1]) if n else np.zeros(0, bool)
+        self.begin = np.maximum.accumulate(np.where(first, at, 0)) if n else at
+        fresh = self.begin > 0 if self.carry.month is not None else np.ones(n, bool)
+
+        def latest(marked: np.ndarray, before: bool) -> np.ndarray:
+            """Place of the last marked event of the account, up to or before each event; -1 if there is none."""
+            found = np.maximum.accumulate(np.where(marked, at, -1)) if n else at
+            found = np.append(-1, found[:-1]) if before and n else found
+            return np.where(found >= self.begin, found, -1)
+
+        last = latest(self.reserve, True)
+        known = last >= 0
+        label_month = np.where(known, month[last], np.where(fresh, -1, month0)) if n else month
+        label_day = np.where(known, day[last], np.where(fresh, -1, day0)) if n else day
+        self.same_month, self.same_day = label_month == month, label_day == day
+        change = self.reserve & ~self.same_month
+        over = change & self.same_day
+        turn = latest(change, False)
+        swapped = np.where(turn >= 0, over[turn] & (day == day[turn]), ~fresh & self.carry.over & (day == day0)) if n else first
+        left = np.append(False, swapped[:-1]) & ~swapped & ~first if n else first
+        if n and not fresh[0] and self.carry.over and not swapped[0] and not change[0]:
+            left[0] = True
+        start = first | change | left
+        self.swapped, self.start = swapped, start
+        self.piece = np.cumsum(start) - 1
+        self.first = np.flatnonzero(start)
+        self.final = np.append(self.first[1:], n) - 1 if n else self.first
+        kind = np.where(over, NEW_MONTH, np.where(change, EMPTY, np.where(left, DAY_OVER, np.where(fresh, EMPTY, GOES_ON))))
+        self.kind = kind[self.first]
+        #: Events that may still move the day's count, up to which it is known.
+        self.live = self.reserve | self.same_day
+        self.last_live = latest(self.live, False)
+        self.functions = self._beginnings(self._single(credit))
+        self.end = Carry()
+        if n:
+            j = latest(self.reserve, False)[-1]
+            if j >= 0:
+                mine = turn[j] >= 0
+                still = over[turn[j]] and day[j] == day[turn[j]] if mine else not fresh[-1] and self.carry.over and day[j] == day0
+                self.end = Carry(events["month"].iloc[j], events["day"].iloc[j], bool(still))
+            elif not fresh[-1]:
+                self.end = Carry(self.carry.month, self.carry.day, self.carry.over)
+
+    def _single(self, credit: np.ndarray) -> np.ndarray:
+        """One column of NUMBERS per event."""
+        n, inf = len(credit), np.inf
+        f = np.empty((8, n))
+        f[0], f[1], f[2], f[3], f[4], f[5], f[6], f[7] = 0, inf, inf, inf, 0, inf, 0, 0
+        own = np.where(self.swapped, self.day_cap, self.month_cap)
+        other = np.where(self.swapped, self.month_cap, self.day_cap)
+        r = self.reserve
+        f[0, r], f[1, r], f[2, r] = self.want[r], other[r], own[r]
+        new_day = r & ~self.same_day & self.same_month
+        f[0, new_day], f[1, new_day] = np.minimum(self.want, self.day_cap)[new_day], inf
+        f[3, new_day], f[4, new_day] = 0, inf
+        s = ~r & self.same_month
+        f[0, s] = f[3, s] = -credit[s]
+        f[6] = np.maximum(0, np.minimum(np.minimum(f[0], f[1]), f[2]))
+        f[7] = np.maximum(0, np.minimum(np.minimum(f[3], f[4]), f[5]))
+        return f
+
+    def _beginnings(self, f: np.ndarray) -> np.ndarray:
+        """Per event the function of its piece up to and with it."""
+        place = np.arange(f.shape[1]) - self.first[self.piece] if f.shape[1] else np.zeros(0, int)
+        k = 1
+        while k <= place.max(initial=0):
+            late = np.flatnonzero(place >= k)
+            f[:, late] = after(f[:, late - k], f[:, late])
+            k *= 2
+        return f
+
+    def starts(self, used, day_used, kind: np.ndarray, swapped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start of pieces whose account stands at (used, day_used)."""
+        x1 = np.where(kind == EMPTY, 0, np.where(swapped, day_used, used))
+        x2 = np.where(swapped, np.maximum(day_used - used, 0), np.maximum(used - day_used, 0))
+        x2 = np.where(kind == NEW_MONTH, day_used, np.where(kind == DAY_OVER, used, np.where(kind == EMPTY, 0, x2)))
+        return x1.astype(np.float64), x2.astype(np.float64)
+
+    @staticmethod
+    def counts(x1, x2, swapped) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(swapped, x1 - x2, x1), np.where(swapped, x1, x1 - x2)
+
+    def steps(self, used: int, day_used: int) -> dict[str, np.ndarray]:
+        """granted, limited_by, used and day_used after every event; the first account starts at these counts."""
+        n, pieces = len(self.reserve), len(self.first)
+        x1, x2 = np.zeros(pieces), np.zeros(pieces)
+        swapped = self.swapped[self.first] if pieces else np.zeros(0, bool)
+        opens = self.begin[self.first] == self.first if pieces else swapped
+        rank = np.arange(pieces) - np.maximum.accumulate(np.where(opens, np.arange(pieces), 0)) if pieces else np.zeros(0, int)
+        u, d = np.zeros(pieces), np.zeros(pieces)
+        for k in range(rank.max(initial=-1) + 1):
+            now = np.flatnonzero(rank == k)
+            if k:
+                u0, d0 = u[now - 1], d[now - 1]
+            else:
+                u0, d0 = np.where(now == 0, used, 0), np.where(now == 0, day_used, 0)
+            x1[now], x2[now] = self.starts(u0, d0, self.kind[now], swapped[now])
+            end = value(self.functions[:, self.final[now]], x1[now], x2[now])
+            u[now], d[now] = self.counts(*end, swapped[now])
+        after_u, after_d = self.counts(*value(self.functions, x1[self.piece], x2[self.piece]), self.swapped)
+        after_d = np.where(self.last_live >= 0, after_d[self.last_live], np.where(self.begin == 0, day_used, 0)) if n else after_d
+        opened = np.arange(n) == self.begin
+        before_u = np.where(opened, np.where(self.begin == 0, used, 0), np.append(0, after_u[:-1]))
+        before_d = np.where(opened, np.where(self.begin == 0, day_used, 0), np.append(0, after_d[:-1]))
+        month_left = np.maximum(self.month_cap - np.where(self.same_month, before_u, 0), 0)
+        day_left = np.maximum(self.day_cap - np.where(self.same_day, before_d, 0), 0)
+        granted = np.minimum(self.want, np.minimum(month_left, day_left))
+        short = self.reserve & (granted < self.want)
+        return {
+            "granted": np.where(self.reserve, granted, np.nan),
+            "limited_by": np.where(short, np.where(day_left <= month_left, "day", "month"), None),
+            "used": after_u, "day_used": after_d,
+        }
 
-def _slotted(dated: DataFrame, rows_per_task: int) -> DataFrame:
-    """Adds `slot`, 0 on ordinary days, and `split`, whether the day has several.
 
-    Heavy days, and the cuts of all of them together, number at most one per
-    `rows_per_task` events, so both lists are safe to broadcast.
-    """
-    counts = dated.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, SEGMENT, rows_per_task=rows_per_task).drop("_salts")
-    cuts = F.broadcast(_cuts(dated, hot, rows_per_task))
-    reached = F.size(F.filter("cuts", lambda c: c <= F.unix_micros("ts"))) - 1
-    return dated.join(cuts, SEGMENT, "left").select(
-        *dated.columns,
-        F.when(F.col("cuts").isNotNull(), reached).otherwise(0).cast("int").alias("slot"),
-        F.col("cuts").isNotNull().alias("split"),
+def played(events: pd.DataFrame, month_cap: int, day_cap: int, carry: Carry | None = None) -> tuple[pd.DataFrame, Carry]:
+    """Ordered events beside what they did, and how their last account was left."""
+    pieces = Pieces(events, month_cap, day_cap, carry)
+    found = pieces.steps(pieces.carry.used, pieces.carry.day_used)
+    out = events[["account", "event_id", "ts", "kind", "want", "month", "day"]].assign(
+        granted=pd.array(found["granted"], dtype="Float64").astype("Int64") if len(events) else pd.array([], dtype="Int64"),
+        limited_by=found["limited_by"], used=found["used"].astype(np.int64), day_used=found["day_used"].astype(np.int64),
     )
+    out["granted"] = out["granted"].where(pieces.reserve, pd.NA)
+    if not len(events):
+        return out, pieces.carry
+    end = pieces.end
+    end.used, end.day_used = int(found["used"][-1]), int(found["day_used"][-1])
+    return out, end
 
 
-def _in_order(events: DataFrame) -> DataFrame:
-    """Each piece in one partition and in time order, read as a stream.
-
-    The partition number is given because the Python step behind it is heavy for
-    its bytes, and adaptive coalescing would pack it by bytes.
-    """
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartition(n, *PIECE).sortWithinPartitions(*PIECE, "ts", "event_id")
+# ---------------------------------------------------------------- on the cluster
 
+STEP_SCHEMA = (
+    "account string, event_id long, ts timestamp, kind string, want long, month string, day string, "
+    "granted long, limited_by string, used long, day_used long"
+)
+_STEPS = [c.split()[0] for c in STEP_SCHEMA.split(", ")]
+_RAW = ["account", "event_id", "ts", "kind", "want", "reserved", "actual", "month", "day"]
+_ORDER = ["account", "ts", "event_id"]
+#: Rows worked out at a time inside a range.
+CHUNK = 200_000
 
-def _piece(row) -> tuple:
-    return row.account, row.month, row.day, row.slot
 
+def _steps(events: DataFrame, month_cap: int, day_cap: int, rows_per_task: int) -> DataFrame:
+    spark = events.sparkSession
+    numbers = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("want", "reserved", "actual")]
+    rows = with_calendar(events).select("account", F.col("event_id").cast("long").alias("event_id"), "ts", "kind", *numbers, "month", "day")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_per_task))
 
-def _piece_maps(month_cap: int, day_cap: int):
-    """Turns each ordered piece into its tables of end counts per start count."""
+    def inside(batches):
+        held, opened, here = [], False, TaskContext.get().partitionId()
 
-    def begin(row):
-        used, days = np.arange(month_cap + 1), np.arange(day_cap + 1)
-        both = [np.repeat(used, day_cap + 1), np.tile(days, month_cap + 1)] if row.split else [[], []]
-        # A day only goes on into a new month when it began in the month before.
-        carried = days[:1] if row.day.startswith(row.month) else days
-        return (
-            # The month goes on, but a new day begins.
-            Ledger(row.month, "", used, used * 0, month_cap, day_cap),
-            # The day goes on, but a new month begins.
-            Ledger("", row.day, carried * 0, carried, month_cap, day_cap),
-            # Both go on: a later slot of a split day.
-            Ledger(row.month, row.day, both[0], both[1], month_cap, day_cap),
-        )
+        def edge(pdf):
+            return pdf[_RAW].assign(range=here)
 
-    def finish(head, reserves, ledgers):
-        on_month, on_day, on_both = ledgers
-        return {
-            "account": head.account, "month": head.month, "day": head.day, "slot": head.slot,
-            "first_ts": head.ts, "reserves": reserves,
-            "by_used": on_month.used, "by_used_day": on_month.day_used,
-            "by_day": on_day.used, "by_day_day": on_day.day_used,
-            "by_both": on_both.used.astype(int), "by_both_day": on_both.day_used.astype(int),
-        }
+        def done(pdf):
+            return played(pdf, month_cap, day_cap)[0]
 
-    def run(batches):
-        head, reserves, ledgers = None, False, ()
+        last = None
         for pdf in batches:
-            done = []
-            for row in pdf.itertuples(index=False):
-                if head is None or _piece(row) != _piece(head):
-                    if head is not None:
-                        done.append(finish(head, reserves, ledgers))
-                    head, reserves, ledgers = row, False, begin(row)
-                reserves = reserves or row.kind == "reserve"
-                for ledger in ledgers:
-                    if ledger.used.size:
-                        ledger.apply(row)
-            if done:
-                yield pd.DataFrame(done)
-        if head is not None:
-            yield pd.DataFrame([finish(head, reserves, ledgers)])
-
-    return run
-
-
-def _chain(day_cap: int):
-    """Start of every piece of one account, from the tables of the pieces before."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        month = day = ""
-        used = day_used = 0
-        starts = []
-        for row in pdf.sort_values("first_ts").itertuples(index=False):
-            starts.append((*_piece(row), month, day, used, day_used))
-            if row.month == month and row.day == day:
-                at = used * (day_cap + 1) + day_used
-                used, day_used = int(row.by_both[at]), int(row.by_both_day[at])
-            elif row.month == month:
-                day_used = int(row.by_used_day[used]) if row.reserves else day_used
-                used = int(row.by_used[used])
-            elif row.reserves:
-                carried = day_used if row.day == day else 0
-                used, day_used = int(row.by_day[carried]), int(row.by_day_day[carried])
-            if row.reserves:
-                month, day = row.month, row.day
-        return pd.DataFrame(starts, columns=[*PIECE, "s_month", "s_day", "s_used", "s_day_used"])
-
-    return run
-
-
-def _replay(month_cap: int, day_cap: int):
-    """Plays each ordered piece once from its true start."""
-
-    def run(batches):
-        current, ledger = None, None
-        for pdf in batches:
-            steps = []
-            for row in pdf.itertuples(index=False):
-                if _piece(row) != current:
-                    current = _piece(row)
-                    ledger = Ledger(
-                        row.s_month, row.s_day, [row.s_used], [row.s_day_used], month_cap, day_cap
-                    )
-                steps.append(play(ledger, row))
-            yield steps_frame(pdf, steps)
-
-    return run
-
-
-def play(ledger: Ledger, row) -> tuple:
-    """Apply one event: granted, limited_by, used, day_used."""
-    got = ledger.apply(row)
-    grant = limit = None
-    if got is not None:
-        grant, (day_left, month_left) = int(got[0][0]), got[1]
-        limit = _limit(grant, row.want, day_left[0], month_left[0])
-    return grant, limit, int(ledger.used[0]), int(ledger.day_used[0])
-
-
-def steps_frame(pdf: pd.DataFrame, steps: list[tuple]) -> pd.DataFrame:
-    """Events beside what `play` said about them."""
-    granted, limited, used, day_used = zip(*steps)
-    return pdf[["account", "event_id", "ts", "kind", "month", "day"]].assign(
-        granted=pd.array(granted, dtype="Int64"),
-        limited_by=list(limited),
-        used=list(used),
-        day_used=list(day_used),
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            if sum(map(len, held)) < CHUNK:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            account = pd.factorize(whole["account"], use_na_sentinel=False)[0]
+            cuts = np.flatnonzero(account[1:] != account[:-1]) + 1
+            if not opened and len(cuts):
+                yield edge(whole.iloc[: cuts[0]])
+                opened, whole, cuts = True, whole.iloc[cuts[0] :], cuts[1:] - cuts[0]
+            if opened and len(cuts):
+                yield done(whole.iloc[: cuts[-1]].reset_index(drop=True))
+                whole = whole.iloc[cuts[-1] :]
+            elif not opened:
+                yield edge(whole)
+                whole = whole.iloc[:0]
+            held = [whole]
+        if held:
+            last = pd.concat(held, ignore_index=True)
+            account = pd.factorize(last["account"], use_na_sentinel=False)[0]
+            cuts = np.flatnonzero(account[1:] != account[:-1]) + 1
+            if not opened and len(cuts):
+                yield edge(last.iloc[: cuts[0]])
+                last, cuts = last.iloc[cuts[0] :], cuts[1:] - cuts[0]
+            if len(cuts):
+                yield done(last.iloc[: cuts[-1]].reset_index(drop=True))
+                last = last.iloc[cuts[-1] :]
+            yield edge(last)
+
+    def shaped(batches):
+        for pdf in inside(batches):
+            missing = [c for c in [*_STEPS, "reserved", "actual", "range"] if c not in pdf]
+            yield pdf.assign(**{c: pd.Series([None] * len(pdf), dtype=object, index=pdf.index) for c in missing})[
+                [*_STEPS, "reserved", "actual", "range"]
+            ]
+
+    schema = f"{STEP_SCHEMA}, reserved long, actual long, range int"
+    ordered = rows.repartitionByRange(ranges, *_ORDER).sortWithinPartitions(*_ORDER)
+    table = staged(ordered.mapInPandas(shaped, schema), "ledger")
+    done = table.filter("range IS NULL").select(*_STEPS)
+    return done.unionByName(_edges(table.filter("range IS NOT NULL").select(*_RAW, "range"), month_cap, day_cap))
+
+
+def _edges(rows: DataFrame, month_cap: int, day_cap: int) -> DataFrame:
+    """The accounts at the edges of ranges, at most two per range, part by part."""
+    reserve = F.when(F.col("kind") == "reserve", F.struct("ts", "event_id"))
+    last_of_month = (F.col("kind") == "reserve") & (F.col("day") == F.date_format(F.last_day("day"), "yyyy-MM-dd")) & F.col("day").startswith(F.col("month"))
+    parts = rows.groupBy("account", "range").agg(
+        F.max_by(F.struct("month", "day"), reserve).alias("label"), F.collect_set(F.when(last_of_month, F.col("day"))).alias("month_ends")
+    )
+    carried = staged(parts.select("account", "range", "label.month", "label.day", "month_ends").groupBy("account").applyInPandas(
+        _labels, "account string, range int, c_month string, c_day string, c_over boolean"
+    ), "ledger-labels")
+    # one row per part, at most two parts per range
+    marked = rows.join(F.broadcast(carried), rows["account"].eqNullSafe(carried["account"]) & (rows["range"] == carried["range"])).select(
+        *[rows[c] for c in [*_RAW, "range"]], "c_month", "c_day", "c_over"
     )
 
+    def ordered(pdf):
+        pdf = pdf.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
+        month, day = pdf["c_month"].iloc[0], pdf["c_day"].iloc[0]
+        carry = Carry(None if pd.isna(month) else month, None if pd.isna(day) else day, bool(pdf["c_over"].iloc[0]))
+        return pdf, carry
+
+    def functions(pdf):
+        pdf, carry = ordered(pdf)
+        pieces = Pieces(pdf, month_cap, day_cap, carry)
+        ends = [*pieces.final, *([pieces.last_live[-1]] if pieces.last_live[-1] >= 0 else [])]
+        out = pd.DataFrame(pieces.functions[:, ends].T, columns=NUMBERS)
+        out.insert(0, "swapped", pieces.swapped[ends])
+        out.insert(0, "start", pieces.kind[pieces.piece[ends]])
+        out.insert(0, "piece", pieces.piece[ends])
+        out.insert(0, "live", np.arange(len(ends)) >= len(pieces.final))
+        out.insert(0, "range", pdf["range"].iloc[0])
+        out.insert(0, "account", pdf["account"].iloc[0])
+        return out
+
+    shape = "account string, range int, live boolean, piece int, start int, swapped boolean, " + ", ".join(f"{c} double" for c in NUMBERS)
+    found = marked.groupBy("account", "range").applyInPandas(functions, shape)
+    starts = staged(found.groupBy("account").applyInPandas(_chained, "account string, range int, c_used long, c_day_used long"), "ledger-starts")
+    begun = marked.join(F.broadcast(starts), marked["account"].eqNullSafe(starts["account"]) & (marked["range"] == starts["range"])).select(
+        *[marked[c] for c in marked.columns], "c_used", "c_day_used"
+    )
+
+    def replay(pdf):
+        pdf, carry = ordered(pdf)
+        carry.used, carry.day_used = int(pdf["c_used"].iloc[0]), int(pdf["c_day_used"].iloc[0])
+        return played(pdf, month_cap, day_cap, carry)[0]
+
+    return begun.groupBy("account", "range").applyInPandas(replay, STEP_SCHEMA)
+
+
+def _labels(parts: pd.DataFrame) -> pd.DataFrame:
+    """How the labels stand where each part of one account begins."""
+    out, month, day, ends = [], None, None, set()
+    for _, row in parts.sort_values("range").iterrows():
+        out.append((row["account"], row["range"], month, day, bool(month is not None and day in ends and not day.startswith(month))))
+        if isinstance(row["month"], str):
+            month, day = row["month"], row["day"]
+        ends.update(row["month_ends"])
+    return pd.DataFrame(out, columns=["account", "range", "c_month", "c_day", "c_over"])
+
+
+def _chained(pieces: pd.DataFrame) -> pd.DataFrame:
+    """The counts that each part of one account starts from, piece after piece."""
+    out, used, day_used = [], 0.0, 0.0
+    blank = object.__new__(Pieces)
+    for part, rows in pieces.sort_values(["range", "piece", "live"]).groupby("range", sort=True):
+        out.append((rows["account"].iloc[0], part, int(used), int(day_used)))
+        live_day = None
+        for row in rows.itertuples(index=False):
+            f = np.array([[getattr(row, c)] for c in NUMBERS])
+            if not row.live:
+                begin = used, day_used
+            x = blank.starts(np.array([begin[0]]), np.array([begin[1]]), np.array([row.start]), np.array([row.swapped]))
+            u, d = Pieces.counts(*value(f, *x), np.array([row.swapped]))
+            if row.live:
+                live_day = float(d[0])
+            else:
+                used, day_used = float(u[0]), float(d[0])
+        day_used = out[-1][3] if live_day is None else live_day
+    return pd.DataFrame(out, columns=["account", "range", "c_used", "c_day_used"])
+
 
 def budget_peek(
     steps: DataFrame, now: Column, month_cap: int = V.MONTH_CAP, day_cap: int = V.DAY_CAP

@@ -62,7 +62,7 @@ VIEWS = {
 """,
     "budget_requests": """
  SELECT concat('u', CAST(user_id % 4 AS STRING)) AS account, event_id, CAST(ts AS TIMESTAMP) AS ts, 1 + event_id % 3 AS want
- FROM events WHERE event_type = 'purchase'
+ FROM events
 """,
     "ledger_events": """
  SELECT concat('u', CAST(user_id % 20 AS STRING)) AS account, event_id, CAST(ts AS TIMESTAMP) AS ts,

@@ -3,7 +3,6 @@
 from urllib.parse import unquote
 from uuid import uuid4
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from ..functions import fixed as V
 from ..functions.derive import finite
 from ..functions.keys import lead_host
 from ..operators.leads import summarise, with_derived, with_score
+from .snapshots import renamed
 
 BOM = "﻿"
 
@@ -82,28 +82,11 @@ def write_unique(rows: DataFrame, folder: str, base: str) -> str:
     write_csv(rows, draft)
     for n in range(1, 101):
         path = f"{folder}/{base}" + ("" if n == 1 else f"-{n}") + ".csv"
-        if _renamed(spark, draft, path):
+        if renamed(spark, draft, path):
             return path
     raise FileExistsError(f"no free name for {base} after 100 attempts; the rows are in {draft}")
 
 
-def _renamed(spark: SparkSession, source: str, target: str) -> bool:
-    """Rename a folder unless the target exists."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    hadoop = jvm.org.apache.hadoop.fs
-    start, end = hadoop.Path(source), hadoop.Path(target)
-    system = end.getFileSystem(conf)
-    context = hadoop.FileContext.getFileContext(system.getUri(), conf)
-    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
-    try:
-        context.rename(system.makeQualified(start), system.makeQualified(end), options)
-    except Py4JJavaError:
-        if system.exists(end):
-            return False
-        raise
-    return True
-
-
 def header_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Header line -> the files under `path` that begin with it.
 

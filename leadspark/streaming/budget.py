@@ -1,62 +1,166 @@
 """The budget ledger over a stream of reserve and settle events."""
 
+from contextlib import contextmanager
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import fixed as V
-from ..operators.ledger import _STEP_SCHEMA, Ledger, play, steps_frame, with_calendar
+from ..operators.ledger import STEP_SCHEMA, Carry, played, with_calendar
 from ..sources.stage import fresh_path
 
-STATE_SCHEMA = "month string, day string, used long, day_used long"
+DELAY = "1 day"
+_EVENT = "event_id long, ts timestamp, kind string, want long, reserved long, actual long, month string, day string"
+_EVENT_COLUMNS = [c.split()[0] for c in _EVENT.split(", ")]
+_STATE = "month string, day string, over boolean, used long, day_used long"
+_OUT = f"{STEP_SCHEMA}, late boolean"
+_OUT_COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def ledger_steps(
-    events: DataFrame, month_cap: int = V.MONTH_CAP, day_cap: int = V.DAY_CAP
-) -> DataFrame:
-    """Streaming ledger: the state of an account is its month, day and two counts.
+class LedgerProcessor(StatefulProcessor):
+    """State of an account: the ledger up to the watermark, and the events beyond it.
 
-    Events of one trigger are ordered by time; a later trigger continues from the
-    state, so events must not arrive behind a trigger that already passed them.
-    What one task holds is an account's share of one trigger, which the source's
-    own limits (such as maxFilesPerTrigger) keep small.
+    Events wait until the watermark has passed them, then a timer takes all that it has
+    passed in order of time. One that comes behind the watermark is too late to be put in
+    order and is returned as `late`, having changed nothing.
     """
 
-    def update(key, batches, state):
-        month, day, used, day_used = state.get if state.exists else ("", "", 0, 0)
-        ledger = Ledger(month, day, [used], [day_used], month_cap, day_cap)
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        steps = [play(ledger, row) for row in pdf.itertuples(index=False)]
-        state.update((ledger.month, ledger.day, int(ledger.used[0]), int(ledger.day_used[0])))
-        yield steps_frame(pdf, steps)
+    def __init__(self, month_cap: int, day_cap: int):
+        self.caps = month_cap, day_cap
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.ledger = handle.getValueState("ledger", _STATE)
+        self.waiting = handle.getListState("waiting", _EVENT)
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        for pdf in rows:
+            behind = _naive(pdf["ts"]) < mark
+            late = pdf[behind]
+            if len(late):
+                yield _shaped(late.assign(late=True, granted=None, limited_by=None, used=None, day_used=None))
+            timely = pdf[~behind]
+            if len(timely):
+                self.waiting.appendList(_tuples(timely))
+                self._wake(timely)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        held = pd.DataFrame(list(self.waiting.get()), columns=_EVENT_COLUMNS)
+        if not len(held):
+            return
+        due = _naive(held["ts"]) < mark
+        if not due.any():
+            return
+        ready = held[due].sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
+        ready.insert(0, "account", key[0])
+        carry = Carry(*self.ledger.get()) if self.ledger.exists() else None
+        steps, end = played(ready, *self.caps, carry)
+        self.ledger.update((end.month, end.day, end.over, end.used, end.day_used))
+        rest = held[~due]
+        if len(rest):
+            self.waiting.put(_tuples(rest))
+            self._wake(rest)
+        else:
+            self.waiting.clear()
+        yield _shaped(steps.assign(late=False))
+
+    def _wake(self, events: pd.DataFrame) -> None:
+        first = _naive(events["ts"]).min()
+        self.handle.registerTimer(int(first.value // 1_000_000) + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def _naive(ts: pd.Series) -> pd.Series:
+    ts = pd.to_datetime(ts)
+    return ts if ts.dt.tz is None else ts.dt.tz_convert("UTC").dt.tz_localize(None)
+
+
+def _tuples(events: pd.DataFrame) -> list[tuple]:
+    rows = events[_EVENT_COLUMNS].astype(object)
+    return list(rows.where(rows.notna(), None).itertuples(index=False, name=None))
+
 
-    return with_calendar(events).groupBy("account").applyInPandasWithState(
-        update, _STEP_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"
+def _shaped(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows[_OUT_COLUMNS].astype({"granted": "Int64", "used": "Int64", "day_used": "Int64"})
+
+
+def ledger_steps(
+    events: DataFrame, month_cap: int = V.MONTH_CAP, day_cap: int = V.DAY_CAP, delay: str = DELAY
+) -> DataFrame:
+    """Streaming ledger: a step per event once the watermark has passed it, and late events.
+
+    Events may come out of order, across triggers too, by up to `delay`; the steps are then
+    those of the batch ledger. Where an event is `late` its other results are NULL. An
+    account's state is its calendar labels, two counts and the events of the last `delay`;
+    a task holds those and the account's share of one trigger, which the source's own
+    limits (such as maxFilesPerTrigger) keep small. The session needs the RocksDB state
+    store (`rocksdb`) while the query starts.
+    """
+    numbers = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("want", "reserved", "actual")]
+    dated = with_calendar(events.withWatermark("ts", delay))
+    # A computed copy of the time carries no watermark, so late rows reach the processor.
+    plain = (F.col("ts") + F.expr("INTERVAL 0 SECOND")).alias("ts")
+    rows = dated.select("account", F.col("event_id").cast("long").alias("event_id"), plain, "kind", *numbers, "month", "day")
+    return rows.groupBy("account").transformWithStateInPandas(
+        statefulProcessor=LedgerProcessor(month_cap, day_cap), outputStructType=_OUT, outputMode="Append", timeMode="EventTime"
     )
 
 
 def budget_stream(
-    events: DataFrame, month_cap: int = V.MONTH_CAP, day_cap: int = V.DAY_CAP
+    events: DataFrame, month_cap: int = V.MONTH_CAP, day_cap: int = V.DAY_CAP, delay: str = "40 days", triggers: int = 3
 ) -> DataFrame:
-    """Run a finished table of events through the streaming ledger.
+    """Run a finished table of events through the streaming ledger; (steps, late) in one table.
 
-    The table is landed as files, read as a stream to its end, and the steps in
-    the Parquet sink are returned as a table.
+    The table is landed as files in no order of time and read as a stream, about a
+    `triggers`-th of it at a time. A last file closes the stream: its one row, of no
+    account, lies so far ahead that the watermark passes every event. `delay` must be
+    the span that the files are out of order by.
     """
     spark = events.sparkSession
     landing, sink, progress = (fresh_path(spark, f"budget-{n}") for n in ("in", "out", "state"))
-    events.write.parquet(landing)
-    steps = ledger_steps(spark.readStream.schema(events.schema).parquet(landing), month_cap, day_cap)
+    events.repartition(triggers, "event_id").write.parquet(landing)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    steps = ledger_steps(source, month_cap, day_cap, delay)
     run_to_end(steps, sink, progress)
-    return spark.read.schema(steps.schema).parquet(sink)
+    close_stream(events, landing, delay)
+    run_to_end(steps, sink, progress)
+    return spark.read.schema(steps.schema).parquet(sink).filter("account IS NOT NULL")
+
+
+def close_stream(events: DataFrame, landing: str, delay: str) -> None:
+    """Land a row beyond the last event and the delay, so that nothing waits any longer."""
+    end = events.agg((F.max("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    last = end.select(*[F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes])
+    last.filter("ts IS NOT NULL").select(*events.columns).coalesce(1).write.mode("append").parquet(landing)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The session with the state store that stateful processors need."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
 def run_to_end(steps: DataFrame, sink: str, progress: str) -> None:
     """Process everything that has arrived, then stop; `progress` keeps the state."""
-    run = (
-        steps.writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", progress)
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    with rocksdb(steps.sparkSession):
+        run = (
+            steps.writeStream.format("parquet")
+            .option("path", sink)
+            .option("checkpointLocation", progress)
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()

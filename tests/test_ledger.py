@@ -82,16 +82,58 @@ def test_peek_resets_with_the_calendar(spark):
         assert (row.used, row.day_used) == want and row.can_search
 
 
-def test_stream_continues_from_its_state(spark):
-    data = sorted(events(3), key=lambda e: (e[2], e[1]))
+def land(spark, landing, rows):
+    spark.createDataFrame(rows, LEDGER_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(landing)
+
+
+def test_stream_puts_events_in_order_and_reports_late_ones(spark):
+    data = events(3)
     landing, sink, progress = (fresh_path(spark, n) for n in ("in", "out", "state"))
-    for part in (data[:700], data[700:]):
-        spark.createDataFrame(part, LEDGER_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(LEDGER_EVENT_SCHEMA).parquet(landing)
-        steps = budget.ledger_steps(stream, 40, 9)
+    # four days a trigger, a fifth of the events two days late: within the delay of six days
+    start = datetime(2026, 2, 24)
+    trigger = {e[1]: (e[2] - start).days + (2 if e[1] % 5 == 0 else 0) for e in data}
+    for k in range(0, 17, 4):
+        land(spark, landing, [e for e in data if k <= trigger[e[1]] < k + 4])
+        steps = budget.ledger_steps(spark.readStream.schema(LEDGER_EVENT_SCHEMA).parquet(landing), 40, 9, "6 days")
         budget.run_to_end(steps, sink, progress)
-    got = spark.read.schema(steps.schema).parquet(sink).collect()
-    assert {r.event_id: (r.granted, r.limited_by, r.used, r.day_used) for r in got} == loop(data, 40, 9)
+    late = [("a0", 10_000 + k, start + timedelta(hours=k), "reserve", 3, 0, 0) for k in range(3)]
+    land(spark, landing, [*late, ("new", 20_000, datetime(2026, 3, 13), "reserve", 3, 0, 0)])
+    budget.run_to_end(steps, sink, progress)
+    table = spark.createDataFrame([*data, ("new", 20_000, datetime(2026, 3, 13), "reserve", 3, 0, 0)], LEDGER_EVENT_SCHEMA)
+    before = spark.read.schema(steps.schema).parquet(sink).filter("NOT late").count()
+    assert before < table.count()
+    budget.close_stream(table, landing, "6 days")
+    budget.run_to_end(steps, sink, progress)
+    got = spark.read.schema(steps.schema).parquet(sink).filter("account IS NOT NULL").collect()
+    want = loop([*data, ("new", 20_000, datetime(2026, 3, 13), "reserve", 3, 0, 0)], 40, 9)
+    assert {r.event_id: (r.granted, r.limited_by, r.used, r.day_used) for r in got if not r.late} == want
+    assert sorted((r.event_id, r.granted, r.used) for r in got if r.late) == [(10_000 + k, None, None) for k in range(3)]
+
+
+def test_a_finished_table_streams_like_the_batch(spark):
+    data = events(4)
+    got = budget.budget_stream(spark.createDataFrame(data, LEDGER_EVENT_SCHEMA), 40, 9, "20 days").collect()
+    assert {r.event_id: (r.granted, r.limited_by, r.used, r.day_used) for r in got} == loop(data, 40, 9) and not any(r.late for r in got)
+
+
+def test_big_caps_and_months_of_one_account(spark):
+    rnd = random.Random(11)
+    data = []
+    for eid in range(3000):
+        ts = datetime(2025, 11, 20) + timedelta(seconds=rnd.randrange(150 * 86400))
+        kind = "settle" if rnd.random() < 0.4 else "reserve"
+        data.append(("a", eid, ts, kind, rnd.randrange(0, 3000), rnd.randrange(0, 4000), rnd.randrange(-1, 600)))
+    for caps in ((100_000, 10_000), (60_000, 2_500)):
+        steps = ledger.budget_settle(spark.createDataFrame(data, LEDGER_EVENT_SCHEMA), *caps, rows_per_task=100).collect()
+        assert {r.event_id: (r.granted, r.limited_by, r.used, r.day_used) for r in steps} == loop(data, *caps)
+
+
+def test_empty_and_null(spark):
+    assert ledger.budget_settle(spark.createDataFrame([], LEDGER_EVENT_SCHEMA), 40, 9).count() == 0
+    assert ledger.budget_grant(spark.createDataFrame([], "account string, event_id long, ts timestamp, want long"), 40, 9).count() == 0
+    rows = [(None, 1, datetime(2026, 3, 3), "reserve", 5, None, None), (None, 2, datetime(2026, 3, 4), "settle", None, 3, None), ("a", 3, datetime(2026, 3, 3), "reserve", None, 0, 0)]
+    got = {r.event_id: (r.granted, r.used) for r in ledger.budget_settle(spark.createDataFrame(rows, LEDGER_EVENT_SCHEMA), 40, 9).collect()}
+    assert got == {1: (5, 5), 2: (None, 2), 3: (0, 0)}
 
 
 @pytest.mark.parametrize("span_us", [40_000_000, 900_000, 60_000_000])
@@ -104,8 +146,7 @@ def test_a_burst_is_cut_by_rows(spark, span_us):
         kind = "settle" if rnd.random() < 0.5 else "reserve"
         data.append(("a", eid, ts, kind, rnd.randrange(0, 4), rnd.randrange(0, 4), rnd.randrange(-1, 4)))
     df = spark.createDataFrame(data, LEDGER_EVENT_SCHEMA)
-    sizes = [r["count"] for r in ledger._slotted(ledger.with_calendar(df), 100).groupBy("slot").count().collect()]
-    per_second = max(r["count"] for r in df.groupBy(F.unix_seconds("ts")).count().collect())
-    assert sum(sizes) == 4000 and len(sizes) > 15 and max(sizes) <= 100 + min(per_second, 100)
-    steps = ledger.budget_settle(df, 40, 9, rows_per_task=100).collect()
-    assert {r.event_id: (r.granted, r.limited_by, r.used, r.day_used) for r in steps} == loop(data, 40, 9)
+    steps = ledger.budget_settle(df, 40, 9, rows_per_task=100)
+    assert {r.event_id: (r.granted, r.limited_by, r.used, r.day_used) for r in steps.collect()} == loop(data, 40, 9)
+    parts = df.repartitionByRange(40, "account", "ts", "event_id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 15 and max(r["count"] for r in parts) <= 400
