@@ -6,6 +6,7 @@ text reaches a shuffle.
 """
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,10 +21,8 @@ _CUT = "\u0002"
 # The fixed address pattern written without a repeated group, which would recurse once
 # per label: with double dots marked, a host is one flat run of label characters. A match
 # can only begin where an address run begins, so such a run is read once.
-_EMAIL_AT_RUN_START = (
-    rf"(?:\G|(?<![A-Za-z0-9._%+{_BREAK}-]))"
-    rf"([A-Za-z0-9._%+{_BREAK}-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{{2,}})"
-)
+_RUN = f"A-Za-z0-9._%+{_BREAK}-"
+_EMAIL_AT_RUN_START = rf"(?:\G|(?<![{_RUN}]))([{_RUN}]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{{2,}})"
 
 
 def _before(text: Column, tail: Column) -> Column:
@@ -39,39 +38,59 @@ def _without_comments(html: Column) -> Column:
     return F.when(F.contains(html, F.lit("-->")), let(F.substring_index(html, "-->", -1), cut)).otherwise(html)
 
 
+def _replaced(text: Column, cut: str, brk: str) -> Column:
+    return F.replace(F.replace(text, F.lit(_CUT), F.lit(cut)), F.lit(_BREAK), F.lit(brk))
+
+
+def _lowered(text: Column) -> Column:
+    """`text` with A-Z lowered and every character in its place.
+
+    Lowering as a whole is quick; only where it changes the length (a dotted capital I
+    becomes two characters) are the letters replaced one by one.
+    """
+
+    def checked(low):
+        return F.when(F.length(low) == F.length(text), low).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
+
+    return let(F.lower(text), checked)
+
+
 def _without_element(html: Column, name: str, kept: str | None = None) -> Column:
     """Without the elements `name`; those whose opening tag holds `kept` stay.
 
-    An opening tag is looked for only where a `>` and a closing tag follow, so every
-    attempt succeeds and the text is read once. `kept` is matched first and skipped as
-    one piece.
+    What stands behind the last closing tag is set aside by its length. An opening tag is
+    looked for only where a `>` and a closing tag follow, so every attempt succeeds and
+    the text is read once. `kept` is matched first and skipped as one piece.
     """
-    closing = rf"(?is)^([\s\S]*)(</{name}>)([\s\S]*)$"
+    closing = f"</{name}>"
     keep = rf"(<{name}\b[^>]*{kept})|" if kept else "()"
 
-    def cut(parts):
-        body = parts["body"]
+    def cut(behind):
+        end = F.length(html) - behind
 
-        def joined(loose):
+        def joined(parts):
+            body, loose = parts["body"], parts["loose"]
             marked = F.regexp_replace(loose, rf"(?i)<(?={name})", "<" + _BREAK)
             pattern = rf"(?i){keep}<{name}\b[^>]*>[\s\S]*?</{name}>"
-            text = F.regexp_replace(F.concat(_before(body, loose), marked, parts["close"]), pattern, _CUT + "$1")
+            close = F.substr(html, end - (len(closing) - 1), F.lit(len(closing)))
+            text = F.regexp_replace(F.concat(_before(body, loose), marked, close), pattern, _CUT + "$1")
             if kept:
                 text = F.regexp_replace(text, rf"(?i){_CUT}(?=<{name}\b)", "")
-            return F.concat(F.translate(text, _CUT + _BREAK, " "), parts["tail"])
+            return F.concat(_replaced(text, " ", ""), F.right(html, behind))
 
-        return let(F.substring_index(body, ">", -1), joined)
+        body = F.left(html, end - len(closing))
+        return let(body, lambda b: let(F.struct(b.alias("body"), F.substring_index(b, ">", -1).alias("loose")), joined))
 
-    def part(group):
-        return F.regexp_extract(html, closing, group)
+    def searched(low):
+        found = let(F.length(F.substring_index(low, closing, -1)), cut)
+        return F.when(F.contains(low, F.lit(closing)), found).otherwise(html)
 
-    parts = F.struct(part(1).alias("body"), part(2).alias("close"), part(3).alias("tail"))
-    return F.when(html.rlike(rf"(?i)</{name}>"), let(parts, cut)).otherwise(html)
+    return let(_lowered(html), searched)
 
 
 def visible_html(html: Column) -> Column:
     """Without comments, styles and scripts; ld+json scripts are kept."""
-    plain = F.translate(html, _BREAK + _CUT, "  ")
+    plain = _replaced(html, " ", " ")
     out = let(plain, _without_comments)
     out = let(out, lambda t: _without_element(t, "script", r"ld\+json"))
     return let(out, lambda t: _without_element(t, "style"))
@@ -89,13 +108,34 @@ def _normalised(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^[^a-z0-9]+", ""), "[.,;:]+$", "")
 
 
+def _around_at(text: Column) -> Column:
+    """What stands next to an `@`: of the text between two of them the first and the last run.
+
+    Address runs are all that the address pattern looks at, and those that no `@` touches
+    cannot match, so it finds the same in this as in the whole text.
+    """
+
+    def run(piece):
+        return F.regexp_extract(piece, rf"^[{_RUN}]*", 0)
+
+    def ends(piece):
+        first = run(piece)
+        last = F.reverse(run(F.reverse(piece)))
+        return F.when(F.length(first) == F.length(piece), piece).otherwise(F.concat(first, F.lit(" "), last))
+
+    return F.array_join(F.transform(F.split(text, "@"), ends), "@")
+
+
 def email_candidates(html: Column) -> Column:
     """Distinct addresses from mailto links and from bare text."""
 
     def found(text):
+        none = F.array().cast("array<string>")
         mailto = F.regexp_extract_all(text, F.lit(V.MAILTO_PATTERN), F.lit(1))
-        marked = F.regexp_replace(text, r"\.(?=\.)", "." + _BREAK)
-        bare = F.regexp_extract_all(marked, F.lit(_EMAIL_AT_RUN_START), F.lit(1))
+        mailto = F.when(F.contains(F.lower(text), F.lit("mailto:")), mailto).otherwise(none)
+        marked = F.when(F.contains(text, F.lit("..")), F.regexp_replace(text, r"\.(?=\.)", "." + _BREAK)).otherwise(text)
+        bare = F.regexp_extract_all(_around_at(marked), F.lit(_EMAIL_AT_RUN_START), F.lit(1))
+        bare = F.when(F.contains(text, F.lit("@")), bare).otherwise(none)
         return F.concat(mailto, F.transform(bare, lambda a: F.replace(a, F.lit(_BREAK), F.lit(""))))
 
     both = F.transform(let(visible_html(html), found), _normalised)

@@ -12,7 +12,7 @@ from leadspark.functions import clock, derive, fixed, html, keys, wording
 TOKENS = [
     "<!--", "-->", "<script>", "<script ", "</script>", "<SCRIPT type='ld+json'>", "<style>", "</style>", "<style a>", ">", "<",
     "a@b.com", "x..y@z.org", "me@a..com", "me@a.com..xx", "q@a.b1.com-x@c.de", " ", "ld+json", "-", "\n", "'<!-->", "name='viewport'",
-    "<meta ", "<meta", 'name="viewport" ', "Viewport", "mailto:a%20b@c.de?x",
+    "İ", "ſ</SCRIPT>", "<meta ", "<meta", 'name="viewport" ', "Viewport", "mailto:a%20b@c.de?x",
 ]
 
 
