@@ -101,16 +101,28 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The bytes of a gzip stream, of one member or of many, inflated once in bounded chunks."""
-    codec = zlib.decompressobj(wbits=31)
-    data = b""
+    """The bytes of a gzip stream, of one member or of many, inflated once in bounded chunks.
+
+    A stream that ends inside a member, its checksum included, is refused, even if it was
+    cut where all its bytes can be read. Zero bytes after a member are padding.
+    """
+    codec, data = None, b""
     while True:
         data = data or stream.read(CHUNK)
-        if not data:
-            if not codec.eof and codec.unconsumed_tail:
+        if not data and codec is not None and not codec.eof:
+            # what the codec still holds comes out without more input
+            if out := codec.decompress(b"", CHUNK):
+                yield out
+                continue
+            if not codec.eof:
                 raise ValueError("the gzip stream is cut off")
+        if not data:
             return
-        if codec.eof:
+        if codec is not None and codec.eof:
+            data = data.lstrip(b"\0")
+            if not data:
+                continue
+        if codec is None or codec.eof:
             codec = zlib.decompressobj(wbits=31)
         out = codec.decompress(data, CHUNK)
         data = codec.unused_data if codec.eof else codec.unconsumed_tail
