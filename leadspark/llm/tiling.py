@@ -44,17 +44,22 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, bytes]], min_tile: int):
         self.min_tile, self.vocabulary, self.items = min_tile, {}, []
-        seeds = defaultdict(list)
+        seeds, whole = defaultdict(list), defaultdict(lambda: defaultdict(list))
         for item_id, text in rows:
             words = [w for w in map(core, text.split()) if w]
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
+            if not len(ids):
+                continue
             if len(ids) < min_tile:
+                whole[len(ids)][int(rolling(ids, len(ids))[0])].append((item_id, ids))
                 continue
             for at, h in enumerate(rolling(ids, min_tile).tolist()):
                 seeds[h].append((len(self.items), at))
             self.items.append((item_id, ids))
         self.hashes = np.array(sorted(seeds), np.uint64)
         self.places = [seeds[h] for h in self.hashes.tolist()]
+        #: Items shorter than a seed, by size and hash.
+        self.short = {size: dict(found) for size, found in whole.items()}
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "of_word"}
@@ -71,6 +76,16 @@ class Items:
         token = core(word)
         return self.vocabulary.get(token, 0) if token else -1
 
+    def whole(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(item_id, tokens) of the items shorter than a seed that the text holds as they are."""
+        found = {}
+        for size, items in self.short.items():
+            h, first = np.unique(rolling(ids, size), return_index=True)
+            for at in np.flatnonzero(np.isin(h, np.array(list(items), np.uint64))):
+                run = ids[first[at] : first[at] + size]
+                found |= {item_id: size for item_id, item in items[int(h[at])] if np.array_equal(run, item)}
+        return list(found.items())
+
     def seeds(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Item number -> (place in the text, place in the item) of every shared seed."""
         h = rolling(ids, self.min_tile)
@@ -131,10 +146,14 @@ def tiles(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], size
 
 def best(items: Items, text: bytes | None, min_coverage: float) -> tuple:
     """(n_items, coverage, item_id, n_tiles, longest) of one text; see `contamination`."""
-    if not text or not items.items:
+    if not text or not (items.items or items.short):
         return 0, 0.0, None, 0, 0
     ids = items.ids(text)
     n, top = 0, (0.0, None, 0, 0)
+    for item_id, size in items.whole(ids):
+        n += 1
+        if top[1] is None or item_id < top[1]:
+            top = (1.0, item_id, 1, size)
     if len(ids) >= items.min_tile:
         for number, seeds in items.seeds(ids).items():
             item_id, item = items.items[number]
@@ -188,8 +207,9 @@ def contamination(
     passages count in any order. coverage is the share of the item's tokens under
     tiles, item_id the item covered most (ties: the smallest id; null if no seed is
     shared), n_items the number of items with at least `min_coverage`, and
-    contaminated whether there is one. Null and empty texts are clean. Items of fewer
-    than `min_tile` tokens, and null ones, take no part. Repeated rows are scored each.
+    contaminated whether there is one. An item of fewer than `min_tile` tokens is found
+    where the text holds all of it in a row, as one tile. Null and empty texts are clean.
+    Null items and those without a token take no part. Repeated rows are scored each.
     """
     found = blocks(benchmark, min_tile, block_bytes)
     scored = docs.select(
