@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import Scratch, raw
+from leadspark.llm.common import Scratch, free_name, raw
 from leadspark.llm.components import components
 
 #: Bits of the six bands. Two prints with at most four differing bits agree on two bands.
@@ -397,8 +397,11 @@ def similar_groups(docs: DataFrame, scratch: Scratch, radius: int, size: int, si
     rooted = texts.select("id", "digest", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "root", F.coalesce("root", "id")
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows, scratch.write(rooted.join(least, "root").select("digest", "component_id"))
+    least = rooted.groupBy("root").agg(
+        F.min("first").alias("component_id"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("least")
+    )
+    kept = F.col("digest") == F.col("least.digest")
+    return rows, scratch.write(rooted.join(least, "root").select("digest", "component_id", kept.alias("kept")))
 
 
 def groups(docs: DataFrame, radius: int = 4, size: int = 4, similarity: float | None = None) -> DataFrame:
@@ -435,12 +438,20 @@ def groups(docs: DataFrame, radius: int = 4, size: int = 4, similarity: float |
     return rows.join(named, "print").select("doc_id", "print", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float | None = 0.8) -> DataFrame:
-    """`docs` with one row per component of `groups`: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one row per component of `groups`: the least by doc_id, then by the hash of its text.
 
-    Rows that repeat a doc_id count as copies of one another, so one of them stays.
-    Rows without a doc_id have no order to be chosen by and all stay.
+    A row without a doc_id comes after those that have one. Rows that repeat a doc_id with
+    another text are judged by their texts like any other rows, so different documents under
+    one id all stay; of rows equal in both one stays. Each component keeps exactly one row.
     """
-    keep = groups(docs, radius, size, similarity).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows, named = similar_groups(docs, scratch, radius, size, similarity)
+    least = rows.select("digest", "doc_id").join(named.filter("kept").select("digest"), "digest").groupBy("digest")
+    # one row per component: the text that stays and the id it stays under
+    names = [free_name(docs, n) for n in ("digest", "first")]
+    keep = scratch.write(least.agg(F.min("doc_id").alias(names[1])).withColumnRenamed("digest", names[0]))
+    scratch.drop(keep)
+    marked = docs.withColumn(names[0], digest())
+    same = (F.col(f"d.{names[0]}") == F.col(f"k.{names[0]}")) & F.col("d.doc_id").eqNullSafe(F.col(f"k.{names[1]}"))
+    return marked.alias("d").join(keep.alias("k"), same, "left_semi").dropDuplicates([names[0]]).select(*docs.columns)
