@@ -354,26 +354,6 @@ class Values:
         return out, pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), rare)
 
 
-def learn_trie(docs: DataFrame, scratch: Scratch, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Trie:
-    """A trie over the column `text` (bytes) of all rows.
-
-    For corpora whose trie fits one process; `scores` does not use it. Every text is
-    counted whole. Shorter contexts are sums over the longest ones. The trie that leaves
-    Spark has at most `max_entries` entries: the smallest power of two that few enough
-    counts reach is found from the counts' own distribution.
-    """
-    longest = count_grams(docs, order)
-    levels = F.array(
-        *[F.struct(F.lit(j).alias("order"), F.col("gram").bitwiseAND(F.lit((1 << (9 * (j + 1))) - 1)).alias("gram")) for j in range(order + 1)]
-    )
-    counts = longest.select(F.explode(levels).alias("e"), "n").groupBy("e.order", "e.gram").agg(F.sum("n").alias("n"))
-    counts = scratch.write(counts)
-    rows = counts.filter(F.col("n") >= within(counts, "n", max_entries)).toArrow()
-    level = rows.column("order").to_numpy()
-    gram, n = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    return Trie([(gram[level == j], n[level == j]) for j in range(order + 1)])
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) of the words of the column `text` (bytes), A-Z lowered."""
 

@@ -83,22 +83,11 @@ def test_rare_words_are_joined(spark, monkeypatch):
         assert r["n_known"] == whole[r["doc_id"]][0] and r["base_score"] == pytest.approx(whole[r["doc_id"]][1])
 
 
-def test_pruned_trie_still_sums_to_one(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(ppm.raw().alias("text"))
-    trie = ppm.learn_trie(df, ppm.Scratch(spark, "t"), order=3, max_entries=3000)
-    assert sum(len(t.keys) for t in trie.grams) <= 3000
-    contexts = [b"the", b"zzz", b"\x00\x01\x02", b" an"]
-    for c in contexts:
-        head = np.uint64((c[0] << 27) | (c[1] << 18) | (c[2] << 9))
-        assert (10 ** trie.logs(head | np.arange(257, dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-4)
-
-
 @pytest.mark.parametrize("cached", [0, 40])
 def test_grams_beyond_the_cache_count_in_full(spark, monkeypatch, cached):
     rng = random.Random(8)
     rows = [(i, "".join(rng.choices("abcd xyz", k=rng.randint(0, 60)))) for i in range(60)] + [(61, None), (62, "QQ\u00e9")]
     monkeypatch.setattr(ppm, "MAX_ENTRIES", cached)
-    monkeypatch.setattr(ppm.learn_trie, "__defaults__", (ppm.ORDER, cached))
     got = {r["doc_id"]: r["score"] for r in ppm.scores(docs_of(spark, rows)).collect()}
     texts = {i: (t or "").encode().lower() for i, t in rows}
     model = taught([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2], ppm.ORDER)
