@@ -2,11 +2,12 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..operators import contacts, dedupe, gates, ingest, leads as L, market, store
+from ..operators.scan import running_total
 from ..sources import files
 from ..sources.stage import staged
 
@@ -65,17 +66,11 @@ def push_saved_runs(
     """
     text = files.file_labels(files.read_csv_text(spark, path, V.ENRICHED_COLUMNS, parts=True))
     refreshed = F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    # A file is read by one task, in which the ids of its rows follow one another.
-    kept = staged(text.filter("NOT refused AND place_id <> ''").withColumn("row_id", F.monotonically_increasing_id()), "saved-runs")
-    spans = kept.groupBy("run_at", "file", "part").agg(F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
-    before = Window.partitionBy("run_at").orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = spans.select(
-        "part", "first_row", F.coalesce(F.sum(F.col("last_row") - F.col("first_row") + 1).over(before), F.lit(0)).alias("start")
-    )
-    placed = kept.join(starts, "part").withColumn(
-        "ord", F.unix_seconds("run_at") * (1 << 31) + F.col("start") + F.col("row_id") - F.col("first_row")
-    )
-    accepted = staged(placed.drop("part", "row_id", "first_row", "start"), "saved-rows")
+    place = ["run_at", "file", "part", "block", "seq"]
+    kept = text.filter("NOT refused AND place_id <> ''").withColumn("one", F.lit(1).cast("long"))
+    placed = running_total(kept, place, "one", "place")
+    ordered = placed.withColumn("ord", F.unix_seconds("run_at") * (1 << 31) + F.col("place"))
+    accepted = staged(ordered.drop("one", "place", "part", "block", "seq"), "saved-rows")
     leads = staged(files.leads_from_csv(accepted), "saved-leads")
     outgoing = store.project_sheet(leads, F.col("run_niche"), F.col("run_location"), refreshed)
     refused = text.filter("refused").select("file").distinct()

@@ -1,6 +1,5 @@
 """Lead files: CSV in and out, run names, run metadata."""
 
-from urllib.parse import unquote
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +9,10 @@ from ..functions import fixed as V
 from ..functions.derive import finite
 from ..functions.keys import lead_host
 from ..operators.leads import summarise, with_derived, with_score
+from ..operators.skew import join_by_key
+from .records import BOM, records
 from .snapshots import renamed
 
-BOM = "﻿"
-
 
 def _text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -87,48 +86,27 @@ def write_unique(rows: DataFrame, folder: str, base: str) -> str:
     raise FileExistsError(f"no free name for {base} after 100 attempts; the rows are in {draft}")
 
 
-def header_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header line -> the files under `path` that begin with it.
-
-    Only the lines of a file's first block take part, and of those the first.
-    """
-    meta = F.col("_metadata")
-    lines = spark.read.text(path).select("value", meta["file_path"].alias("part"), meta["file_block_start"].alias("at"))
-    first = lines.filter("at = 0").groupBy("part").agg(F.first("value").alias("header"))
-    found: dict[str, list[str]] = {}
-    for row in first.orderBy("part").collect():
-        found.setdefault(row["header"], []).append(unquote(row["part"]))
-    return found
-
-
 def read_csv_text(spark: SparkSession, path: str, columns: list[str], parts: bool = False) -> DataFrame:
-    """The files under `path` as text columns and `file`; with `parts` also the part file.
+    """The files under `path` as text columns and `file`; with `parts` also part, block and seq.
 
-    Files are bound by their own headers: each group of files with one header is read
-    once. Quoted newlines are kept; a column the header lacks reads as blank, one that is
-    not asked for is ignored, and a file without a place_id column has no rows. Such CSV
-    cannot be split, so a file is one task; large tables are better kept as Parquet.
+    Those name the file and the place of a row in it. Columns are bound by the header of the
+    row's own file; one that the header lacks reads as blank, one that is not asked for is
+    ignored, and a file without a place_id column has no rows. Files are read in splits
+    (`records`), whatever line breaks their cells hold; blank rows go.
     """
-    names = [*columns, "file", "part"] if parts else [*columns, "file"]
-    out = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names))
-    for paths in header_lines(spark, path).values():
-        raw = spark.read.csv(
-            paths, header=True, multiLine=True, escape='"', quote='"', enforceSchema=False,
-            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="\u0000",
-            emptyValue="", inferSchema=False,
-        )
-        have = {c.removeprefix(BOM): c for c in raw.columns}
-        if "place_id" not in have:
-            continue
-        picked = [
-            F.coalesce(F.col(f"`{have[c]}`"), F.lit("")).alias(c) if c in have else F.lit("").alias(c)
-            for c in columns
-        ]
-        any_cell = F.concat_ws("", *[F.col(f"`{c}`") for c in raw.columns])
-        where = F.col("_metadata.file_path")
-        more = [run_file(where).alias("file"), where.alias("part")]
-        out = out.unionByName(raw.filter(any_cell != "").select(*picked, *more[: 1 + parts]))
-    return out
+    found = records(spark, path)
+    headers = found.filter("first").groupBy("file").agg(F.min_by("cells", F.struct("block", "seq")).alias("header"), F.min(F.struct("block", "seq")).alias("top"))
+    headers = headers.filter(F.array_contains("header", "place_id"))
+    rows = join_by_key(found.drop("first"), headers, ["file"], "seq").filter("header IS NOT NULL")
+    rows = rows.filter((F.col("block") != F.col("top.block")) | (F.col("seq") != F.col("top.seq")))
+
+    def cell(name):
+        place = F.array_position("header", name).cast("int")
+        value = F.try_element_at("cells", F.when(place > 0, place).otherwise(1))
+        return F.when(place > 0, F.coalesce(value, F.lit(""))).otherwise("").alias(name)
+
+    more = [F.col("file").alias("part"), "block", "seq"] if parts else []
+    return rows.select(*[cell(c) for c in columns], run_file(F.col("file")).alias("file"), *more)
 
 
 def run_file(path: Column) -> Column:
