@@ -225,6 +225,7 @@ HELPERS = {
 """,
     "survivors": "SELECT * FROM members QUALIFY row_number() OVER (PARTITION BY shared_by, value ORDER BY total DESC, ord) = 1",
     "stored": STORED_SELECT,
+    "stored_all": STORED_SELECT.replace("FROM hooked WHERE ord % 2 = 0", "FROM hooked"),
     "fresh_leads": "SELECT * REPLACE (CAST(reviews + 1 AS INT) AS reviews, '2026-08-20T08:00:00Z' AS checked_at) FROM leads WHERE ord % 3 = 0",
     "fresh_sig": signal_columns("fresh_leads"),
     "fresh_scored": score_columns("fresh_sig"),
@@ -312,6 +313,12 @@ HELPERS = {
  FROM (SELECT *, CASE WHEN cut THEN CASE WHEN depth >= 3 THEN 'maxDepth' WHEN calls_before + calls >= 100 THEN 'halted' END END AS why
   FROM (SELECT *, least(cost, 100 - calls_before) AS calls, truncated OR cost > 100 - calls_before AS cut FROM costed WHERE calls_before < 100))
 """,
+    "sweeps": """
+ SELECT t.term, coalesce(n, 0) AS tiles_searched, coalesce(s, 0) AS tiles_split, coalesce(deepest, 0) AS deepest, coalesce(leaves, 0) AS truncated_leaves, coalesce(w, 0) > 0 AS halted
+ FROM (SELECT DISTINCT term FROM tree) t
+ LEFT JOIN (SELECT term, count(*) AS n, count(*) FILTER (WHERE split) AS s, max(depth) AS deepest, count(*) FILTER (WHERE truncated AND NOT split) AS leaves FROM swept GROUP BY term) a ON a.term = t.term
+ LEFT JOIN (SELECT d.term, count(*) AS w FROM costed d LEFT JOIN swept p ON p.term = d.term AND p.path = left(d.path, d.depth - 1)
+  WHERE d.calls_before >= 100 AND (d.depth = 0 OR p.split) GROUP BY d.term) b ON b.term = t.term""",
     "answers": """
  SELECT k.tile_key, c.place_id, row_number() OVER (PARTITION BY k.tile_key ORDER BY c.pos) - 1 AS pos
  FROM tile_keys k JOIN cells c ON c.term = k.term AND c.y >> (3 - k.depth) = k.gy AND c.x >> (3 - k.depth) = k.gx
@@ -377,8 +384,8 @@ LEFT JOIN (SELECT ord // 60 AS chain, (ord // 20) % 3 + 1 AS page_no, count(*) A
     "file_labels": "SELECT ord, run_file AS file, '2026-08-0' || substr(run_file, 8, 1) || ' 14:27:26' AS run_at, replace(split_part(run_file, '_', 2), '-', ' ') AS run_location, replace(regexp_replace(split_part(run_file, '_', 3), '(-[0-9]+)?[.]csv$', ''), '-', ' ') AS run_niche, false AS refused FROM leads",
     "file_labels_refused": "SELECT true AS refused, count(*) AS files, 0::BIGINT AS labelled FROM documents",
     "scan_stored": f"SELECT ord, place_id, {lead_host('website')} AS host, rating, reviews, ttfb_ms, '' AS https, true AS audited, email_alt, signals, '2026-07-01 00:00:00' AS collected_at, CASE WHEN ord % 4 = 0 THEN 'contacted' ELSE 'unreviewed' END AS review_status, CASE WHEN ord % 6 = 0 THEN 'call back, after 5' ELSE '' END AS notes, hook_basis, o + reach + value AS total, {case([(f'o + reach + value >= {n}', lit(b)) for n, b in V.BANDS], chr(39) + 'cold' + chr(39))} AS band "
-    f"FROM (SELECT *, least(45, {case([(flag(s), p) for s, p, _ in V.DEFECTS], 0)} + CASE WHEN f_low_rating THEN 5 ELSE 0 END) AS o FROM hooked WHERE ord % 2 = 0)",
-    "scan_page_captures": "SELECT place_id, role, http_status, CASE WHEN content_type = '' OR lower(content_type) LIKE '%html%' THEN length(html) ELSE 0 END::INT AS body_chars FROM page_captures",
+    f"FROM (SELECT *, least(45, {case([(flag(s), p) for s, p, _ in V.DEFECTS], 0)} + CASE WHEN f_low_rating THEN 5 ELSE 0 END) AS o FROM hooked)",
+    "scan_page_captures": "SELECT place_id, role, http_status, CASE WHEN content_type = '' OR lower(content_type) LIKE '%html%' THEN html ELSE '' END AS body FROM page_captures",
     "scan_mx": "SELECT * FROM mx",
     "term_expand": TERMS,
     "term_expand_first": f"SELECT * FROM ({TERMS}) WHERE pos < 2",
@@ -396,19 +403,23 @@ LEFT JOIN (SELECT ord // 60 AS chain, (ord // 20) % 3 + 1 AS page_no, count(*) A
     "write_enriched": "SELECT place_id, name, address, phone, website, rating, coalesce(reviews::VARCHAR, '') AS review_count, business_status, primary_type, lat AS latitude, lng AS longitude, checked_at AS google_refreshed_at, email, CASE WHEN email = '' THEN '' ELSE email_alt END AS email_alt, reachable, https, coalesce(ttfb_ms::VARCHAR, '') AS ttfb_ms, viewport AS mobile_viewport, contact_form, final_url, audit_error, total::VARCHAR AS score FROM scored",
     "project_sheet": "SELECT ord, place_id, name, address, phone, email, email_alt, website, rating, reviews, signals, reachable, https, ttfb_ms, viewport AS mobile_viewport, contact_form, business_status, primary_type, lat AS latitude, lng AS longitude, final_url, audit_error, niche, market AS search_location, checked_at AS google_refreshed_at, hook, hook_basis, total AS score, band AS score_band, reasons AS score_why FROM hooked",
     "upsert_leads": "SELECT place_id, first_listed, last_seen, name, phone, email, reviews, signals, review_status, notes, hook_basis, score, score_band, google_refreshed_at FROM upserted",
+    "upsert_table": "SELECT place_id, first_listed, last_seen, name, phone, email, reviews, signals, review_status, notes, hook_basis, score, score_band, google_refreshed_at FROM upserted",
+    "upsert_table_counts": "SELECT (SELECT count(*) FROM leads WHERE ord % 3 = 0 AND ord % 2 = 1) AS inserted, (SELECT count(*) + count(*) FILTER (WHERE ord % 9 = 0) FROM leads WHERE ord % 6 = 0) AS updated, (SELECT count(*) FROM leads WHERE ord % 2 = 0 OR ord % 3 = 0) AS total",
     "upsert_counts": "SELECT (SELECT count(*) FROM leads WHERE ord % 3 = 0 AND ord % 2 = 1) AS inserted, (SELECT count(*) + count(*) FILTER (WHERE ord % 9 = 0) FROM leads WHERE ord % 6 = 0) AS updated, (SELECT count(*) FROM leads WHERE ord % 2 = 0 OR ord % 3 = 0) AS total",
     "patch_cells": """SELECT s.place_id, s.name, coalesce((SELECT arg_max(value, ord) FROM patches p WHERE p.place_id = s.place_id AND p."column" = 'phone'), s.phone) AS phone,
  coalesce((SELECT arg_max(value, ord) FROM patches p WHERE p.place_id = s.place_id AND p."column" = 'notes'), s.notes) AS notes,
- coalesce((SELECT arg_max(value, ord) FROM patches p WHERE p.place_id = s.place_id AND p."column" = 'review_status'), s.review_status) AS review_status, s.last_seen, s.google_refreshed_at FROM stored s""",
+ coalesce((SELECT arg_max(value, ord) FROM patches p WHERE p.place_id = s.place_id AND p."column" = 'review_status'), s.review_status) AS review_status, s.last_seen, s.google_refreshed_at FROM stored_all s""",
     "patch_log": """SELECT ord, place_id, "column", before, after, before <> after AS changed FROM (
  SELECT p.ord, p.place_id, p."column", coalesce(lag(p.value) OVER (PARTITION BY p.place_id, p."column" ORDER BY p.ord), CASE p."column" WHEN 'phone' THEN s.phone WHEN 'notes' THEN s.notes ELSE s.review_status END) AS before, p.value AS after
- FROM patches p JOIN stored s USING (place_id))""",
+ FROM patches p JOIN stored_all s USING (place_id))""",
     "patch_violations": """SELECT error, count(*) AS patches, 0::BIGINT AS cells_written FROM (
  SELECT 'column is not patchable' AS error FROM patches WHERE ord % 4 = 0 UNION ALL SELECT 'no lead with this place_id' FROM patches WHERE ord % 3 = 0) GROUP BY 1""",
     "append_run": f"""SELECT max(checked_at) AS finished_at, market AS location, niche, CASE WHEN niche = 'property-management' THEN {lit(' '.join(V.CURATED_NICHES['property-management']))}
   ELSE niche || ' ' || regexp_replace(niche, 's$', '') || ' company ' || regexp_replace(niche, 's$', '') || ' services local ' || niche END AS terms, count(*) AS prospects, count(*) FILTER (WHERE email <> '') AS with_email,
- 5 AS tiles, 1 AS tiles_split, sum(ord % 3)::BIGINT AS calls_used, 25 AS max_calls, (sum(ord % 3) * 35 / 1000)::DOUBLE AS estimated_cost_usd, 0 AS duplicates_dropped, CASE WHEN sum(ord % 3) > 60 THEN 'yes' ELSE 'no' END AS halted, 'no' AS aborted, max(run_file) AS file
-FROM leads GROUP BY market, niche""",
+ max(s.tiles) AS tiles, max(s.splits) AS tiles_split, max(s.calls)::BIGINT AS calls_used, 100 AS max_calls, (max(s.calls) * 35 / 1000)::DOUBLE AS estimated_cost_usd, max(d.dropped) AS duplicates_dropped,
+ CASE WHEN bool_or(s.halted) THEN 'yes' ELSE 'no' END AS halted, CASE WHEN bool_or(audited) THEN 'no' ELSE 'yes' END AS aborted, max(run_file) AS file
+FROM leads l JOIN (SELECT replace(term, ' company', '') AS phrase, sum(tiles_searched)::BIGINT AS tiles, sum(tiles_split)::BIGINT AS splits, bool_or(halted) AS halted, coalesce(sum(calls), 0) AS calls FROM sweeps LEFT JOIN (SELECT term, sum(calls) AS calls FROM swept GROUP BY term) USING (term) GROUP BY 1) s ON s.phrase = l.niche
+JOIN (SELECT replace(term, ' company', '') AS phrase, count(*) - count(DISTINCT place_id) AS dropped FROM tile_batches GROUP BY 1) d ON d.phrase = l.niche GROUP BY market, niche""",
     "write_unique": "SELECT file, count(*) AS rows, count(DISTINCT place_id) AS places FROM places, (VALUES ('20260801-142726_town_gym.csv'), ('20260801-142726_town_gym-2.csv')) v(file) GROUP BY 1",
     "run_sidecar": "SELECT run_file AS file, market AS location, niche, count(*) AS prospects, count(*) FILTER (WHERE email <> '') AS with_email, count(*) FILTER (WHERE f_down) AS down, coalesce(printf('%.2f', round(avg(rating), 2)), '—') AS avg_rating FROM sig GROUP BY 1, 2, 3",
     "to_lead": f"""SELECT p.ord, p.place_id, coalesce(p.name, '(unnamed)') AS name, coalesce(p.address, '') AS address, coalesce(p.phone, '') AS phone, coalesce(p.website, '') AS website, {lead_host("coalesce(p.website, '')")} AS host,
@@ -422,9 +433,11 @@ FROM places p LEFT JOIN audits a ON p.place_id = a.place_id""",
     "require_email_rows": "SELECT ord, place_id, email, (SELECT count(*) FROM leads WHERE email = '') AS withheld FROM leads WHERE email <> ''",
     "sendable_segment": "SELECT ord, place_id, hook_basis, hook FROM hooked WHERE hook <> ''",
     "valid_boxes": "SELECT *, CASE WHEN floor((ne_lat - sw_lat) * 111 + 0.5) > 120 THEN floor((ne_lat - sw_lat) * 111 + 0.5)::INT END AS wide_km FROM boxes WHERE ne_lng IS NOT NULL AND ne_lat <= 90 AND sw_lat < ne_lat AND sw_lng < ne_lng AND NOT (ne_lat - sw_lat < 0.004 AND ne_lng - sw_lng < 0.004)",
-    "box_checks": """SELECT valid, valid AND small AS too_small, count(*) AS boxes, count(*) FILTER (WHERE valid AND km > 120) AS wide, max(km) FILTER (WHERE valid AND km > 120)::INT AS widest_km FROM (
- SELECT coalesce(ne_lat <= 90 AND sw_lat < ne_lat AND sw_lng < ne_lng, false) AS valid, coalesce(ne_lat - sw_lat < 0.004 AND ne_lng - sw_lng < 0.004, false) AS small, floor((ne_lat - sw_lat) * 111 + 0.5) AS km FROM boxes) GROUP BY 1, 2""",
-    "stale_fields": "SELECT ord, place_id, CASE WHEN ord % 4 <> 0 THEN name END AS name, CASE WHEN ord % 4 <> 0 THEN phone END AS phone, CASE WHEN ord % 4 <> 0 THEN rating END AS rating, CASE WHEN ord % 4 <> 0 THEN reviews END AS reviews, score, hook_basis, ord % 4 = 0 AS stale FROM stored",
+    "box_checks": """SELECT ord, valid, valid AND small AS too_small, CASE WHEN valid AND km > 120 THEN km::INT END AS wide_km FROM (
+ SELECT ord, coalesce(ne_lat <= 90 AND sw_lat < ne_lat AND sw_lng < ne_lng, false) AS valid, coalesce(ne_lat - sw_lat < 0.004 AND ne_lng - sw_lng < 0.004, false) AS small, floor((ne_lat - sw_lat) * 111 + 0.5) AS km FROM boxes)""",
+    "stale_fields": "SELECT ord, place_id, CASE WHEN ord % 4 <> 0 THEN name END AS name, CASE WHEN ord % 4 <> 0 THEN phone END AS phone, CASE WHEN ord % 4 <> 0 THEN rating END AS rating, CASE WHEN ord % 4 <> 0 THEN reviews END AS reviews, score, hook_basis, ord % 4 = 0 AS stale FROM stored_all",
+    "stale_list": "SELECT ord, place_id, name, 45::BIGINT AS age_days FROM stored_all WHERE ord % 4 = 0",
+    "stale_excluded": "SELECT ord, place_id, name FROM stored_all WHERE ord % 4 <> 0",
     "disqualify": "SELECT ord, place_id, n AS name, CASE WHEN business_status <> 'OPERATIONAL' THEN 'not operational' WHEN ord % 33 = 0 THEN 'national brand' WHEN ord % 34 = 0 THEN 'software vendor or portal' WHEN phone = '' AND website = '' THEN 'no phone and no website' END AS disqualified FROM (SELECT *, CASE WHEN ord % 33 = 0 THEN 'JLL ' || name WHEN ord % 34 = 0 THEN name || ' on zillow' ELSE name END AS n FROM leads)",
     "join_place_audit": "SELECT p.ord, p.place_id, p.website, a.reachable, a.emails_text AS emails, CASE WHEN a.place_id IS NOT NULL THEN true END AS has_audit FROM places p LEFT JOIN audits a ON p.place_id = a.place_id",
     "join_probe": "SELECT ord, place_id, kind, detail FROM lead_checks WHERE channel = 'site'",
@@ -444,12 +457,7 @@ FROM (VALUES ('20260801-142726_town-0-pa_building.csv', 'town 0 pa', true), ('20
     "corpus": "SELECT * FROM corpora",
     "ttfb_median": "SELECT market, niche, median_ttfb_ms FROM corpora WHERE median_ttfb_ms IS NOT NULL",
     "slowest": "SELECT market, niche, slowest_ms FROM corpora WHERE slowest_ms IS NOT NULL",
-    "sweep_summary": """
- SELECT t.term, coalesce(n, 0) AS tiles_searched, coalesce(s, 0) AS tiles_split, coalesce(deepest, 0) AS deepest, coalesce(leaves, 0) AS truncated_leaves, coalesce(w, 0) > 0 AS halted
- FROM (SELECT DISTINCT term FROM tree) t
- LEFT JOIN (SELECT term, count(*) AS n, count(*) FILTER (WHERE split) AS s, max(depth) AS deepest, count(*) FILTER (WHERE truncated AND NOT split) AS leaves FROM swept GROUP BY term) a ON a.term = t.term
- LEFT JOIN (SELECT d.term, count(*) AS w FROM costed d LEFT JOIN swept p ON p.term = d.term AND p.path = left(d.path, d.depth - 1)
-  WHERE d.calls_before >= 100 AND (d.depth = 0 OR p.split) GROUP BY d.term) b ON b.term = t.term""",
+    "sweep_summary": "SELECT * FROM sweeps",
     "sweep_halted": "SELECT term, depth, gy, gx, item_count, truncated, split, split_blocked_by, calls, calls_before FROM swept",
     "cache_replay": """SELECT k.term, k.depth, k.gy, k.gx, CASE WHEN f.tile_key IS NULL THEN 'paid' ELSE 'cached' END AS source, a.pos::INT AS pos, a.place_id
  FROM tile_keys k LEFT JOIN fresh_cache f ON f.tile_key = k.tile_key JOIN answers a ON a.tile_key = k.tile_key WHERE f.tile_key IS NOT NULL OR k.depth < 3""",
@@ -488,6 +496,7 @@ FROM (SELECT *, sum(granted) OVER (PARTITION BY account, month ORDER BY ts, even
     "find_duplicates": "SELECT * FROM members",
     "rank_leads": "SELECT ord, place_id, name, total, band, reasons FROM scored ORDER BY total DESC, ord LIMIT 20",
     "page_newest": "SELECT place_id, generation, ord, name FROM upserted ORDER BY generation DESC, ord DESC LIMIT 200 OFFSET 40",
+    "page_after": "SELECT place_id, generation, ord, name FROM upserted ORDER BY generation DESC, ord DESC LIMIT 100 OFFSET 100",
     "emails_top3": "SELECT page_id, pos::INT AS pos, email FROM ranked WHERE pos < 3",
     "union_batches": "SELECT term, batch, pos, place_id FROM tile_batches",
     "union_findings": "SELECT ord, place_id, channel, kind FROM lead_checks",
@@ -522,6 +531,11 @@ FROM (SELECT *, CASE WHEN http_status BETWEEN 200 AND 399 THEN 'yes' WHEN http_s
     "email_shape": f"SELECT ord, email, {PRESENT.format('email')} AS present, regexp_matches(email, '^[^\\s@]+@[^\\s@.]+(\\.[^\\s@.]+)+$') AS shaped FROM leads",
     "contact_findings": "SELECT ord, place_id, kind, detail FROM lead_checks WHERE kind IS NOT NULL",
     "contact_markdown": f"SELECT list_position([{values(k for k, _, _ in SECTIONS)}], kind)::INT AS section_no, CASE kind {' '.join(f'WHEN {lit(k)} THEN {lit(t)}' for k, t, _ in SECTIONS)} END AS section, ord, '- [' || CASE WHEN {IS_PH} THEN 'PH' ELSE 'US' END || '] **' || name || '** — ' || detail AS line FROM lead_checks WHERE kind IS NOT NULL",
+    "contact_table": f"""SELECT (i - 1)::INT AS line_no, line FROM (
+ SELECT 1 AS i, '# Contact verification — ' || (SELECT count(*) FROM leads) || ' leads' AS line UNION ALL SELECT 2, 'Run {NOW[:10]}. No Places quota was spent: this is direct HTTP and DNS only.'
+ UNION ALL SELECT 3, '| Check | How certain | Tested | Failed |' UNION ALL SELECT 4, '|---|---|---|---|'
+ UNION ALL SELECT i, '| ' || name || ' | ' || sure || ' | ' || (SELECT count(*) FROM lead_checks c WHERE c.channel = v.channel) || ' | **' || (SELECT count(*) FROM lead_checks c WHERE c.kind = v.failed) || '** |'
+ FROM (VALUES (5, 'Website loads', 'Actually fetched', 'site', 'broken_site'), (6, 'Email domain accepts mail', 'MX looked up', 'email', 'bad_email'), (7, 'Phone is dialable', 'Format only', 'phone', 'bad_phone')) v(i, name, sure, channel, failed))""",
     "contact_headings": "SELECT i::INT AS section_no, '## ' || title || ' — ' || count(c.kind) AS heading, note, CASE WHEN count(c.kind) = 0 THEN '_Nothing found._' ELSE '' END AS empty FROM (VALUES "
     + ", ".join(f"({i}, {lit(k)}, {lit(t)}, {lit(n or '')})" for i, (k, t, n) in enumerate(SECTIONS, 1)) + ") v(i, k, title, note) LEFT JOIN lead_checks c ON c.kind = k GROUP BY i, title, note",
     "audience": f"SELECT ord, niche, {audience('niche')} AS audience FROM leads",
@@ -542,7 +556,7 @@ FROM compared WHERE hook <> ''""",
  concat_ws(chr(10), n || ' audited — rows whose site was actually fetched. ' || leads || ' were harvested; the difference is sites whose own robots.txt disallowed us.', down || ' did not load — reachable = no.', up || ' loaded — reachable = yes.',
   {secs('coalesce(median_ttfb_ms, 0)')} || 's median — middle time-to-first-byte across the ' || up || ' that answered.', {secs('slowest_ms')} || 's slowest — highest time-to-first-byte in the same set.', viewport_bad || ' not built for phones — no mobile viewport, among sites that loaded.', https_bad || ' still on http — no HTTPS after redirects, among sites that loaded.') AS provenance
 FROM (SELECT c.*, {plural('c.niche')} AS many, {countable('c.niche', 'business')} AS one, {by_key(V.LOOKERS, '(' + audience('c.niche') + ')')} AS looker, {LETTER_MARKET} AS label, (SELECT {iso_day('max(checked_at)')} FROM leads l WHERE l.market = c.market AND l.niche = c.niche) AS checked_on FROM corpora c WHERE n >= 30)""",
-    "campaign_refusals": "SELECT market, niche, n, CASE WHEN n = 0 THEN 'no audited rows' ELSE 'too few audited rows for a survey' END AS refused FROM (SELECT market, niche, count(*) FILTER (WHERE reachable = 'no') AS n FROM leads WHERE reachable <> 'yes' GROUP BY 1, 2) WHERE n < 30",
+    "campaign_refusals": "SELECT market, niche, n, CASE WHEN n = 0 THEN 'no audited rows' ELSE 'too few audited rows for a survey' END AS refused FROM (SELECT CASE WHEN business_status = '' THEN market ELSE market || ' ' || lower(business_status) END AS market, niche, count(*) FILTER (WHERE reachable IN ('yes', 'no')) AS n FROM leads GROUP BY 1, 2) WHERE n < 30",
     "niche_words": f"SELECT p_partkey, {countable('niche', 'business')} AS countable, {plural('niche')} AS plural, {by_key(V.LOOKERS, '(' + audience('niche') + ')')} AS looker FROM (SELECT p_partkey, p_name || ['', '-management', ' Agency', ' box', ' law', ' dental_clinic', ' daycare'][p_partkey % 7 + 1] AS niche FROM part)",
     "market_label": "SELECT doc_id, upper(left(source, 1)) || substr(source, 2) || CASE doc_id % 3 WHEN 0 THEN ', NJ' WHEN 1 THEN ', PA' ELSE '' END AS label FROM documents",
     "slug": "SELECT doc_id, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), '-+$', ''), ''), 'untitled') AS slug, length(text)::INT AS chars FROM documents",

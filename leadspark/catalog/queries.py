@@ -8,9 +8,9 @@ from ..operators import leads as L
 from ..plans import pipelines
 from ..sources import files
 from ..sources.snapshots import Snapshot
-from ..sources.stage import fresh_path
+from ..sources.stage import fresh_path, staged
 from ..streaming.budget import budget_stream as stream_budget
-from .tables import NOW, ROOT, Tables
+from .tables import MAX_CALLS, NOW, ROOT, Tables
 
 QUERIES = {}
 GATE = dict(min_rating=3.0, min_reviews=10, require_website=True)
@@ -81,9 +81,9 @@ def file_labels_refused(t):
     return labels.groupBy("refused").agg(F.count(F.lit(1)).alias("files"), F.count("run_niche").alias("labelled"))
 
 
-def _stored(t):
-    """Even leads as the working table holds them, with people's columns filled."""
-    rows = store.project_sheet(t.derived.filter("ord % 2 = 0"), F.col("niche"), F.col("market"), F.col("checked_at"))
+def _stored(t, leads=None):
+    """Leads as the working table holds them, with people's columns filled."""
+    rows = store.project_sheet(t.derived if leads is None else leads, F.col("niche"), F.col("market"), F.col("checked_at"))
     human = {
         "first_listed": F.lit("2026-07-01 00:00:00"),
         "last_seen": F.lit("2026-07-15 00:00:00"),
@@ -93,6 +93,11 @@ def _stored(t):
     return rows.withColumns(human).select("ord", F.lit(0).alias("generation"), *V.STORED_COLUMNS)
 
 
+def _before(t):
+    """The table before the batch: every other lead, so that the batch updates and inserts."""
+    return _stored(t, t.derived.filter("ord % 2 = 0"))
+
+
 def _batch(t):
     """Every third lead with fresher readings, every ninth one twice."""
     third = L.with_derived(t.leads.filter("ord % 3 = 0").withColumn("reviews", F.col("reviews") + 1))
@@ -116,7 +121,7 @@ def scan_stored(t):
 @query
 def scan_page_captures(t):
     return audit.scan_page_captures(t.view("page_captures")).select(
-        "place_id", "role", "http_status", F.length("html").alias("body_chars")
+        "place_id", "role", "http_status", F.col("html").alias("body")
     )
 
 
@@ -214,12 +219,32 @@ def _shown(table):
 
 @query
 def upsert_leads(t):
-    return _shown(store.upsert_leads(_stored(t), _batch(t), F.lit(NOW)))
+    return _shown(store.upsert_leads(_before(t), _batch(t), F.lit(NOW)))
 
 
 @query
 def upsert_counts(t):
-    return store.upsert_counts(_stored(t), _batch(t))
+    return store.upsert_counts(_before(t), _batch(t))
+
+
+def _kept_table(t):
+    table = store.working_table(t.spark, fresh_path(t.spark, "working-table"), 64)
+    table.commit(_before(t), None, "before")
+    return table
+
+
+@query
+def upsert_table(t):
+    """The same merge into a table kept in buckets; the repeated batch changes nothing."""
+    table = _kept_table(t)
+    for _ in range(2):
+        store.upsert_table(table, _batch(t), F.lit(NOW), "batch")
+    return _shown(table.read())
+
+
+@query
+def upsert_table_counts(t):
+    return store.upsert_table(_kept_table(t), _batch(t), F.lit(NOW), "batch")
 
 
 def _patches(t):
@@ -253,10 +278,10 @@ def patch_log(t):
 
 @query
 def patch_violations(t):
-    """A batch with bad rows: an odd id is not stored, some columns are not open."""
+    """A batch with bad rows: an id that is not stored, columns that are not open."""
     bad = _patches(t).withColumns(
         {
-            "place_id": F.when(F.col("ord") % 3 == 0, F.lit("p1")).otherwise(F.col("place_id")),
+            "place_id": F.when(F.col("ord") % 3 == 0, F.lit("nobody")).otherwise(F.col("place_id")),
             "column": F.when(F.col("ord") % 4 == 0, F.lit("score")).otherwise(F.col("column")),
         }
     )
@@ -268,24 +293,37 @@ def patch_violations(t):
 
 
 def _run_facts(t):
-    """Run facts per market and niche."""
-    by = ["market", "niche"]
-    return t.derived.groupBy(*by).agg(
+    """Run facts per market and niche: leads, and the sweep of the niche's two phrases."""
+    niche = F.regexp_replace("term", " company$", "").alias("niche")
+    sweep = t.halted_sweep.groupBy(niche).agg(
+        F.count_if("searched").alias("tiles"), F.count_if(F.col("searched") & F.col("split")).alias("tiles_split"),
+        F.coalesce(F.sum("calls"), F.lit(0)).alias("calls_used"), F.bool_or(~F.col("searched")).alias("halted"),
+    )
+    found = t.view("tile_batches").groupBy(niche).agg(
+        (F.count(F.lit(1)) - F.count_distinct("place_id")).alias("duplicates_dropped")
+    )
+    leads = t.derived.groupBy("market", "niche").agg(
         F.max("checked_at").alias("finished_at"), F.count(F.lit(1)).alias("prospects"),
-        F.count_if(~derive.blank("email")).alias("with_email"), F.sum(F.col("ord") % 3).alias("calls_used"),
-        F.max("run_file").alias("file"),
-    ).select(
+        F.count_if(~derive.blank("email")).alias("with_email"), F.max("run_file").alias("file"),
+        (F.count_if("audited") == 0).alias("aborted"),
+    )
+    return leads.join(sweep, "niche", "left").join(found, "niche", "left").select(
         "finished_at", F.col("market").alias("location"), "niche", W.terms_for(F.col("niche")).alias("terms"),
-        "prospects", "with_email", F.lit(5).alias("tiles"), F.lit(1).alias("tiles_split"), "calls_used",
-        F.lit(25).alias("max_calls"), (F.col("calls_used") * V.USD_PER_1000_CALLS / 1000).cast("double").alias("estimated_cost_usd"),
-        F.lit(0).alias("duplicates_dropped"), (F.col("calls_used") > 60).alias("halted"),
-        F.lit(False).alias("aborted"), "file",
+        "prospects", "with_email", "tiles", "tiles_split", "calls_used", F.lit(MAX_CALLS).alias("max_calls"),
+        (F.col("calls_used") * V.USD_PER_1000_CALLS / 1000).cast("double").alias("estimated_cost_usd"),
+        "duplicates_dropped", "halted", "aborted", "file",
     )
 
 
 @query
 def append_run(t):
-    return store.append_run(_run_facts(t), fresh_path(t.spark, "runs"))
+    """Two appends, of which the second is tried twice."""
+    runs, folder = staged(_run_facts(t), "run-facts"), fresh_path(t.spark, "runs")
+    one = F.col("niche") < "d"
+    store.append_run(runs.filter(one), folder, "first")
+    for _ in range(2):
+        ledger_ = store.append_run(runs.filter(~one), folder, "second")
+    return ledger_
 
 
 @query
@@ -363,9 +401,7 @@ def valid_boxes(t):
 
 @query
 def box_checks(t):
-    return gates.box_checks(t.view("boxes")).groupBy("valid", "too_small").agg(
-        F.count(F.lit(1)).alias("boxes"), F.count("wide_km").alias("wide"), F.max("wide_km").alias("widest_km")
-    )
+    return gates.box_checks(t.view("boxes")).select("ord", "valid", "too_small", "wide_km")
 
 
 @query
@@ -379,6 +415,21 @@ def stale_fields(t):
     )
 
 
+def _aged(t):
+    refreshed = F.when(F.col("ord") % 4 == 0, F.lit("2026-06-20T00:00:00Z")).otherwise(F.col("google_refreshed_at"))
+    return _stored(t).withColumn("google_refreshed_at", refreshed)
+
+
+@query
+def stale_list(t):
+    return gates.stale_list(_aged(t), t.now).select("ord", "place_id", "name", "age_days")
+
+
+@query
+def stale_excluded(t):
+    return gates.without_stale(_aged(t), t.now).select("ord", "place_id", "name")
+
+
 @query
 def disqualify(t):
     branded = t.leads.withColumn(
@@ -673,8 +724,17 @@ def rank_leads(t):
 
 @query
 def page_newest(t):
-    table = store.upsert_leads(_stored(t), _batch(t), F.lit(NOW))
-    return store.page_newest(table, 200, 40).select("place_id", "generation", "ord", "name")
+    folder = fresh_path(t.spark, "pages")
+    store.write_pages(store.upsert_leads(_before(t), _batch(t), F.lit(NOW)), folder, 100)
+    return store.read_page(t.spark, folder, 200, 40).select("place_id", "generation", "ord", "name")
+
+
+@query
+def page_after(t):
+    """The second page of 100, asked for by the last row of the first."""
+    table = staged(store.upsert_leads(_before(t), _batch(t), F.lit(NOW)), "table")
+    last = store.page_after(table, limit=100).collect()[-1]
+    return store.page_after(table, (last["generation"], last["ord"], last["place_id"]), 100).select("place_id", "generation", "ord", "name")
 
 
 @query
@@ -844,6 +904,12 @@ def contact_markdown(t):
     return contacts.contact_markdown(contacts.contact_findings(t.leads, t.view("probes"), t.view("mx_results")))
 
 
+@query
+def contact_table(t):
+    checks = contacts.contact_checks(t.leads, t.view("probes"), t.view("mx_results"))
+    return contacts.contact_table(checks, t.leads, F.date_format(t.now, "yyyy-MM-dd"))
+
+
 @query
 def contact_headings(t):
     return contacts.contact_headings(contacts.contact_checks(t.leads, t.view("probes"), t.view("mx_results")))
@@ -888,7 +954,8 @@ def campaign_letter(t):
 
 @query
 def campaign_refusals(t):
-    return market.campaign_refusals(t.leads.filter("reachable <> 'yes'"))
+    by_status = F.concat_ws(" ", "market", F.nullif(F.lower("business_status"), F.lit("")))
+    return market.campaign_refusals(t.leads.withColumn("market", by_status))
 
 
 @query

@@ -110,12 +110,25 @@ def valid_boxes(boxes: DataFrame) -> DataFrame:
     return box_checks(boxes).filter("valid AND NOT too_small").drop("valid", "too_small")
 
 
+def _stale(now: Column, days: int) -> Column:
+    old = F.try_to_timestamp("google_refreshed_at") < now - F.expr(f"INTERVAL {days} DAYS")
+    return F.coalesce(old, F.lit(False))
+
+
+def stale_list(stored: DataFrame, now: Column, days: int = V.STALE_AFTER_DAYS) -> DataFrame:
+    """The rows whose cached listing is too old, with its age in whole days."""
+    age = F.floor((F.unix_seconds(now) - F.unix_seconds(F.try_to_timestamp("google_refreshed_at"))) / 86400)
+    return stored.filter(_stale(now, days)).withColumn("age_days", age)
+
+
+def without_stale(stored: DataFrame, now: Column, days: int = V.STALE_AFTER_DAYS) -> DataFrame:
+    """The rows whose cached listing may still be used; one without a readable time stays."""
+    return stored.filter(~_stale(now, days))
+
+
 def stale_fields(stored: DataFrame, now: Column, days: int = V.STALE_AFTER_DAYS) -> DataFrame:
     """Blank the cached listing columns of stale rows, keep everything derived."""
-    stale = F.coalesce(
-        F.try_to_timestamp("google_refreshed_at") < now - F.expr(f"INTERVAL {days} DAYS"),
-        F.lit(False),
-    )
+    stale = _stale(now, days)
     cached = ["name", "address", "phone", "rating", "reviews"]
     return stored.select(
         *[

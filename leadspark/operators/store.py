@@ -1,16 +1,18 @@
 """The working table: outgoing rows, upsert, hand edits, runs, pages."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.clock import check_date
 from ..functions.derive import blank, finite
 from ..functions.keys import lead_host
+from ..sources.snapshots import Snapshot
 from ..sources.stage import staged
 from .leads import with_score
 from .market import hook
 
+RUN_BUCKETS = 16
 # first_listed and the people's columns are written once and never overwritten.
 MACHINE_COLUMNS = [
     c for c in V.STORED_COLUMNS if c not in ["place_id", "first_listed", *V.PEOPLE_COLUMNS]
@@ -46,14 +48,17 @@ def _keyed(incoming: DataFrame) -> DataFrame:
     return incoming.filter(~blank("place_id"))
 
 
-def upsert_leads(stored: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+def upsert_leads(
+    stored: DataFrame, incoming: DataFrame, now: Column, generation: int | None = None
+) -> DataFrame:
     """The new snapshot of the working table.
 
     Incoming rows replace the machine columns of their id and leave the rest; an
     unknown id becomes a new row. The last row of an id in the batch wins: picked
     with a rank limit that runs before the shuffle too. Both sides then hold one
     row per id, so the full join has no hot key. `ord` keeps the table's order:
-    new rows follow the existing ones in batch order.
+    new rows follow the existing ones in batch order. With `generation`, new rows are
+    of that one and the others keep theirs, so that several batches stay in order.
     """
     last = Window.partitionBy("place_id").orderBy(F.desc("ord"))
     # Read twice below; deriving it once also keeps the plan short.
@@ -80,7 +85,9 @@ def upsert_leads(stored: DataFrame, incoming: DataFrame, now: Column) -> DataFra
         return F.when(touched, F.col(f"new.{name}")).otherwise(F.col(f"old.{name}")).alias(name)
 
     return both.select(
-        F.when(is_new, F.lit(1)).otherwise(F.lit(0)).alias("generation"),
+        F.when(is_new, F.lit(1 if generation is None else generation))
+        .otherwise(F.lit(0) if generation is None else F.col("old.generation"))
+        .alias("generation"),
         F.coalesce("old.ord", "arrival").alias("ord"),
         *[column(c) for c in V.STORED_COLUMNS],
     )
@@ -99,6 +106,49 @@ def upsert_counts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def working_table(spark: SparkSession, folder: str, buckets: int = 256) -> Snapshot:
+    """The working table kept at `folder`, in buckets by place_id."""
+    return Snapshot(spark, folder, "place_id", buckets)
+
+
+def upsert_table(table: Snapshot, incoming: DataFrame, now: Column, batch: str) -> DataFrame:
+    """Merge a batch into the working table; inserted, updated and total, in one row.
+
+    Only the buckets that the batch falls into are read, joined and written again. A batch
+    name that was merged before changes nothing, so a run that is not sure may repeat it;
+    then the counts are 0 and 0.
+    """
+    spark = table.spark
+    rows = staged(_keyed(incoming), "upsert-rows")
+    version = table.version()
+    if batch in version["batches"]:
+        return spark.createDataFrame([(0, 0, table.rows())], "inserted long, updated long, total long")
+    touched = table.buckets_of(rows)
+    held = table.read(touched)
+    if held is None:
+        none = [F.lit(None).cast("string").alias(c) if c not in rows.columns else F.col(c) for c in V.STORED_COLUMNS]
+        held = rows.limit(0).select(F.lit(0).alias("generation"), "ord", *none)
+    counts = staged(upsert_counts(held, rows), "upsert-counts")
+    if touched:
+        table.commit(upsert_leads(held, rows, now, version["number"] + 1), touched, batch)
+    others = table.rows(touched)
+    return counts.withColumn("total", F.col("total") + others)
+
+
+def patch_table(table: Snapshot, patches: DataFrame, batch: str) -> DataFrame:
+    """Apply hand edits to the working table, all or none; the log of what was changed.
+
+    A batch is small by contract, so it touches few buckets, and no other is written.
+    """
+    asked = patches.limit(V.MAX_PATCHES + 1)
+    touched = table.buckets_of(asked.select("place_id"))
+    held = table.read(touched)
+    log = staged(patch_log(held, asked), "patch-log")
+    if not log.isEmpty():
+        table.commit(patch_cells(held, asked), touched, batch)
+    return log
+
+
 # ---------------------------------------------------------------- patches
 
 
@@ -221,11 +271,57 @@ def scan_stored(rows: DataFrame) -> DataFrame:
     return with_score(leads.filter(F.col("place_id") != ""))
 
 
+def _page(limit: float | None, offset: float | None) -> tuple[int, int]:
+    return int(max(1, min(1000, limit or 500))), int(max(0, offset or 0))
+
+
+def newest_first() -> list[Column]:
+    return [F.desc("generation"), F.desc("ord"), F.desc("place_id")]
+
+
 def page_newest(stored: DataFrame, limit: float | None = None, offset: float | None = None) -> DataFrame:
     """One page of the working table, newest rows first; 1..1000 rows, 500 by default."""
-    size = int(max(1, min(1000, limit or 500)))
-    skip = int(max(0, offset or 0))
-    return stored.orderBy(F.desc("generation"), F.desc("ord")).offset(skip).limit(size)
+    size, skip = _page(limit, offset)
+    return stored.orderBy(*newest_first()).offset(skip).limit(size)
+
+
+def page_after(stored: DataFrame, last: tuple | None = None, limit: float | None = None) -> DataFrame:
+    """The page behind a row (generation, ord, place_id), or the first one.
+
+    The rows before it are filtered by their key, which reaches the scan, and only as many
+    as a page holds are kept per task.
+    """
+    rows = stored
+    if last is not None:
+        generation, order, place = last
+        same = F.col("generation") == generation
+        older = (F.col("ord") < order) | ((F.col("ord") == order) & (F.col("place_id") < place))
+        rows = stored.filter((F.col("generation") < generation) | (same & older))
+    return rows.orderBy(*newest_first()).limit(_page(limit, None)[0])
+
+
+def write_pages(stored: DataFrame, folder: str, rows_per_range: int = 100_000) -> None:
+    """Write the table in ranges of its reading order, with a row per range: its first place and its rows."""
+    spark = stored.sparkSession
+    ranges = max(1, -(-stored.count() // rows_per_range))
+    cut = stored.repartitionByRange(ranges, *newest_first()).withColumn("_range", F.spark_partition_id())
+    cut.sortWithinPartitions(*newest_first()).write.partitionBy("_range").parquet(f"{folder}/rows")
+    counts = spark.read.parquet(f"{folder}/rows").groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts.coalesce(1).write.parquet(f"{folder}/ranges")
+
+
+def read_page(spark: SparkSession, folder: str, limit: float | None = None, offset: float | None = None) -> DataFrame:
+    """The same page as `page_newest`, read from the ranges that hold it and no others."""
+    size, skip = _page(limit, offset)
+    ranges = spark.read.parquet(f"{folder}/ranges")
+    # at most one range per row of the page
+    hit = ranges.filter((F.col("start") < skip + size) & (F.col("start") + F.col("n") > skip)).orderBy("start").collect()
+    if not hit:
+        return spark.read.parquet(f"{folder}/rows").drop("_range").limit(0)
+    rows = spark.read.parquet(*[f"{folder}/rows/_range={r['_range']}" for r in hit])
+    return rows.orderBy(*newest_first()).offset(skip - hit[0]["start"]).limit(size)
 
 
 def run_rows(runs: DataFrame) -> DataFrame:
@@ -239,8 +335,15 @@ def run_rows(runs: DataFrame) -> DataFrame:
     return runs.select(*[special.get(c, F.col(c)) for c in V.RUN_COLUMNS])
 
 
-def append_run(runs: DataFrame, path: str) -> DataFrame:
-    """Append run rows to the ledger at `path` and return the whole ledger."""
-    rows = run_rows(runs)
-    rows.write.mode("append").parquet(path)
-    return runs.sparkSession.read.schema(rows.schema).parquet(path)
+def append_run(runs: DataFrame, path: str, batch: str) -> DataFrame:
+    """Append run rows to the ledger at `path` and return the whole ledger.
+
+    `batch` names the append: one that was written before adds nothing, and of two writers
+    at a time one must start again.
+    """
+    ledger = Snapshot(runs.sparkSession, path, "file", RUN_BUCKETS)
+    rows = staged(run_rows(runs), "run-rows")
+    touched = ledger.buckets_of(rows)
+    held = ledger.read(touched)
+    ledger.commit(rows if held is None else held.unionByName(rows), touched, batch)
+    return ledger.read()
