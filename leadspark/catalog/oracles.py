@@ -319,7 +319,7 @@ HELPERS = {
  LEFT JOIN (SELECT term, count(*) AS n, count(*) FILTER (WHERE split) AS s, max(depth) AS deepest, count(*) FILTER (WHERE truncated AND NOT split) AS leaves FROM swept GROUP BY term) a ON a.term = t.term
  LEFT JOIN (SELECT d.term, count(*) AS w FROM costed d LEFT JOIN swept p ON p.term = d.term AND p.path = left(d.path, d.depth - 1)
   WHERE d.calls_before >= 100 AND (d.depth = 0 OR p.split) GROUP BY d.term) b ON b.term = t.term""",
-    "answers": """
+    "tile_answers": """
  SELECT k.tile_key, c.place_id, row_number() OVER (PARTITION BY k.tile_key ORDER BY c.pos) - 1 AS pos
  FROM tile_keys k JOIN cells c ON c.term = k.term AND c.y >> (3 - k.depth) = k.gy AND c.x >> (3 - k.depth) = k.gx
  QUALIFY row_number() OVER (PARTITION BY k.tile_key ORDER BY c.pos) <= 60
@@ -460,7 +460,7 @@ FROM (VALUES ('20260801-142726_town-0-pa_building.csv', 'town 0 pa', true), ('20
     "sweep_summary": "SELECT * FROM sweeps",
     "sweep_halted": "SELECT term, depth, gy, gx, item_count, truncated, split, split_blocked_by, calls, calls_before FROM swept",
     "cache_replay": """SELECT k.term, k.depth, k.gy, k.gx, CASE WHEN f.tile_key IS NULL THEN 'paid' ELSE 'cached' END AS source, a.pos::INT AS pos, a.place_id
- FROM tile_keys k LEFT JOIN fresh_cache f ON f.tile_key = k.tile_key JOIN answers a ON a.tile_key = k.tile_key WHERE f.tile_key IS NOT NULL OR k.depth < 3""",
+ FROM tile_keys k LEFT JOIN fresh_cache f ON f.tile_key = k.tile_key JOIN tile_answers a ON a.tile_key = k.tile_key WHERE f.tile_key IS NOT NULL OR k.depth < 3""",
     "cache_use": """SELECT k.term, count(f.tile_key) AS hits, count(*) FILTER (WHERE f.tile_key IS NULL AND k.depth < 3) AS misses, count(*) FILTER (WHERE f.tile_key IS NULL AND k.depth = 3) AS not_reached
  FROM tile_keys k LEFT JOIN fresh_cache f ON f.tile_key = k.tile_key GROUP BY k.term""",
     "cache_next": f"""SELECT k.tile_key, coalesce(f."at", '{NOW.replace(' ', 'T')}.000Z') AS "at", k.truncated, least(k.item_count, 60)::INT AS places
@@ -570,6 +570,8 @@ FROM (SELECT c.*, {plural('c.niche')} AS many, {countable('c.niche', 'business')
 FROM (SELECT *, (sw_lat + ne_lat) / 2 AS mlat, (sw_lng + ne_lng) / 2 AS mlng FROM boxes WHERE ne_lng IS NOT NULL AND ne_lat <= 90 AND sw_lat < ne_lat AND sw_lng < ne_lng), (VALUES (0, 'SW'), (1, 'SE'), (2, 'NW'), (3, 'NE')) v(k, name)""",
     "quadtree_tiles": "SELECT * FROM tree",
     "tile_plan": "SELECT term, count(*) AS tiles, sum(greatest(ceil(least(item_count, 60) / 20), 1))::BIGINT AS calls, sum(greatest(ceil(least(item_count, 60) / 20), 1)) * 35 / 1000 AS estimated_cost_usd FROM tree GROUP BY term",
+    "job_rank": """SELECT ord, place_id, total, file FROM (
+ SELECT l.ord, l.place_id, coalesce(f.total, l.total) AS total, CASE WHEN f.ord IS NULL THEN '20260801.csv' ELSE '20260802.csv' END AS file FROM scored l LEFT JOIN fresh_scored f ON f.ord = l.ord) ORDER BY total DESC, ord LIMIT 20""",
     "job_search": f"""SELECT place_id, batch, pos, signals, total FROM ({score_columns("(" + signal_columns(f'''(SELECT c.place_id, c.batch, c.pos, coalesce(p.name, '(unnamed)') AS name, coalesce(p.phone, '') AS phone, coalesce(p.website, '') AS website, split_part(coalesce(a.emails_text, ''), ' ', 1) AS email, p.rating, p.reviews, coalesce(a.reachable, 'unknown') AS reachable, coalesce(a.https, 'unknown') AS https, a.ttfb_ms, coalesce(a.viewport, 'unknown') AS viewport, coalesce(a.contact_form, 'unknown') AS contact_form, a.place_id IS NOT NULL AS audited
  FROM capped c JOIN places p ON p.place_id = c.place_id LEFT JOIN audits a ON a.place_id = c.place_id WHERE ({DROP.format(p='p.')}) IS NULL)''') + ")")}) WHERE email <> ''""",
 }
@@ -629,10 +631,14 @@ def _ordered(names: list[str], defs: dict) -> list[str]:
     return done
 
 
+#: Whole jobs whose rows are those of one of their operators.
+JOBS = {"job_letters": "letters_ordered", "job_verify": "contact_findings"}
+
+
 def oracle_sql() -> dict[str, str]:
     defs = VIEWS | HELPERS
     out = {}
-    for name, body in ORACLES.items():
+    for name, body in (ORACLES | {job: ORACLES[name] for job, name in JOBS.items()}).items():
         names = _ordered(_closure(body, defs), defs)
         ctes = ", ".join(f"{n} AS ({defs[n]})" for n in names)
         out[name] = f"WITH {ctes} {body}" if ctes else body

@@ -1043,6 +1043,25 @@ def sweep_halted(t):
 # ---------------------------------------------------------------- whole jobs
 
 
+@query
+def job_letters(t):
+    return pipelines.letters(t.leads).select("ord", "place_id", "basis", "basis_rank", "subject")
+
+
+@query
+def job_verify(t):
+    found, _ = pipelines.verify_contacts(t.leads, t.view("probes"), t.view("mx_results"))
+    return found.select("ord", "place_id", "kind", "detail")
+
+
+@query
+def job_rank(t):
+    """The best 20 leads over two saved runs: every lead, and every third with later readings."""
+    third = L.with_derived(t.leads.filter("ord % 3 = 0").withColumn("reviews", F.col("reviews") + 1))
+    saved = t.derived.withColumn("file", F.lit("20260801.csv")).unionByName(third.withColumn("file", F.lit("20260802.csv")))
+    return pipelines.rank(saved).select("ord", "place_id", F.col("score.total").alias("total"), "file")
+
+
 @query
 def job_search(t):
     """Batches to scored, filtered leads in one plan."""

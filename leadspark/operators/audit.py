@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions import html as H
 from ..functions.derive import blank, first_match
-from ..functions.robots import allowed, wildcard_rules
+from ..functions.robots import allowed, longest_match, wildcard_rules
 from ..sources.stage import staged
 from .skew import ROWS_PER_TASK, join_by_key
 
@@ -35,17 +35,52 @@ def robots_rules_long(robots: DataFrame) -> DataFrame:
     )
 
 
+def _rules_by_head(robots: DataFrame) -> DataFrame:
+    """(origin, head, plain_disallow, plain_allow, disallow, allow): rules by the text before their first `*` or final `$`.
+
+    A rule without either is plain: it matches every path that begins with its head. Of the
+    others the array holds the rules as written.
+    """
+    body = F.regexp_replace("rule", r"\$$", "")
+    rules = robots_rules_long(robots).distinct().withColumn("head", F.substring_index(body, "*", 1))
+    plain = F.col("head") == F.col("rule")
+
+    def any_plain(kind):
+        return F.bool_or(plain & (F.col("kind") == kind)).alias(f"plain_{kind}")
+
+    def others(kind):
+        return F.collect_list(F.when(~plain & (F.col("kind") == kind), F.col("rule"))).alias(kind)
+
+    return rules.groupBy("origin", "head").agg(any_plain("disallow"), any_plain("allow"), others("disallow"), others("allow"))
+
+
 def robots_match(
     paths: DataFrame, robots: DataFrame, row_id: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """`paths` (origin, path) with the verdict of its origin's rules.
 
-    One row per origin is joined, so rules and paths never multiply; origins that
-    own very many paths are salted. An origin without a file allows everything.
+    Rules are rows keyed by their literal beginning, and each distinct path of an origin
+    meets them through its own beginnings of the lengths that occur there, by an equal
+    join. So an origin with very many rules is many keys, not one wide row, and only rules
+    with a `*` or `$` behind a matching beginning are tried. Keys that very many rows share
+    are salted. An origin without a file allows everything; so does a null path.
     """
-    joined = join_by_key(paths, parse_robots(robots), ["origin"], row_id, rows_per_task=rows_per_task)
-    verdict = allowed(F.col("disallow"), F.col("allow"), F.col("path"))
-    return joined.withColumn("allowed", verdict).drop("disallow", "allow")
+    dim = staged(_rules_by_head(robots), "robots-rules")
+    lengths = dim.groupBy("origin").agg(F.collect_set(F.length("head")).alias("lengths"))
+    asked = paths.select("origin", "path").filter("origin IS NOT NULL AND path IS NOT NULL").distinct()
+    sized = join_by_key(asked, lengths, ["origin"], "path", rows_per_task=rows_per_task)
+    reach = F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")
+    probes = sized.select("origin", "path", reach).select("origin", "path", F.left("path", F.col("n")).alias("head"))
+    met = join_by_key(probes, dim, ["origin", "head"], "path", rows_per_task=rows_per_task)
+
+    def longest(kind):
+        own = F.when(F.col(f"plain_{kind}"), F.length("head")).otherwise(-1)
+        return F.max(F.greatest(own, longest_match(F.coalesce(kind, F.array().cast("array<string>")), F.col("path")))).alias(kind)
+
+    verdicts = met.groupBy("origin", "path").agg(longest("disallow"), longest("allow"))
+    denied = verdicts.filter("disallow >= 0 AND allow < disallow").select("origin", "path", F.lit(True).alias("denied"))
+    joined = join_by_key(paths, denied, ["origin", "path"], row_id, rows_per_task=rows_per_task)
+    return joined.withColumn("allowed", F.col("denied").isNull()).drop("denied")
 
 
 def extract_emails(pages: DataFrame) -> DataFrame:
