@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.llm.common import Scratch, portions, raw
+from leadspark.llm.ppm import within
 
 #: Bytes of a gram; at most 7, so that gram and order fit a long.
 ORDER = 5
@@ -19,7 +20,7 @@ ORDER = 5
 BEGIN, END = b" ", b"\n"
 SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 #: Entries of the model that every worker holds (16 bytes each); others are met by a join.
-MAX_ENTRIES = 4_000_000
+MAX_ENTRIES = 3_000_000
 #: Words a worker remembers, in counting and in scoring.
 BOOK = 400_000
 PIECE = 4 << 20
@@ -177,9 +178,9 @@ def kneser_ney(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> DataF
 class Arrays:
     """The model as sorted hash arrays: p and b of a gram by binary search for its hash."""
 
-    def __init__(self, langs: list[str], grams: np.ndarray, p: np.ndarray, b: np.ndarray, whole: bool):
-        self.names = {name: k for k, name in enumerate(dict.fromkeys(langs))}
-        hashes = self.hashed(np.array([self.names[name] for name in langs], np.uint64), grams)
+    def __init__(self, names: list[str], lang: np.ndarray, grams: np.ndarray, p: np.ndarray, b: np.ndarray, whole: bool):
+        self.names = {name: k for k, name in enumerate(names)}
+        hashes = self.hashed(lang, grams)
         order = np.argsort(hashes)
         self.hashes, self.p, self.b, self.whole = hashes[order], p[order].astype(np.float32), b[order].astype(np.float32), whole
 
@@ -228,12 +229,13 @@ class Arrays:
 
 
 def loaded(model: DataFrame, limit: int) -> Arrays:
-    """The most frequent entries, all if there are at most `limit`."""
+    """The most frequent entries, at most `limit`; all of them if there are no more."""
     n = model.count()
-    some = model if n <= limit else model.orderBy(F.desc("n"), "lang", "gram").limit(limit)
-    table = some.select("lang", "gram", "p", "b").toArrow()
-    p, b = (table.column(c).to_numpy().astype(np.float64) for c in ("p", "b"))
-    return Arrays(table.column("lang").to_pylist(), table.column("gram").to_numpy(), p, b, n <= limit)
+    some = model if n <= limit else model.filter(F.col("n") >= within(model, "n", limit))
+    table = some.select("lang", "gram", F.col("p").cast("float").alias("p"), F.col("b").cast("float").alias("b")).toArrow()
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    p, b = (table.column(c).to_numpy() for c in ("p", "b"))
+    return Arrays(langs.dictionary.to_pylist(), langs.indices.to_numpy(), table.column("gram").to_numpy(), p, b, n <= limit)
 
 
 def mixed(columns: list[np.ndarray]) -> np.ndarray:
