@@ -376,7 +376,9 @@ def exact_links(docs: DataFrame, candidates: DataFrame, scratch: Scratch, least:
 
 
 def similar_groups(docs: DataFrame, scratch: Scratch, radius: int, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The rows of `fingerprints`, and (digest, component_id) of each distinct text.
+    """The rows of `fingerprints`, and (digest, component_id, first, kept) of each distinct text.
+
+    first is the smallest doc_id of the text, kept whether it is the least of its component.
 
     Candidates are texts of close prints or signatures; those connected by candidate links
     are compared by their shingle sets, and only what that confirms is a link.
@@ -401,7 +403,7 @@ def similar_groups(docs: DataFrame, scratch: Scratch, radius: int, size: int, si
         F.min("first").alias("component_id"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("least")
     )
     kept = F.col("digest") == F.col("least.digest")
-    return rows, scratch.write(rooted.join(least, "root").select("digest", "component_id", kept.alias("kept")))
+    return rows, scratch.write(rooted.join(least, "root").select("digest", "component_id", "first", kept.alias("kept")))
 
 
 def groups(docs: DataFrame, radius: int = 4, size: int = 4, similarity: float | None = None) -> DataFrame:
@@ -446,12 +448,11 @@ def keep_one(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float
     one id all stay; of rows equal in both one stays. Each component keeps exactly one row.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows, named = similar_groups(docs, scratch, radius, size, similarity)
-    least = rows.select("digest", "doc_id").join(named.filter("kept").select("digest"), "digest").groupBy("digest")
+    _, named = similar_groups(docs, scratch, radius, size, similarity)
+    scratch.drop(named)
     # one row per component: the text that stays and the id it stays under
     names = [free_name(docs, n) for n in ("digest", "first")]
-    keep = scratch.write(least.agg(F.min("doc_id").alias(names[1])).withColumnRenamed("digest", names[0]))
-    scratch.drop(keep)
+    keep = named.filter("kept").select(F.col("digest").alias(names[0]), F.col("first").alias(names[1]))
     marked = docs.withColumn(names[0], digest())
     same = (F.col(f"d.{names[0]}") == F.col(f"k.{names[0]}")) & F.col("d.doc_id").eqNullSafe(F.col(f"k.{names[1]}"))
     return marked.alias("d").join(keep.alias("k"), same, "left_semi").dropDuplicates([names[0]]).select(*docs.columns)
