@@ -1,4 +1,4 @@
-"""Training-data operators: ten jobs over documents, pages and embeddings.
+"""Training-data operators: thirteen jobs over documents, pages, embeddings and conversations.
 
 Nothing else in the library imports this package. Its queries and SQL twins are in
 `queries.py`.
