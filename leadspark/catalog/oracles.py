@@ -392,12 +392,12 @@ LEFT JOIN (SELECT ord // 60 AS chain, (ord // 20) % 3 + 1 AS page_no, count(*) A
     "dims_signal_labels": "SELECT signal, count(*) AS leads, label, severity FROM (SELECT unnest(string_split(signals, ' ')) AS signal FROM sig WHERE signals <> '') JOIN (VALUES "
     + ", ".join(f"({lit(a)}, {lit(b)}, {lit(c)})" for a, b, c in V.SIGNAL_LABELS) + ") v(signal, label, severity) USING (signal) GROUP BY ALL",
     "dims_niches": "SELECT suggestion, featured, count(ord) AS leads FROM (VALUES "
-    + ", ".join(f"({lit(n)}, {i < 4})" for i, n in enumerate(V.NICHE_SUGGESTIONS)) + ") v(suggestion, featured) LEFT JOIN leads ON replace(niche, '-', ' ') = suggestion GROUP BY ALL",
+    + ", ".join(f"({lit(n)}, {featured})" for n, featured in V.NICHE_SUGGESTIONS) + ") v(suggestion, featured) LEFT JOIN leads ON replace(niche, '-', ' ') = suggestion GROUP BY ALL",
     "dims_markets": "SELECT market_id AS market, label, count(*) AS leads FROM (VALUES "
     + ", ".join(f"({lit(n)}, {lit(m)}, {lit(x)}, {a}, {b}, {c}, {d})" for n, m, x, a, b, c, d in V.CURATED_MARKETS)
     + ") v(vn, market_id, label, s, w, n, e) JOIN leads ON niche = vn AND lat BETWEEN s AND n AND lng BETWEEN w AND e GROUP BY ALL",
     "dims_locations": "SELECT place, region, count(*) AS leads FROM (VALUES "
-    + ", ".join(f"({lit(p)}, {lit(r)})" for r, places in V.LOCATION_SEEDS.items() for p in places)
+    + ", ".join(f"({lit(p)}, {lit(r)})" for p, r in V.LOCATION_SEEDS)
     + ") v(place, region) JOIN leads ON contains(address, place) GROUP BY ALL",
     "write_harvest": f"SELECT {HARVEST_TEXT}, '2026-08-01T14:27:26.000Z' AS google_refreshed_at, '20260801-142726_town_gym.csv' AS file FROM places",
     "write_enriched": "SELECT place_id, name, address, phone, website, rating, coalesce(reviews::VARCHAR, '') AS review_count, business_status, primary_type, lat AS latitude, lng AS longitude, checked_at AS google_refreshed_at, email, CASE WHEN email = '' THEN '' ELSE email_alt END AS email_alt, reachable, https, coalesce(ttfb_ms::VARCHAR, '') AS ttfb_ms, viewport AS mobile_viewport, contact_form, final_url, audit_error, total::VARCHAR AS score FROM scored",

@@ -153,8 +153,7 @@ def dims_signal_labels(t):
 @query
 def dims_niches(t):
     """Suggested niches with the leads that name one of them."""
-    rows = [(n, i <= V.FEATURED_SUGGESTIONS) for i, n in enumerate(V.NICHE_SUGGESTIONS, 1)]
-    dim = F.broadcast(t.spark.createDataFrame(rows, "suggestion string, featured boolean"))
+    dim = F.broadcast(t.spark.createDataFrame(V.NICHE_SUGGESTIONS, "suggestion string, featured boolean"))
     named = t.view("leads").groupBy(W.spaced(F.col("niche")).alias("suggestion")).agg(F.count(F.lit(1)).alias("leads"))
     return dim.join(named, "suggestion", "left").select("suggestion", "featured", F.coalesce("leads", F.lit(0)).alias("leads"))
 
@@ -174,9 +173,8 @@ def dims_markets(t):
 @query
 def dims_locations(t):
     """Starting locations with the leads whose address names them."""
-    seeds = [(place, region) for region, places in V.LOCATION_SEEDS.items() for place in places]
-    dim = F.broadcast(t.spark.createDataFrame(seeds, "place string, region string"))
-    names = F.array(*[F.lit(place) for place, _ in seeds])
+    dim = F.broadcast(t.spark.createDataFrame(V.LOCATION_SEEDS, "place string, region string"))
+    names = F.array(*[F.lit(place) for place, _ in V.LOCATION_SEEDS])
     named = t.view("leads").select(
         F.explode(F.filter(names, lambda place: F.contains(F.col("address"), place))).alias("place")
     )

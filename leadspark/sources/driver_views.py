@@ -20,7 +20,7 @@ VIEWS = {
    concat('p', CAST(c_custkey AS STRING)) AS place_id,
    concat('town ', CAST(c_nationkey % 5 AS STRING), ' pa') AS market,
    CASE c_mktsegment WHEN 'BUILDING' THEN 'property-management' WHEN 'AUTOMOBILE' THEN 'auto repair shop' WHEN 'HOUSEHOLD' THEN 'cleaning service' WHEN 'MACHINERY' THEN 'hvac contractors' ELSE lower(c_mktsegment) END AS niche,
-   CASE WHEN c_custkey % 13 = 0 THEN '' WHEN c_custkey % 41 = 1 THEN '(646) 221-1300 ext. 106' WHEN c_custkey % 43 = 1 THEN 'call us' WHEN c_custkey % 10 = 4 THEN concat('0917 ', CAST(100 + c_custkey % 900 AS STRING), ' ', CAST(1000 + (c_custkey * 7) % 9000 AS STRING))
+   CASE WHEN c_custkey % 13 = 0 THEN '' WHEN c_custkey % 41 = 1 THEN '(646) 555-0142 ext. 106' WHEN c_custkey % 43 = 1 THEN 'call us' WHEN c_custkey % 10 = 4 THEN concat('0917 ', CAST(100 + c_custkey % 900 AS STRING), ' ', CAST(1000 + (c_custkey * 7) % 9000 AS STRING))
     ELSE concat('(215) ', lpad(CAST(100 + c_custkey % 297 AS STRING), 3, '0'), '-', lpad(CAST((c_custkey * 37) % 700 AS STRING), 4, '0')) END AS phone,
    CASE WHEN c_custkey % 7 >= 3 THEN '' WHEN c_custkey % 49 = 2 THEN 'not-an-address' ELSE concat(CASE WHEN c_custkey % 2 = 0 THEN 'info' ELSE 'Info' END, '@firm', CAST(c_custkey % 601 AS STRING), '.example.com') END AS email,
    CASE WHEN c_custkey % 14 = 0 THEN concat('sales@firm', CAST(c_custkey % 97 AS STRING), '.example.com office@mail', CAST(c_custkey % 5 AS STRING), '.example.org') ELSE '' END AS email_alt,
