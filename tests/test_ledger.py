@@ -1,3 +1,5 @@
+import glob
+import os
 import random
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
@@ -116,6 +118,30 @@ def test_a_finished_table_streams_like_the_batch(spark):
     assert {r.event_id: (r.granted, r.limited_by, r.used, r.day_used) for r in got} == loop(data, 40, 9) and not any(r.late for r in got)
 
 
+def test_a_table_longer_than_the_delay_streams_like_the_batch(spark, monkeypatch):
+    monkeypatch.setattr(budget, "ROWS_PER_TRIGGER", 400)
+    data = events(5)
+    timeless = ("a0", 50_000, None, "reserve", 3, 0, 0)
+    table = spark.createDataFrame([*data, timeless], LEDGER_EVENT_SCHEMA)
+    got = budget.budget_stream(table, 40, 9, "2 days", 2).collect()
+    assert {r.event_id: (r.granted, r.limited_by, r.used, r.day_used) for r in got if not r.late} == loop(data, 40, 9)
+    assert [(r.event_id, r.granted) for r in got if r.late] == [(50_000, None)]
+
+
+def test_a_long_table_lands_in_many_files_in_order_of_arrival(spark, monkeypatch):
+    monkeypatch.setattr(budget, "ROWS_PER_TRIGGER", 300)
+    data = events(6)
+    landing = fresh_path(spark, "in")
+    budget.land_in_turn(spark.createDataFrame(data, LEDGER_EVENT_SCHEMA), landing, "2 days", 3)
+    files = sorted(glob.glob(f"{landing}/*.parquet"), key=lambda f: os.stat(f).st_mtime_ns)
+    parts = [spark.read.parquet(f).collect() for f in files]
+    assert len(files) > 3 and sorted(r.event_id for p in parts for r in p) == sorted(e[1] for e in data)
+    newest = max(r.ts for r in parts[0])
+    for part in parts[1:]:
+        assert min(r.ts for r in part) > newest - timedelta(days=2)
+        newest = max(newest, *(r.ts for r in part))
+
+
 def test_big_caps_and_months_of_one_account(spark):
     rnd = random.Random(11)
     data = []
