@@ -13,6 +13,9 @@ from .leads import with_score
 from .market import hook
 
 RUN_BUCKETS = 16
+#: A table is kept in at most RANGES ranges until each has ROWS_PER_RANGE rows.
+RANGES = 256
+ROWS_PER_RANGE = 100_000
 # first_listed and the people's columns are written once and never overwritten.
 MACHINE_COLUMNS = [
     c for c in V.STORED_COLUMNS if c not in ["place_id", "first_listed", *V.PEOPLE_COLUMNS]
@@ -300,12 +303,20 @@ def page_after(stored: DataFrame, last: tuple | None = None, limit: float | None
     return rows.orderBy(*newest_first()).limit(_page(limit, None)[0])
 
 
-def write_pages(stored: DataFrame, folder: str, rows_per_range: int = 100_000) -> None:
-    """Write the table in ranges of its reading order, with a row per range: its first place and its rows."""
+def write_pages(stored: DataFrame, folder: str, rows_per_range: int = ROWS_PER_RANGE) -> None:
+    """Write the table in ranges of its reading order, with a row per range: its first place and its rows.
+
+    A range is a task and a file, so ranges of few rows are for small tables: those of
+    larger ones grow up to ROWS_PER_RANGE rows.
+    """
     spark = stored.sparkSession
-    ranges = max(1, -(-stored.count() // rows_per_range))
-    cut = stored.repartitionByRange(ranges, *newest_first()).withColumn("_range", F.spark_partition_id())
-    cut.sortWithinPartitions(*newest_first()).write.partitionBy("_range").parquet(f"{folder}/rows")
+    # Read three times below: counted, sampled for the bounds, and cut.
+    table = staged(stored, "pages-table")
+    rows = table.count()
+    size = max(rows_per_range, min(ROWS_PER_RANGE, -(-rows // RANGES)))
+    ranges = max(1, -(-rows // size))
+    cut = table.repartitionByRange(ranges, *newest_first()).withColumn("_range", F.spark_partition_id())
+    cut.sortWithinPartitions("_range", *newest_first()).write.partitionBy("_range").parquet(f"{folder}/rows")
     counts = spark.read.parquet(f"{folder}/rows").groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))

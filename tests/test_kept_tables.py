@@ -57,6 +57,24 @@ def test_any_page_reads_only_its_ranges(spark, limit, offset):
     assert len(files) <= -(-(limit or 500) // 60) + 2
 
 
+def test_a_larger_table_has_larger_ranges_and_is_made_once(spark, monkeypatch):
+    monkeypatch.setattr(store, "RANGES", 4)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = stored(spark, range(1, 1001)).withColumn("generation", (F.col("ord") % 3).cast("int"))
+    folder = fresh_path(spark, "pages")
+    store.write_pages(rows.mapInPandas(counted, rows.schema), folder, 10)
+    assert made.value == 1000
+    assert 2 <= spark.read.parquet(f"{folder}/ranges").count() <= 4
+    page = [r.place_id for r in store.read_page(spark, folder, 30, 480).collect()]
+    assert page == [r.place_id for r in store.page_newest(rows, 30, 480).collect()]
+
+
 def test_pages_follow_one_another_by_key(spark):
     table = stored(spark, range(1, 301)).withColumn("generation", (F.col("ord") % 2).cast("int"))
     seen, last = [], None
