@@ -17,7 +17,6 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +30,8 @@ ORDER = 5
 #: Grams whose values are sent to the executors, the most frequent ones; all others are
 #: joined by a shuffle.
 MAX_ENTRIES = 2_000_000
-#: Marks the grams of held-out texts while they are counted.
-UNLEARNED = 1 << 62
+#: Symbols whose grams are sorted and counted at a time.
+SORTED = 1 << 23
 #: Words whose counts are sent to the executors; all others are joined by a shuffle.
 TOP_WORDS = 150_000
 HELD_FOLDS, HELD = 7, 2
@@ -240,28 +239,30 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
     held_out = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
 
     def run(batches):
-        held: pd.Series | None = None
+        held: list[np.ndarray] = []
         for batch in batches:
             for part in portions(batch, 0):
                 stream, at, owner = symbols([lowered(t) for t in part.column(0).to_pylist()], order)
-                out = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64) * UNLEARNED
-                n = pd.Series(grams(stream, at, order).view(np.int64) | out[owner]).value_counts(sort=False)
-                held = n if held is None else held.add(n, fill_value=0)
-                if len(held) > FLUSH:
+                out = part.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
+                held.append(grams(stream, at, order) << np.uint64(1) | out[owner])
+                if sum(map(len, held)) > SORTED:
                     yield counted(held)
-                    held = None
-        if held is not None:
+                    held = []
+        if held:
             yield counted(held)
 
-    def counted(held: pd.Series) -> pa.RecordBatch:
-        cols = [pa.array(held.index.to_numpy(np.int64)), pa.array(held.to_numpy().astype(np.int64))]
-        return pa.RecordBatch.from_arrays(cols, ["gram", "n"])
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        """`held` has a gram and, in the lowest bit, whether it is of a held-out text."""
+        marked = np.concatenate(held)
+        marked.sort()
+        gram, out = (marked >> np.uint64(1)).view(np.int64), (marked & np.uint64(1)).view(np.int64)
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        times = np.diff(np.append(first, len(gram)))
+        learned = times - np.add.reduceat(out, first)
+        return pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(times), pa.array(learned)], ["gram", "times", "n"])
 
-    found = docs.select("text", held_out.alias("held_out")).mapInArrow(run, "gram long, n long")
-    learned = F.when(F.col("gram") < UNLEARNED, F.col("n")).otherwise(F.lit(0))
-    return found.groupBy(F.col("gram").bitwiseAND(F.lit(UNLEARNED - 1)).alias("gram")).agg(
-        F.sum("n").alias("times"), F.sum(learned).alias("n")
-    )
+    found = docs.select("text", held_out.alias("held_out")).mapInArrow(run, "gram long, times long, n long")
+    return found.groupBy("gram").agg(F.sum("times").alias("times"), F.sum("n").alias("n"))
 
 
 def tail(gram: str, n: int) -> Column:
@@ -345,7 +346,9 @@ class Values:
             owners.append(whose[~known])
         codes = np.concatenate([np.zeros(0, np.uint64), *codes])
         owners = np.concatenate([np.zeros(0, np.int64), *owners])
-        sort = np.lexsort((codes, owners))
+        sort = np.argsort(codes)
+        # few owners fit 16 bits, which are sorted by radix
+        sort = sort[np.argsort(owners[sort].astype(np.uint16 if len(texts) <= 1 << 16 else np.int64), kind="stable")]
         codes, owners = codes[sort], owners[sort]
         first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (owners[1:] != owners[:-1]))[: len(codes)])
         n = np.diff(np.append(first, len(codes)))
@@ -409,20 +412,24 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             for part in portions(batch, 2):
                 lines = [lowered(t) for t in part.column(2).to_pylist()]
-                total, known, base, rare = [], [], [], []
+                total, known, base = [], [], []
+                words, times, ends = [], [], [0]
                 for text in lines:
                     found = text.split()
-                    seen = [gain[w] for w in found if w in gain]
+                    seen = list(filter(None, map(gain.get, found)))  # no gain is 0
                     total.append(len(found) + 1)
                     known.append(len(seen) + (texts > 0))
                     base.append(math.fsum(seen) + math.log10(texts + 1) - (len(found) + 1) * per_token)
                     more = Counter([w for w in found if w not in gain]) if len(seen) < len(found) else {}
-                    rare.append([{"word": w.decode(), "n": n} for w, n in more.items()])
+                    words.extend(more.keys())
+                    times.extend(more.values())
+                    ends.append(len(words))
+                rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
                 score, seldom = cache.scores(lines, order)
                 cols = [
                     part.column(0), part.column(1), pa.array(total, pa.int64()), pa.array(known, pa.int64()),
                     pa.array(base, pa.float64()), pa.array(score),
-                    pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))), seldom,
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare), seldom,
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "seldom"])
 

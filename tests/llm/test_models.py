@@ -94,6 +94,24 @@ def test_grams_beyond_the_cache_count_in_full(spark, monkeypatch, cached):
     assert got == {i: pytest.approx(model.score(t, False), abs=1e-6) for i, t in texts.items()}
 
 
+@pytest.mark.parametrize("at_a_time", [1, 100, 1 << 23])
+def test_grams_are_counted_in_blocks(spark, monkeypatch, at_a_time):
+    rng = random.Random(9)
+    monkeypatch.setattr(ppm, "SORTED", at_a_time)
+    rows = [("".join(rng.choices("abC", k=rng.randint(0, 30))).encode(), i % 3 == 0) for i in range(50)]
+    table = spark.createDataFrame(rows, "text binary, held_out boolean").coalesce(1)
+    got = {r["gram"]: (r["times"], r["n"]) for r in ppm.count_grams(table, 2).collect()}
+    times, learned = Counter(), Counter()
+    for text, out in rows:
+        context = (ppm.END,) * 2
+        for symbol in [*text.lower(), ppm.END]:
+            gram = context[0] << 18 | context[1] << 9 | symbol
+            times[gram] += 1
+            learned[gram] += not out
+            context = (context[1], symbol)
+    assert got == {g: (times[g], learned[g]) for g in times}
+
+
 def test_scores_of_empty_tables(spark):
     assert ppm.scores(docs_of(spark, [])).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
